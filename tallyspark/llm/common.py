@@ -100,7 +100,8 @@ _POW = np.ones(1, np.uint64)
 _IPOW = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd constant mod 2^64 and of its inverse, ``n`` at least."""
     global _POW, _IPOW
     if len(_POW) < n:
         m = 1 << max(12, int(n - 1).bit_length())
@@ -149,7 +150,7 @@ def _hashes(data: bytes, punct: bool) -> np.ndarray:
     starts, ends = starts[word], ends[word]
     if not len(starts):
         return np.empty(0, np.uint64)
-    pw, ipw = _powers(len(b) + 1)
+    pw, ipw = powers(len(b) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * pw[: len(b)], dtype=np.uint64)])
         return mix((sums[ends] - sums[starts]) * ipw[starts])

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import packing, token_store, top_k, url_filter, warc
+from tallyspark.llm import decontaminate, importance, jaccard_join, lattice, packing, pii, token_store, top_k, url_filter, warc
 
 _BY_NAME = {
+    "op1_decontaminate": decontaminate,
+    "op2_jaccard_join": jaccard_join,
     "op3_length_packing": packing,
+    "op4_lattice_score": lattice,
+    "op5_pii_spans": pii,
+    "op6_importance_sample": importance,
     "op7_exact_top_k": top_k,
     "op8_token_store": token_store,
     "op9_warc_archives": warc,
