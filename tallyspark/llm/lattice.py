@@ -4,9 +4,11 @@ Vocabulary: the pieces of an existing subword model. A word's lattice holds ever
 to cut it into pieces; the first piece, inner pieces, the last piece and pieces that are
 the whole word have scores of their own, so that the model is a proper distribution
 over words. The scores start from the ranks the vocabulary states and are re-estimated
-on the training documents by expectation-maximisation over the lattices; the vocabulary
-itself stays as it is. A document's probability is the product of its words' marginals
-and of the end token's.
+on the distinct training words by expectation-maximisation over the lattices; the
+vocabulary itself stays as it is. Besides, a training word has an arc over all of it with
+its relative frequency; the arcs of that kind share what the Good-Turing estimate leaves
+to seen words, the pieces have the rest. A document's probability is the product of its
+words' marginals and of the end token's.
 
 Work is done once per distinct word: words are counted over the corpus, the lattice is
 summed for each, and documents meet the frequent words in a table of a bounded size and
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,6 @@ ROUNDS = 2
 HEAD_WORDS, HEAD_BYTES = 131_072, 48
 #: Distinct words a task counts before it hands them on.
 FLUSH = 400_000
-#: Words up to this many characters are summed side by side.
-SIDE_BY_SIDE = 48
 HELD_OUT_OF, HELD_OUT = 7, 2
 SMOOTHING = 0.01
 
@@ -79,92 +80,97 @@ class Pieces:
             out += [c] if c in self.index else [f"{BYTE}{b}" for b in c.encode("utf-8", "surrogatepass")]
         return out
 
-    def spans(self, units: list[str]) -> np.ndarray:
-        """[end, length - 1] → piece or -1."""
-        n, index, longest = len(units), self.index, min(self.longest, len(units))
-        rows = []
-        for end in range(1, n + 1):
-            row, s = [], ""
-            for length in range(1, longest + 1):
-                if length > end:
-                    row.append(-1)
-                    continue
-                u = units[end - length]
-                s = u + s if len(u) == 1 else (u if length == 1 else "\1" + s)
-                row.append(index.get(s, -1))
-            rows.append(row)
-        return np.array(rows, np.int32)
-
-
-def _scores(scores: np.ndarray, span: np.ndarray, start_is_0: bool, end_is_n: bool) -> np.ndarray:
-    kind = (WHOLE if end_is_n else FIRST) if start_is_0 else (LAST if end_is_n else INNER)
-    return np.where(span >= 0, scores[kind][np.maximum(span, 0)], -np.inf)
-
-
-def forward(scores: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """Log-space forward sums [words, n + 1] of words of n units each; spans is [words, n, longest]."""
-    words, n, longest = spans.shape
-    alpha = np.full((words, n + 1), -np.inf)
+    def spans(self, units: list[str]) -> list[int]:
+        """For each end, then each length up to ``longest``: the piece, or -1."""
+        n, get, longest = len(units), self.index.get, self.longest
+        word = "".join(units)
+        if len(word) == n:
+            return [get(word[e - k : e], -1) for e in range(1, n + 1) for k in range(1, min(e, longest) + 1)]
+        # a unit for a byte stands alone
+        return [get("".join(units[e - k : e]), -1) if k == 1 or all(len(u) == 1 for u in units[e - k : e]) else -1 for e in range(1, n + 1) for k in range(1, min(e, longest) + 1)]
+
+
+@lru_cache(maxsize=256)
+def _arcs(n: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, kind) of the arcs of words of ``n`` units, in the order of :meth:`Pieces.spans`."""
+    arcs = [(e - k, e) for e in range(1, n + 1) for k in range(1, min(e, longest) + 1)]
+    kind = [(WHOLE if e == n else FIRST) if s == 0 else (LAST if e == n else INNER) for s, e in arcs]
+    return np.array([s for s, _ in arcs]), np.array([e for _, e in arcs]), np.array(kind)
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=1)
+    base = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return base + np.log(np.exp(x - base[:, None]).sum(axis=1))
+
+
+def _arc_scores(scores: np.ndarray, spans: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    table = np.concatenate([scores, np.full((4, 1), -np.inf)], axis=1)  # -1 finds the last column
+    return table[kind[None, :], spans]
+
+
+def forward(arc_scores: np.ndarray, n: int, longest: int) -> np.ndarray:
+    """Log-space forward sums [words, n + 1] of words of ``n`` units."""
+    alpha = np.full((len(arc_scores), n + 1), -np.inf)
     alpha[:, 0] = 0.0
+    at = 0
     for end in range(1, n + 1):
-        lengths = range(1, min(end, longest) + 1)
-        parts = np.stack([alpha[:, end - k] + _scores(scores, spans[:, end - 1, k - 1], k == end, end == n) for k in lengths])
-        top = parts.max(axis=0)
-        base = np.where(np.isfinite(top), top, 0.0)
-        with np.errstate(divide="ignore"):
-            alpha[:, end] = base + np.log(np.exp(parts - base).sum(axis=0))
+        k = min(end, longest)
+        alpha[:, end] = _log_sum(arc_scores[:, at : at + k] + alpha[:, end - k : end][:, ::-1])
+        at += k
     return alpha
 
 
-def backward(scores: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    words, n, longest = spans.shape
-    beta = np.full((words, n + 1), -np.inf)
+def backward(arc_scores: np.ndarray, n: int, longest: int) -> np.ndarray:
+    beta = np.full((len(arc_scores), n + 1), -np.inf)
     beta[:, n] = 0.0
+    starts, ends, _ = _arcs(n, longest)
     for start in range(n - 1, -1, -1):
-        lengths = range(1, min(n - start, longest) + 1)
-        parts = np.stack([beta[:, start + k] + _scores(scores, spans[:, start + k - 1, k - 1], start == 0, start + k == n) for k in lengths])
-        top = parts.max(axis=0)
-        base = np.where(np.isfinite(top), top, 0.0)
-        with np.errstate(divide="ignore"):
-            beta[:, start] = base + np.log(np.exp(parts - base).sum(axis=0))
+        mine = np.flatnonzero(starts == start)
+        beta[:, start] = _log_sum(arc_scores[:, mine] + beta[:, ends[mine]])
     return beta
 
 
-def expected(scores: np.ndarray, spans: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
-    """Add the expected uses of every piece in every position to ``out`` [4, pieces]."""
-    words, n, longest = spans.shape
-    a, b = forward(scores, spans), backward(scores, spans)
-    total = a[:, n]
-    for end in range(1, n + 1):
-        for k in range(1, min(end, longest) + 1):
-            span = spans[:, end - 1, k - 1]
-            use = np.flatnonzero(span >= 0)
-            if len(use):
-                kind = (WHOLE if end == n else FIRST) if k == end else (LAST if end == n else INNER)
-                gain = np.exp(a[use, end - k] + scores[kind][span[use]] + b[use, end] - total[use]) * weights[use]
-                out[kind] += np.bincount(span[use], weights=gain, minlength=out.shape[1])
+def expected(pieces: Pieces, scores: np.ndarray, n: int, spans: np.ndarray, out: np.ndarray) -> None:
+    """Add the expected uses of every piece in every position, each word once, to ``out`` [4, pieces]."""
+    starts, ends, kind = _arcs(n, pieces.longest)
+    arc = _arc_scores(scores, spans, kind)
+    a, b = forward(arc, n, pieces.longest), backward(arc, n, pieces.longest)
+    gain = np.exp(a[:, starts] + arc + b[:, ends] - a[:, n : n + 1])
+    word, col = np.nonzero(gain)
+    out += np.bincount(kind[col] * out.shape[1] + spans[word, col], weights=gain[word, col], minlength=out.size).reshape(out.shape)
 
 
-def by_length(pieces: Pieces, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Positions of words of equally many units and their spans, in blocks."""
+def by_length(pieces: Pieces, words: list[str]) -> Iterator[tuple[list[int], int, np.ndarray]]:
+    """Positions of words of equally many units, that number, and their spans, in blocks."""
     groups: dict[int, list[int]] = {}
     units = [pieces.units(w) for w in words]
     for i, u in enumerate(units):
         groups.setdefault(len(u), []).append(i)
     for n, at in groups.items():
-        step = 4096 if n <= SIDE_BY_SIDE else max(1, 4096 * SIDE_BY_SIDE // n)
+        step = max(1, min(4096, 400_000 // (n * min(n, pieces.longest))))
         for i in range(0, len(at), step):
             part = at[i : i + step]
-            yield part, np.stack([pieces.spans(units[j]) for j in part])
+            yield part, n, np.array([pieces.spans(units[j]) for j in part], np.int32)
 
 
 def word_log10(pieces: Pieces, scores: np.ndarray, words: list[str]) -> np.ndarray:
+    """Marginal log10 probability of each word over its segmentations into pieces."""
     out = np.zeros(len(words))
-    for at, spans in by_length(pieces, words):
-        out[at] = forward(scores, spans)[:, -1] / math.log(10)
+    for at, n, spans in by_length(pieces, words):
+        arc = _arc_scores(scores, spans, _arcs(n, pieces.longest)[2])
+        out[at] = forward(arc, n, pieces.longest)[:, n] / math.log(10)
     return out
 
 
+def with_own_arc(lattice: np.ndarray, counts: np.ndarray, total: int, unseen: float) -> np.ndarray:
+    """log10 of the pieces' share times their marginal plus the word's own arc."""
+    own = (1 - unseen) * counts / max(1, total)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(own), lattice * math.log(10) + math.log(unseen)) / math.log(10)
+
+
 def estimate(pieces: Pieces, uses: np.ndarray) -> np.ndarray:
     """New scores of expected uses; characters and bytes keep a little everywhere, so that every word has a probability."""
     uses = uses + np.where(pieces.single, SMOOTHING, 0.0)
@@ -173,6 +179,11 @@ def estimate(pieces: Pieces, uses: np.ndarray) -> np.ndarray:
         return np.log(np.stack([*(starts / starts.sum()), *(rest / rest.sum())]))
 
 
+@lru_cache(maxsize=2)
+def _pieces(name: str) -> Pieces:
+    return Pieces.load(name)
+
+
 # --- over a corpus ------------------------------------------------------------------
 
 
@@ -209,25 +220,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expect(pieces_name: str, scores: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(pieces_name)
+        pieces = _pieces(pieces_name)
         out = np.zeros(scores.shape)
         for batch in batches:
-            words = [w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
-            weights = batch.column(1).to_numpy().astype(float)
-            for at, spans in by_length(pieces, words):
-                expected(scores, spans, weights[at], out)
+            for _, n, spans in by_length(pieces, [w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]):
+                expected(pieces, scores, n, spans, out)
         kind, piece = np.nonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(piece, pa.int32()), pa.array(out[kind, piece])], ["kind", "piece", "uses"])
 
     return run
 
 
-def _word_scores(pieces_name: str, scores: np.ndarray):
+def _word_scores(pieces_name: str, scores: np.ndarray, total: int, unseen: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(pieces_name)
+        pieces = _pieces(pieces_name)
         for batch in batches:
             words = [w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(word_log10(pieces, scores, words))], ["word", "c", "uses", "lattice"])
+            p = with_own_arc(word_log10(pieces, scores, words), batch.column(1).to_numpy().astype(float), total, unseen)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(p)], ["word", "c", "uses", "lattice"])
 
     return run
 
@@ -282,22 +292,24 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vo
     counted = rows.select(F.col("held_out").cast("int").alias("held_out"), "text").mapInArrow(_count, "word binary, c bigint, uses bigint")
     words = common.keep(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses")), "words")
     ends = rows.filter(~F.col("held_out")).count()
-    total = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     n_words = total.n or 0
     n, v = n_words + ends, (total.v or 0) + (ends > 0)
+    unseen = (total.once + 1) / (n_words + 1) if n_words else 1.0
+    unseen = min(1.0, unseen)
 
-    pieces = Pieces.load(vocabulary)
+    pieces = _pieces(vocabulary)
     scores = pieces.prior()
     for _ in range(rounds if n_words else 0):
         uses = np.zeros(scores.shape)
-        got = words.filter("c > 0").select("word", "c").mapInArrow(_expect(vocabulary, scores), "kind int, piece int, uses double").groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).toPandas()  # at most 4 rows per piece
+        got = words.filter("c > 0").select("word").mapInArrow(_expect(vocabulary, scores), "kind int, piece int, uses double").groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).toPandas()  # at most 4 rows per piece
         uses[got["kind"].to_numpy(), got["piece"].to_numpy()] = got["uses"].to_numpy()
         scores = estimate(pieces, uses)
     # after the end of a word the text ends or a further word starts
     p_end = ends / n if n_words and ends else 0.5
     go_on = math.log10(1 - p_end)
 
-    scored = common.keep(words.mapInArrow(_word_scores(vocabulary, scores), "word binary, c bigint, uses bigint, lattice double"), "word-scores")
+    scored = common.keep(words.mapInArrow(_word_scores(vocabulary, scores, n_words, unseen), "word binary, c bigint, uses bigint, lattice double"), "word-scores")
     head = scored.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("uses"), "word").limit(head_words).select("word", "c", "lattice").toPandas()
     head_ = ([bytes(w) for w in head["word"]], head["c"].to_numpy(np.int64), head["lattice"].to_numpy(float))
     least = F.monotonically_increasing_id().alias("row")
