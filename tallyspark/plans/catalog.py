@@ -1,4 +1,11 @@
 """All registered queries of the evaluation engine and their SQL."""
 
+from __future__ import annotations
+
+from tallyspark.plans import corpus, scoring, voting
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (scoring, voting, corpus):
+    QUERIES |= _module.REGISTRY.queries
+    ORACLE_SQL |= _module.REGISTRY.sql
