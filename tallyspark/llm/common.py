@@ -1,4 +1,4 @@
-"""What the training-data operators share: scratch tables, code shipping, token hashing.
+"""What the training-data operators share: scratch tables, token hashing.
 
 Scratch tables are Parquet below the folder that ``spark.checkpoint.dir`` names, so
 they are visible to every executor and outlive the loss of any of them.
@@ -6,18 +6,15 @@ they are visible to every executor and outlive the loss of any of them.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.shipping import ship  # noqa: F401  (used as common.ship)
+
 #: Used only where the session names no checkpoint folder, as in tests on one machine.
 FALLBACK_DIR = "/tmp/checkpoints"
 
@@ -50,21 +47,6 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package wherever they run (once a session)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tallyspark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = os.path.realpath(tempfile.mkdtemp())  # the driver serves the file from here to executors
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/tallyspark.zip", "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(f"{folder}/tallyspark.zip")
-    sc._tallyspark_shipped = True
-
-
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
