@@ -2,8 +2,12 @@
 
 Read: one partition per committed file. Filters on ``record_type``, ``target_uri``,
 ``refers_to`` and ``record_id`` are pushed into the scan and tested on a record's
-headers; the payload of a record they reject is skipped by its Content-Length, never
-read or decoded. ``payload=false`` skips all payloads.
+headers; the payload of a record they reject is skipped by its length, never read or
+decoded. ``payload=false`` skips all payloads.
+
+Each record is a gzip member of its own (``compression=none`` writes plain records). The
+member states its compressed length in the extra field "sl", so a reader inflates no
+more than the headers of a record it skips. Plain files and other gzip files are read too.
 
 Write: each task writes one file under a name of its own; the driver lists the files
 of the tasks that Spark committed in a manifest, and readers follow the manifest, so
@@ -13,9 +17,12 @@ retried and lost tasks leave no records.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,6 +72,65 @@ def record_bytes(row) -> bytes:
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + http + body + b"\r\n\r\n"
 
 
+def gzip_member(record: bytes, level: int = 6) -> bytes:
+    """The record as a gzip member whose extra field "sl" holds its deflated and its full length."""
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = deflate.compress(record) + deflate.flush()
+    extra = b"sl" + struct.pack("<HII", 8, len(body), len(record) & 0xFFFFFFFF)
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+
+
+class _Member(io.RawIOBase):
+    """One gzip member of known deflated length, inflated as it is read."""
+
+    def __init__(self, file, length: int):
+        self.file, self.left, self.inflate, self.ready = file, length, zlib.decompressobj(-15), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, b) -> int:
+        while not self.ready and self.left:
+            raw = self.file.read(min(self.left, 1 << 11))
+            self.left -= len(raw)
+            self.ready = self.inflate.decompress(raw)
+            if not raw:
+                break
+        data, self.ready = self.ready[: len(b)], self.ready[len(b) :]
+        b[: len(data)] = data
+        return len(data)
+
+
+def read_archive(stream, accepts=lambda fields: True, payload: bool = True) -> Iterator[tuple]:
+    """Rows of a seekable file of plain records, of members with "sl", or of any other gzip file."""
+    while (magic := stream.read(2)) == b"\x1f\x8b":
+        head = stream.read(10)
+        extra = stream.read(struct.unpack("<H", head[8:10])[0]) if head[1] == 4 else b""
+        if extra[:2] != b"sl":
+            stream.seek(0)
+            yield from read_records(_Forward(gzip.GzipFile(fileobj=stream)), accepts, payload)
+            return
+        length = struct.unpack("<I", extra[4:8])[0]
+        start = stream.tell()
+        # the first bytes hold the headers; the rest is inflated only if the record is wanted
+        yield from read_records(_Forward(io.BufferedReader(_Member(stream, length), 1 << 11)), accepts, payload, alone=True)
+        stream.seek(start + length + 8)
+    if magic:
+        stream.seek(0)
+        yield from read_records(stream, accepts, payload)
+
+
+class _Forward:
+    """A stream that skips by reading, for those that can't seek."""
+
+    def __init__(self, stream):
+        self.stream, self.readline, self.read = stream, stream.readline, stream.read
+
+    def seek(self, n: int, whence: int) -> None:
+        while n > 0 and (got := len(self.stream.read(min(n, 1 << 16)))):
+            n -= got
+
+
 def _headers(stream) -> dict[str, str] | None:
     """The named fields of the next record, or None at the end."""
     line = stream.readline()
@@ -93,8 +159,8 @@ def _urn(value: str | None) -> str | None:
     return value.removeprefix("urn:x-record:")
 
 
-def read_records(stream, accepts=lambda fields: True, payload: bool = True) -> Iterator[tuple]:
-    """Rows of SCHEMA; ``accepts`` sees the header columns alone and spares the rest."""
+def read_records(stream, accepts=lambda fields: True, payload: bool = True, alone: bool = False) -> Iterator[tuple]:
+    """Rows of SCHEMA; ``accepts`` sees the header columns alone and spares the rest. ``alone``: of the first record, whose rest the caller skips."""
     while (h := _headers(stream)) is not None:
         length = int(h.get("content-length", 0))
         fields = {
@@ -105,6 +171,8 @@ def read_records(stream, accepts=lambda fields: True, payload: bool = True) -> I
             "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
         }
         if not accepts(fields):
+            if alone:
+                return
             stream.seek(length, io.SEEK_CUR)
             continue
         body, n = None, length
@@ -123,9 +191,11 @@ def read_records(stream, accepts=lambda fields: True, payload: bool = True) -> I
             left = length
         if payload and fields["record_type"] != "revisit":
             body = stream.read(left)
-        else:
+        elif not alone:
             stream.seek(left, io.SEEK_CUR)
         yield (*fields.values(), n, body)
+        if alone:
+            return
 
 
 # --- the data source ----------------------------------------------------------------
@@ -199,7 +269,7 @@ class WarcReader(DataSourceReader):
             return
         fs, _ = _filesystem(self.path)
         with fs.open_input_file(partition.path) as raw, io.BufferedReader(_Raw(raw), 1 << 20) as stream:
-            yield from read_records(stream, self._accepts, self.payload)
+            yield from read_archive(stream, self._accepts, self.payload)
 
 
 class _Raw(io.RawIOBase):
@@ -230,14 +300,16 @@ class _Raw(io.RawIOBase):
 class WarcWriter(DataSourceWriter):
     def __init__(self, options):
         self.path = options["path"]
+        self.plain = str(options.get("compression", "gzip")).lower() == "none"
 
     def write(self, rows):
         fs, path = _filesystem(self.path)
         fs.create_dir(path, recursive=True)
-        name, n = f"part-{uuid.uuid4().hex}.warc", 0
-        with fs.open_output_stream(f"{path}/{name}", buffer_size=1 << 20) as out:
+        name, n = f"part-{uuid.uuid4().hex}.warc{'' if self.plain else '.gz'}", 0
+        with fs.open_output_stream(f"{path}/{name}", compression=None, buffer_size=1 << 20) as out:
             for row in rows:
-                out.write(record_bytes(row))
+                record = record_bytes(row)
+                out.write(record if self.plain else gzip_member(record))
                 n += 1
         return _Wrote(name, n)
 
