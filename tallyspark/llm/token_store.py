@@ -9,12 +9,16 @@ which both sides derive the same canonical code.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +30,7 @@ MAX_BITS = 16
 STEP = 256
 BLOCK_IDS = 1 << 18
 #: Distinct white-space-free chunks whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 400_000
 
 
 # --- the code -----------------------------------------------------------------------
@@ -128,45 +132,71 @@ def unpack(data: bytes, n_ids: int, checkpoints: np.ndarray, table: tuple[np.nda
 # --- encoding texts -----------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+# The vocabulary file's split into words, and its byte alphabet.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+#: Chunks of printable characters below this one are split here, others by the tokenizer's own normaliser.
+_PLAIN = regex.compile(r"[!-~¡-¬®-\u024F]+")
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer whose pieces never cross ASCII white space.
 
     For such a vocabulary a text's ids are those of its white-space-free chunks, one
-    after another, so every chunk is encoded once and remembered.
+    after another, so every chunk is encoded once and remembered. A plain chunk is
+    lower-cased and split into words here, and only its words go to the tokenizer's model.
     """
 
     def __init__(self, vocabulary: str):
-        self.tokenizer = _tokenizer(common.vocabulary_path(vocabulary))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(common.vocabulary_path(vocabulary))
+        self.model = self.tokenizer.model
         self.seen: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         # only ASCII white space parts chunks; other spaces are left to the tokenizer
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        seen = self.seen
-        new = [c for c in dict.fromkeys(c for s in split for c in s) if c not in seen]
-        if len(seen) + len(new) > CACHE:
-            self.seen = seen = {}
-            new = list(dict.fromkeys(c for s in split for c in s))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
-                seen[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([seen[c] for c in s]) for s in split]
+        seen, out = self.seen, []
+        for t in texts:
+            chunks = t.encode("utf-8", "surrogatepass").lower().split()
+            for c in set(chunks).difference(seen):
+                seen[c] = self._chunk(c)
+            out.append(b"".join([seen[c] for c in chunks]))
+            if len(seen) > CACHE:
+                seen.clear()
+            if len(self.words) > CACHE:
+                self.words.clear()
+        return out
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        s = chunk.decode("utf-8", "replace")
+        ascii_ = s.isascii()
+        if not _PLAIN.fullmatch(s) or "<|" in s or not (ascii_ or unicodedata.is_normalized("NFC", s)):
+            return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+        if not ascii_:
+            s = "".join([c.lower() for c in s])  # one by one, as the tokenizer does
+        words = self.words
+        parts = [s] if s.isalpha() else _SPLIT.findall(s)
+        for w in parts:
+            if w not in words:
+                # printable ASCII stands for itself in the byte alphabet
+                form = w if ascii_ else "".join([_ALPHABET[b] for b in w.encode()])
+                words[w] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+        return words[s] if parts == [s] else b"".join([words[w] for w in parts])
+
+
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: str) -> Encoder:
+    """One for a Python worker, whichever tasks it runs."""
+    return Encoder(vocabulary)
 
 
 def _encode_partitions(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = _encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         seq = 0
         for batch in batches:
