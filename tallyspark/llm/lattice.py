@@ -310,8 +310,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vo
     go_on = math.log10(1 - p_end)
 
     scored = common.keep(words.mapInArrow(_word_scores(vocabulary, scores, n_words, unseen), "word binary, c bigint, uses bigint, lattice double"), "word-scores")
-    head = scored.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("uses"), "word").limit(head_words).select("word", "c", "lattice").toPandas()
-    head_ = ([bytes(w) for w in head["word"]], head["c"].to_numpy(np.int64), head["lattice"].to_numpy(float))
+    head = scored.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("uses"), "word").limit(head_words).select("word", "c", "lattice").toArrow()
+    head_ = (head["word"].to_pylist(), head["c"].to_numpy(), head["lattice"].to_numpy())
     least = F.monotonically_increasing_id().alias("row")
     texts = common.keep(rows.select(least, "*").mapInArrow(_score(head_), f"row bigint, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_words bigint, n_known bigint, log_counts double, lattice double, tail {_TAIL}"), "texts")
     tail = texts.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n").join(scored.select("word", "c", F.col("lattice").alias("p")), "word")
