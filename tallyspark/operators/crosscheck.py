@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of values that travel with the tasks at once.
@@ -54,6 +54,23 @@ def _finder(words: dict[str, list[int]]):
     return find
 
 
-def status(n_docs_or_hits):
+def status(n: Column) -> Column:
     """unique, ambiguous or missing by the number of occurrences."""
-    return F.when(n_docs_or_hits == 0, "missing").when(n_docs_or_hits == 1, "unique").otherwise("ambiguous")
+    return F.when(n == 0, "missing").when(n == 1, "unique").otherwise("ambiguous")
+
+
+def crosscheck_fields(records: DataFrame, key: list[str], kinds: dict[str, str], text: str = "text", expected_missing: tuple[str, ...] = ()) -> DataFrame:
+    """``key, field, value, searched, n, status, expected``: how often each record's own text prints its scalar fields.
+
+    ``kinds`` maps a field to str, date, int or number, and so to the ways it may be printed;
+    null fields are left out. A record without text has every value missing, so one bad
+    document does not stop the batch. ``expected`` marks missing fields that are normalised.
+    """
+    from tallyspark.functions.formats import join_address_lines, renderings
+    from tallyspark.functions.values import occurrences
+
+    t = F.coalesce(join_address_lines(F.col(text)), F.lit(""))
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), renderings(k, F.col(f)).alias("searched")) for f, k in kinds.items()])
+    rows = records.withColumn("__text", t).select(*key, "__text", F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("c"))
+    n = F.aggregate("c.searched", F.lit(0).cast("bigint"), lambda a, v: a + occurrences(F.col("__text"), v))
+    return rows.select(*key, "c.*", n.alias("n")).withColumn("status", status(F.col("n"))).withColumn("expected", (F.col("status") == "missing") & F.col("field").isin(*expected_missing) if expected_missing else F.lit(False))
