@@ -44,6 +44,16 @@ def tables(spark, tmp_path_factory):
     return d, bench
 
 
+def plain_ratios(raw, target):
+    out = np.zeros(len(raw), np.float32)
+    for i, pseudo in enumerate(importance.PSEUDO.values()):
+        part = slice(i << importance.BITS, (i + 1) << importance.BITS)
+        share = target[part].sum() / max(1, raw[part].sum())
+        r = np.log((target[part] + pseudo) / (raw[part] * share + pseudo))
+        out[part] = np.where(np.abs(r) >= importance.MARGIN, r, 0.0)
+    return out
+
+
 def plain_quality(rows, labels):
     good = {i: q == 1 and t == 0 for i, q, t in labels}
     counts = np.zeros((2, len(importance.PSEUDO) << importance.BITS))
@@ -54,7 +64,7 @@ def plain_quality(rows, labels):
             np.add.at(counts[0], b, 1)
             if good.get(i) and not fold(i):
                 np.add.at(counts[1], b, 1)
-    ratios = importance.log_ratios(*counts)
+    ratios = plain_ratios(*counts)
     weights = {i: importance.log_weight(ratios, t) for i, t in rows["docs"]}
     checked = [i for i in good if fold(i)]
     threshold = importance.best_threshold(np.array([weights[i] for i in checked]), np.array([good[i] for i in checked]))
