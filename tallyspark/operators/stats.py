@@ -35,3 +35,13 @@ def most_frequent(values: DataFrame, by: list[str], value: str, least: int = 2)
 def duplicate_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
     """Content that several rows share: ``digest, n, first_key``."""
     return df.groupBy(F.sha2(content, 256).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first_key")).filter("n > 1")
+
+
+def corpus_digest(df: DataFrame, key: str, content: Column) -> DataFrame:
+    """``n, digest`` of all (key, content) pairs: changes with any of them, whatever the order of rows.
+
+    Sums of two parts of each pair's SHA-256 are hashed once more, so partial sums suffice.
+    """
+    pair = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.sha2(F.coalesce(content, F.lit("")), 256)), 256)
+    part = lambda i: F.sum(F.conv(F.substring(pair, i, 12), 16, 10).cast("decimal(20,0)")).cast("string")
+    return df.agg(F.count("*").alias("n"), F.sha2(F.concat_ws("|", part(1), part(13), part(25)), 256).alias("digest"))

@@ -50,6 +50,14 @@ def length_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.sum(n).alias("chars"), F.min(n).alias("least"), F.max(n).alias("most"), _r(F.median(n), "median"))
 
 
+_PAIR = "sha256(doc_id::VARCHAR || '|' || sha256(coalesce(text, '')))"
+
+
+@query("WITH p AS (SELECT " + _PAIR + " AS h FROM documents) SELECT count(*)::BIGINT AS n, sha256(" + " || '|' || ".join(f"coalesce(sum(('0x' || substr(h, {i}, 12))::BIGINT)::VARCHAR, '')" for i in (1, 13, 25)) + ") AS digest FROM p")
+def corpus_digest(spark: SparkSession, d: str) -> DataFrame:
+    return stats.corpus_digest(table(spark, d, "documents"), "doc_id", F.col("text"))
+
+
 # --- text checks --------------------------------------------------------------------
 
 _HITS = "WITH h AS (SELECT b.item_id, d.doc_id, ((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text))::BIGINT AS n, strpos(d.text, b.text)::BIGINT AS position FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '')"

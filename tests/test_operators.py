@@ -188,6 +188,24 @@ def test_frames(spark):
     assert column(spark, "i int", [(0,), (9879,)], frame.numbered_ids(F.col("i"), 121)) == ["0121", "10000"]
 
 
+def test_exclusions_that_disagree_and_assignment(spark):
+    s = "number string, title string"
+    pop = spark.createDataFrame([("n1", "t1"), ("n2", "t2"), (None, "t3")], s)
+    assert [r.number for r in frame.disagreement(pop, spark.createDataFrame([("n1", "t1"), ("n9", "t2")], s), "number", "title").collect()] == ["n2"]
+    records = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, title string")
+    present = spark.createDataFrame([("b", "0001")], "title string, doc_id string")
+    free = spark.createDataFrame([("0003",), ("0002",)], "doc_id string")
+    got = {(r.k, r.doc_id, r.kept) for r in frame.assign(records, present, "title", "k", free, "doc_id").collect()}
+    assert got == {(1, "0002", False), (2, "0001", True), (3, "0003", False)}
+
+
+def test_digest_sees_every_change(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "k int, t string")
+    d = lambda x: stats.corpus_digest(x, "k", F.col("t")).first()
+    assert d(df) == d(df.repartition(3)) and d(df).n == 3
+    assert d(df) != d(df.withColumn("t", F.when(F.col("k") == 1, "b").otherwise(F.col("t")))) and d(df) != d(df.withColumn("k", F.col("k") + 1))
+
+
 def test_corrections(spark):
     cells_ = spark.createDataFrame([(1, "f", "a"), (1, "g", None)], "d int, field string, v string")
     fixes = lambda rows: spark.createDataFrame(rows, "d int, field string, expected_old string, new string")
