@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.shipping import ship  # noqa: F401  (used as common.ship)
+from tallyspark import shipping
 
 #: Used only where the session names no checkpoint folder, as in tests on one machine.
 FALLBACK_DIR = "/tmp/checkpoints"
@@ -47,6 +47,17 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Texts of one Arrow batch; with Spark's default of 10,000, long texts make batches of hundreds of MB on both sides.
+BATCH_ROWS = "1000"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package known to executors, and keep the batches of texts sent to Python small unless the session says otherwise."""
+    shipping.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
