@@ -12,17 +12,38 @@ from pyspark.sql.types import DoubleType, StructType
 from tallyspark.operators.order import global_index
 
 
-def draws(spark: SparkSession, n: Column | int, iterations: int, seed: int) -> DataFrame:
-    """``b, idx, weight``: how often document ``idx`` of ``n`` is drawn in resample ``b``.
+#: Up to so many documents (some tens of bytes each) are broadcast to the draws.
+BROADCAST_DOCS = 1_000_000
+
+
+def single_draws(spark: SparkSession, n: Column | int, iterations: int, seed: int) -> DataFrame:
+    """``b, idx``: a row for each draw of resample ``b`` from ``n`` documents.
 
     The k-th draw is the first eight hex digits of md5(seed|b|k) modulo ``n``, so any SQL
-    engine makes the same draws. Weights are summed before anything is joined to them.
+    engine makes the same draws.
     """
     n = F.lit(n) if isinstance(n, int) else n
     b = spark.range(iterations).withColumnRenamed("id", "b").withColumn("n", n.cast("bigint"))
     k = b.filter("n > 0").select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
     idx = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "b", "k")), 1, 8), 16, 10).cast("bigint") % F.col("n")
-    return k.select("b", idx.alias("idx")).groupBy("b", "idx").agg(F.count("*").alias("weight"))
+    return k.select("b", idx.alias("idx"))
+
+
+def draws(spark: SparkSession, n: Column | int, iterations: int, seed: int) -> DataFrame:
+    """``b, idx, weight``: how often :func:`single_draws` has document ``idx`` in resample ``b``."""
+    return single_draws(spark, n, iterations, seed).groupBy("b", "idx").agg(F.count("*").alias("weight"))
+
+
+def drawn(per_doc: DataFrame, key: str, iterations: int, seed: int) -> DataFrame:
+    """The documents of every resample, with ``b`` and ``weight``.
+
+    Few documents are broadcast to the draws, which then need no shuffle before the sums of
+    a resample; of more, weights are summed before anything is joined to them.
+    """
+    n, docs = per_doc.count(), indexed(per_doc, key)
+    if n <= BROADCAST_DOCS:
+        return single_draws(per_doc.sparkSession, n, iterations, seed).join(F.broadcast(docs), "idx").withColumn("weight", F.lit(1))
+    return draws(per_doc.sparkSession, n, iterations, seed).join(docs, "idx")
 
 
 def indexed(per_doc: DataFrame, key: str) -> DataFrame:
@@ -35,22 +56,16 @@ def bootstrap(per_doc: DataFrame, key: str, metrics: list[str], *, iterations: i
     Documents are resampled with replacement. Resamples without a denominator are left out
     and ``n_valid`` counts the others; fewer than two give no interval.
     """
-    spark = per_doc.sparkSession
-    n = per_doc.count()
-    docs = indexed(per_doc, key)
-    sums = draws(spark, n, iterations, seed).join(docs, "idx").groupBy("b").agg(*[F.sum(F.col("weight") * F.col(f"{m}_{p}")).alias(f"{m}_{p}") for m in metrics for p in ("num", "den")])
+    sums = drawn(per_doc, key, iterations, seed).groupBy("b").agg(*[F.sum(F.col("weight") * F.col(f"{m}_{p}")).alias(f"{m}_{p}") for m in metrics for p in ("num", "den")])
     long = sums.select("b", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.try_divide(F.col(f"{m}_num").cast("double"), F.col(f"{m}_den").cast("double")).alias("v")) for m in metrics])).alias("m")).select("b", "m.*")
     return long.groupBy("metric").agg(F.count("v").alias("n_valid"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high")).select("metric", "n_valid", F.when(F.col("n_valid") >= 2, F.col("low")).alias("ci_low"), F.when(F.col("n_valid") >= 2, F.col("high")).alias("ci_high"))
 
 
 def paired_bootstrap(per_doc: DataFrame, key: str, a: str, b: str, *, iterations: int, seed: int) -> DataFrame:
     """Interval of the difference of two runs' ratios under the same draws; ``per_doc`` has ``<run>_num`` and ``<run>_den``."""
-    spark = per_doc.sparkSession
-    n = per_doc.count()
-    docs = indexed(per_doc, key)
     s = lambda c: F.sum(F.col("weight") * F.col(c)).cast("double")
     diff = F.try_divide(s(f"{a}_num"), s(f"{a}_den")) - F.try_divide(s(f"{b}_num"), s(f"{b}_den"))
-    sums = draws(spark, n, iterations, seed).join(docs, "idx").groupBy("b").agg(diff.alias("d")).filter("d IS NOT NULL")
+    sums = drawn(per_doc, key, iterations, seed).groupBy("b").agg(diff.alias("d")).filter("d IS NOT NULL")
     return sums.agg(F.count("d").alias("n_valid"), F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high")).withColumn("includes_zero", (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))
 
 

@@ -177,7 +177,7 @@ def headline_metrics(spark: SparkSession, d: str) -> DataFrame:
     return terms.withColumn("value", F.round(metrics.ratio(F.col("num"), F.col("den")), 9))
 
 
-ITERATIONS, SEED = 200, 20261011
+ITERATIONS, SEED = 10_000, 20261011
 _PER_DOC = f"""WITH per_doc AS (SELECT l.doc_id, (CASE WHEN {bucket_sql("'a'", 'l.doc_id')} < 80 THEN l.quality ELSE 1 - l.quality END = l.quality)::INT AS a_num, 1 AS a_den,
   CASE WHEN l.toxic = 1 THEN ({bucket_sql("'b'", 'l.doc_id')} < 70)::INT ELSE 0 END AS b_num, (l.toxic = 1)::INT AS b_den FROM labels l),
 docs AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS idx, count(*) OVER () AS n FROM per_doc),

@@ -1,8 +1,10 @@
 """Every query with SQL equals that SQL on the smallest tables."""
 
+import hashlib
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 
@@ -53,3 +55,21 @@ def test_order_of_partitions_does_not_matter(spark, tmp_path):
     for name in ("ordinal_match", "bootstrap_ci", "consensus_candidates", "trivial_mode"):
         one, many = (rows(catalog.QUERIES[name](spark, f"{tmp_path}/{n}").toPandas()) for n in (1, 17))
         assert one == many, name
+
+
+def test_intervals_rest_on_10_000_draws(spark, duck):
+    """Both bootstrap queries against brute force with the number of draws of the reference."""
+    n_draws, seed = 10_000, 20261011
+    bucket = lambda kind, i: int(hashlib.md5(f"{kind}|{i}".encode()).hexdigest()[:4], 16) % 100
+    labels = duck.sql("SELECT doc_id, quality, toxic FROM labels").fetchall()
+    docs = sorted(labels, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0]))
+    terms = np.array([[bucket("a", i) < 80, 1, t == 1 and bucket("b", i) < 70, t == 1] for i, _, t in docs], float)
+    idx = np.array([[int(hashlib.md5(f"{seed}|{b}|{k}".encode()).hexdigest()[:8], 16) % len(docs) for k in range(len(docs))] for b in range(n_draws)])
+    a_num, a_den, b_num, b_den = terms[idx].sum(axis=1).T
+    assert (b_den > 0).all()
+    for v, metric in ((a_num / a_den, "a"), (b_num / b_den, "b")):
+        r = catalog.QUERIES["bootstrap_ci"](spark, SF).filter(f"metric = '{metric}'").first()
+        assert (r.n_valid, r.ci_low, r.ci_high) == (n_draws, *(pytest.approx(x, abs=1e-8) for x in np.percentile(v, [2.5, 97.5])))
+    low, high = np.percentile(a_num / a_den - b_num / b_den, [2.5, 97.5])
+    r = catalog.QUERIES["paired_bootstrap"](spark, SF).first()
+    assert (r.n_valid, r.ci_low, r.ci_high, r.includes_zero) == (n_draws, pytest.approx(low, abs=1e-8), pytest.approx(high, abs=1e-8), low <= 0 <= high)
