@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -225,6 +226,22 @@ def test_sampling(spark):
     assert importance.resample(docs.limit(0), lab).count() == 0
 
 
+def test_few_words_that_the_target_never_has_outweigh_slight_ones():
+    ratios = np.zeros(len(importance.PSEUDO) << importance.BITS, np.float32)
+    clean, toxic = (" ".join([*words, *[f"plain{i}" for i in range(400 - len(words))]]) for words in ([f"odd{i}" for i in range(9)], ["slur1", "slur2", "slur3"]))
+    for word, r in [*((f"odd{i}", -1.1) for i in range(9)), *((f"slur{i}", -3.0) for i in (1, 2, 3))]:
+        ratios[importance.buckets(word)[0]] = r
+    assert importance.log_weight(ratios, toxic) < importance.log_weight(ratios, clean) < 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxic_texts_of_rare_languages(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = importance.resample(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").toPandas()
+    toxic = out[(out.toxic == 1) & (out.lang != "en")].selected
+    assert toxic.mean() < 0.14 and out[(out.toxic == 0) & (out.quality == 1)].selected.mean() > 0.97
+
+
 def test_top_keys_follow_the_weights():
     """Gumbel top-1 draws in proportion to the weights."""
     rng = np.random.default_rng(0)
