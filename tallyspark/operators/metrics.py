@@ -50,15 +50,27 @@ def metric_terms(cells: DataFrame, metrics: dict[str, tuple[Column, Column]], by
     return cells.select(*by, F.explode(feeds).alias("m")).groupBy(*by, "m.metric").agg(F.sum("m.num").alias("num"), F.count("*").alias("den"))
 
 
-def headline_registry(fields: list[str]) -> dict[str, tuple[Column, Column]]:
-    """Accuracy overall and per field, values and nulls, exact and normalised."""
+def sum_terms(rows: DataFrame, ratios: dict[str, tuple[Column, Column]], by: list[str]) -> DataFrame:
+    """Ratios of aggregates of another relation as (metric, num, den) rows, without those whose denominator is 0."""
+    totals = rows.groupBy(*by).agg(*[c.cast("bigint").alias(f"{k}_{i}") for i, terms in enumerate(ratios.values()) for k, c in zip(("num", "den"), terms)])
+    feeds = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"num_{i}").alias("num"), F.col(f"den_{i}").alias("den")) for i, name in enumerate(ratios)])
+    return totals.select(*by, F.explode(feeds).alias("m")).select(*by, "m.*").filter("den > 0")
+
+
+def f1_terms(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column]:
+    """F1 as a ratio of sums."""
+    return 2 * tp, 2 * tp + fp + fn
+
+
+def headline_registry(fields: list[str], groups: dict[str, list[str]] | None = None) -> dict[str, tuple[Column, Column]]:
+    """Accuracy overall, per field and per group of fields, values and nulls, exact and normalised."""
     out: dict[str, tuple[Column, Column]] = {}
     for mode in ("exact", "normalized"):
         o = F.col(f"outcome_{mode}")
         scored = o.isin(OUTCOMES)
         ok, gold = o.isin("correct", "correct_null"), F.col("gold")
         out |= {f"accuracy_{mode}": (ok, scored), f"value_accuracy_{mode}": (o == "correct", scored & gold.isNotNull()), f"null_accuracy_{mode}": (o == "correct_null", scored & gold.isNull())}
-        for f in fields:
-            own = scored & (F.col("field") == f)
-            out |= {f"{f}_accuracy_{mode}": (ok, own), f"{f}_value_accuracy_{mode}": (o == "correct", own & gold.isNotNull())}
+        for name, members in {**{f: [f] for f in fields}, **{f"group_{g}": m for g, m in (groups or {}).items()}}.items():
+            own = scored & F.col("field").isin(members)
+            out |= {f"{name}_accuracy_{mode}": (ok, own), f"{name}_value_accuracy_{mode}": (o == "correct", own & gold.isNotNull()), f"{name}_null_accuracy_{mode}": (o == "correct_null", own & gold.isNull())}
     return out

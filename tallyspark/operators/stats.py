@@ -14,6 +14,21 @@ def scalar_distribution(df: DataFrame, value: Column, total: int | None = None)
     return df.select(F.coalesce(value.cast("string"), F.lit(NULL)).alias("value")).groupBy("value").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.lit(float(max(n, 1))))
 
 
+def documents_of(df: DataFrame, value: Column, key: str) -> DataFrame:
+    """``value, n, key`` rows, one for each record: the records of every bucket of :func:`scalar_distribution`.
+
+    A list for each value would grow with the corpus in one row; sorted by falling ``n``, then
+    ``value`` and the key, the rows are that list.
+    """
+    rows = df.select(F.coalesce(value.cast("string"), F.lit(NULL)).alias("value"), F.col(key))
+    return rows.join(rows.groupBy("value").agg(F.count("*").alias("n")), "value").select("value", "n", key)
+
+
+def short_texts(df: DataFrame, key: str, text: Column, least: int = 200) -> DataFrame:
+    """``key, length`` of texts under ``least`` characters, a truncated or empty paste; a null text has none and is missing instead."""
+    return df.select(key, F.length(text).alias("length")).filter(F.col("length") < least)
+
+
 def membership_distribution(df: DataFrame, entries: Column, total: int | None = None) -> DataFrame:
     """Like :func:`scalar_distribution` for lists: a record counts once for each distinct entry."""
     n = df.count() if total is None else total

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.values import hash_bucket, normalize, normalize_exact
 from tallyspark.operators import match, metrics, report, resample
 from tallyspark.operators.cells import OUTCOMES, classify, melt_map
-from tallyspark.plans.bindings import CELLS_SQL, FIELDS, GOLD_SQL, bucket_sql, cells, gold_cells, normalize_sql, table
+from tallyspark.plans.bindings import CELLS_SQL, FIELDS, GOLD_SQL, RUNS, bucket_sql, cells, gold_cells, normalize_sql, table
 from tallyspark.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -139,14 +139,18 @@ UNION ALL SELECT '(micro)', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, r
 UNION ALL SELECT '(macro)', 0, 0, 0, round(avg(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0)), 9), round(avg(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0)), 9), round(avg(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)), 9)::DOUBLE FROM c"""
 
 
-@query(_LABELS)
-def label_micro_macro(spark: SparkSession, d: str) -> DataFrame:
+def _label_match(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "toxic")
     g = docs.select("doc_id", F.explode(F.when(F.col("toxic") == 1, F.array("lang", F.lit("toxic"))).otherwise(F.array("lang"))).alias("label"))
     lang = F.when(hash_bucket("lang", F.col("doc_id")) < 8, "en").otherwise(F.col("lang"))
     p = docs.select("doc_id", F.explode(F.when(hash_bucket("tox", F.col("doc_id")) < 12, F.array(lang, F.lit("toxic"))).otherwise(F.array(lang))).alias("label"))
+    return match.label_match(g, p, ["doc_id"], "label")
+
+
+@query(_LABELS)
+def label_micro_macro(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("status")
-    c = match.label_match(g, p, ["doc_id"], "label").groupBy("label").agg(F.count_if(s == "tp").alias("tp"), F.count_if(s == "fp").alias("fp"), F.count_if(s == "fn").alias("fn"))
+    c = _label_match(spark, d).groupBy("label").agg(F.count_if(s == "tp").alias("tp"), F.count_if(s == "fp").alias("fp"), F.count_if(s == "fn").alias("fn"))
     names = ["precision", "recall", "f1"]
     by = metrics.prf(F.col("tp"), F.col("fp"), F.col("fn"))
     each = c.select("label", "tp", "fp", "fn", *[_r(by[n], n) for n in names])
@@ -159,21 +163,52 @@ def label_micro_macro(spark: SparkSession, d: str) -> DataFrame:
 # --- registry, intervals ------------------------------------------------------------
 
 
+GROUPS = {"coded": ["status", "priority"], "measured": ["price", "odate"]}
+
+
 def _headline_sql() -> str:
     parts = []
     for mode in ("exact", "normalized"):
         o = f"outcome_{mode}"
         scored, ok = f"{o} IN {_SCORED}", f"{o} IN ('correct', 'correct_null')"
         rows = [(f"accuracy_{mode}", ok, scored), (f"value_accuracy_{mode}", f"{o} = 'correct'", f"{scored} AND gold IS NOT NULL"), (f"null_accuracy_{mode}", f"{o} = 'correct_null'", f"{scored} AND gold IS NULL")]
-        for f in FIELDS:
-            rows += [(f"{f}_accuracy_{mode}", ok, f"{scored} AND field = '{f}'"), (f"{f}_value_accuracy_{mode}", f"{o} = 'correct'", f"{scored} AND field = '{f}' AND gold IS NOT NULL")]
+        for name, own in [*((f, f"field = '{f}'") for f in FIELDS), *((f"group_{g}", "(" + " OR ".join(f"field = '{f}'" for f in m) + ")") for g, m in GROUPS.items())]:
+            rows += [(f"{name}_accuracy_{mode}", ok, f"{scored} AND {own}"), (f"{name}_value_accuracy_{mode}", f"{o} = 'correct'", f"{scored} AND {own} AND gold IS NOT NULL"), (f"{name}_null_accuracy_{mode}", f"{o} = 'correct_null'", f"{scored} AND {own} AND gold IS NULL")]
         parts += [f"SELECT run_id, '{n}' AS metric, count(*) FILTER ({a})::BIGINT AS num, count(*)::BIGINT AS den, round(count(*) FILTER ({a})::DOUBLE / count(*), 9) AS value FROM cells WHERE {b} GROUP BY run_id" for n, a, b in rows]
+    parts += [f"SELECT run_id, 'parse_failure_rate', count(*) FILTER ({bucket_sql('run_id', 'o_orderkey')} < 3)::BIGINT, count(*)::BIGINT, round(count(*) FILTER ({bucket_sql('run_id', 'o_orderkey')} < 3)::DOUBLE / count(*), 9) FROM orders, (SELECT unnest(['r1', 'r2', 'r3', 'r4', 'r5']) AS run_id) GROUP BY run_id"]
+    f1 = lambda tp, fp, fn: (f"2 * count(*) FILTER ({tp})", f"2 * count(*) FILTER ({tp}) + count(*) FILTER ({fp}) + count(*) FILTER ({fn})")
+    matched = lambda x: (f"count(*) FILTER ({x})", "count(*)")
+    labels = _LABELS[: _LABELS.index(",\nc AS (SELECT label")]
+    for name, source, (num, den) in [
+        ("parts_found_f1", _LINES + " SELECT * FROM m", f1("status = 'matched'", "status = 'spurious'", "status = 'missed'")),
+        ("parts_attribute_accuracy", _LINES + " SELECT * FROM m WHERE status = 'matched'", matched("gold_qty = pred_qty")),
+        ("labels_micro_f1", labels + " SELECT * FROM m", f1("status = 'tp'", "status = 'fp'", "status = 'fn'")),
+        ("extras_key_f1", _MAP + " SELECT * FROM m", f1("status = 'shared' AND name = 'k'", "status = 'pred_only' OR (status = 'shared' AND name <> 'k')", "status = 'gold_only' OR (status = 'shared' AND name <> 'k')")),
+        ("extras_value_accuracy", _MAP + " SELECT * FROM m WHERE status = 'shared' AND name = 'k'", matched("gold = pred")),
+    ]:
+        parts += [f"SELECT '-', '{name}', ({num})::BIGINT, ({den})::BIGINT, round(({num})::DOUBLE / ({den}), 9) FROM ({source}) HAVING ({den}) > 0"]
     return CELLS_SQL + " " + " UNION ALL ".join(parts)
 
 
 @query(_headline_sql())
 def headline_metrics(spark: SparkSession, d: str) -> DataFrame:
-    terms = metrics.metric_terms(cells(spark, d), metrics.headline_registry(FIELDS), ["run_id"])
+    """Every ratio of the registry by run; those of lists, labels and extras, which have one set of predictions, under ``-``."""
+    terms = metrics.metric_terms(cells(spark, d), metrics.headline_registry(FIELDS, GROUPS), ["run_id"])
+    docs = table(spark, d, "orders").select("o_orderkey", F.explode(F.array(*[F.lit(r) for r in RUNS])).alias("run_id"))
+    failed = hash_bucket(F.col("run_id"), F.col("o_orderkey")) < 3
+    terms = terms.unionByName(metrics.sum_terms(docs, {"parse_failure_rate": (F.count_if(failed), F.count("*"))}, ["run_id"]))
+    s, one = F.col("status"), lambda df: df.withColumn("run_id", F.lit("-"))
+    n = lambda x: F.count_if(s == x)
+    same, known = F.count_if((s == "matched") & (F.col("gold_qty") == F.col("pred_qty"))), F.col("name") == "k"
+    keys = match.map_counts(one(_map(spark, d)), ["run_id"], known).select("run_id", "tp", "fp", "fn")
+    shared = (s == "shared") & known
+    for rows, ratios in (
+        (one(_lines(spark, d)), {"parts_found_f1": metrics.f1_terms(n("matched"), n("spurious"), n("missed")), "parts_attribute_accuracy": (same, n("matched"))}),
+        (one(_label_match(spark, d)), {"labels_micro_f1": metrics.f1_terms(n("tp"), n("fp"), n("fn"))}),
+        (keys, {"extras_key_f1": metrics.f1_terms(F.sum("tp"), F.sum("fp"), F.sum("fn"))}),
+        (one(_map(spark, d)), {"extras_value_accuracy": (F.count_if(shared & (F.col("gold") == F.col("pred"))), F.count_if(shared))}),
+    ):
+        terms = terms.unionByName(metrics.sum_terms(rows, ratios, ["run_id"]))
     return terms.withColumn("value", F.round(metrics.ratio(F.col("num"), F.col("den")), 9))
 
 

@@ -91,6 +91,12 @@ def test_ratio_without_denominator(spark):
     assert column(spark, "n int, d int", [(1, 0), (1, 2)], metrics.ratio(F.col("n"), F.col("d"))) == [None, 0.5]
 
 
+def test_documents_of_a_value_and_short_texts(spark):
+    df = spark.createDataFrame([(3, "a", "x" * 200), (1, "a", "short"), (2, None, ""), (4, "b", None)], "k int, v string, t string")
+    assert sorted(map(tuple, stats.documents_of(df, F.col("v"), "k").collect())) == [("(null)", 1, 2), ("a", 2, 1), ("a", 2, 3), ("b", 1, 4)]
+    assert sorted(map(tuple, stats.short_texts(df, "k", F.col("t")).collect())) == [(1, 5), (2, 0)]
+
+
 def test_bootstrap_invariants(spark):
     same = spark.createDataFrame([(i, 1, 2) for i in range(20)], "k int, m_num int, m_den int")
     r = resample.bootstrap(same, "k", ["m"], iterations=30, seed=1).first()

@@ -57,6 +57,20 @@ def test_order_of_partitions_does_not_matter(spark, tmp_path):
         assert one == many, name
 
 
+def test_headline_metrics_have_every_family(spark):
+    got = {(r.run_id, r.metric): r for r in catalog.QUERIES["headline_metrics"](spark, SF).collect()}
+    one = catalog.QUERIES["list_prf"](spark, SF).first()
+    assert got["-", "parts_found_f1"].value == one.f1 and got["-", "parts_attribute_accuracy"].value == one.attribute_accuracy
+    assert got["-", "labels_micro_f1"].value == catalog.QUERIES["label_micro_macro"](spark, SF).filter("label = '(micro)'").first().f1
+    keys = catalog.QUERIES["map_key_prf"](spark, SF).groupBy().sum("tp", "fp", "fn").first()
+    assert (got["-", "extras_key_f1"].num, got["-", "extras_key_f1"].den) == (2 * keys[0], 2 * keys[0] + keys[1] + keys[2])
+    assert got["-", "extras_value_accuracy"].value == catalog.QUERIES["map_value_accuracy"](spark, SF).filter("name = 'k'").first().value_accuracy
+    for run in ("r1", "r5"):
+        assert 0 < got[run, "parse_failure_rate"].value < 0.1
+        parts = [got[run, f"{f}_null_accuracy_normalized"] for f in ("status", "priority")]
+        assert got[run, "group_coded_null_accuracy_normalized"].den == sum(p.den for p in parts)
+
+
 def test_intervals_rest_on_10_000_draws(spark, duck):
     """Both bootstrap queries against brute force with the number of draws of the reference."""
     n_draws, seed = 10_000, 20261011
