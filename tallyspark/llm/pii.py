@@ -36,8 +36,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Looser rules propose spans.
-_EMAIL_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-])", re.I)
+_EMAIL_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?)[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-])", re.I)
+# "at" between blanks before a real dot is more often prose ("hosted at example.com")
+_AT_PROSE = re.compile(r" at [A-Za-z0-9-]+\.", re.I)
 _IP6 = re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4}){1,4}(?![0-9A-Fa-f:])")
+# Zeros left out after a first group, as in fe80::1; at least one digit, so that no names of programs count.
+_IP6_SHORT = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])")
 _CARD_LOOSE = re.compile(r"(?<![0-9])[0-9]{4}(?:(?:[._/]|  ?)[0-9]{4,6}){2,3}(?:(?:[._/]|  ?)[0-9]{1,5})?(?![0-9])|(?<![0-9])3[47][0-9]{13}(?![0-9])")
 _PHONE_LOOSE = re.compile(r"(?<![0-9+])(?:00[0-9]{1,3}[ .-]?)?\(?0?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
 
@@ -106,11 +110,13 @@ def proposed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[st
                 taken.append((s, e))
                 out.append((kind, s, e))
 
-    low = text.lower() if " dot " in text or "dot)" in text or "dot]" in text or "dot}" in text or "DOT" in text else ""
-    if "dot" in low:
+    low = text.lower()
+    if " at " in low or "at)" in low or "at]" in low or "at}" in low:
         offer("email", _EMAIL_SPELT)
-    if text.count(":") > 3:
+    if text.count(":") >= 3:
         offer("ip", _IP6)
+    if "::" in text:
+        offer("ip", _IP6_SHORT, 1)
     if any(c in text for c in "0123456789"):
         offer("card", _CARD_LOOSE, 13, 19)
         offer("phone", _PHONE_LOOSE, 8, 15)
@@ -139,7 +145,7 @@ def votes(text: str, kind: str, start: int, end: int) -> str:
     else:
         gazetteer = "0"
     context = "+" if (before | after) & set(_CONTEXT[kind]) else "0"
-    counter = "-" if before & set(_COUNTER) else "0"
+    counter = "-" if before & set(_COUNTER) or kind == "email" and _AT_PROSE.search(span) else "0"
     edge = lambda c: not (c.isalnum() or c in "@_")
     edges = "+" if (start == 0 or edge(text[start - 1])) and (end == len(text) or edge(text[end])) else "-"
     return ("+" if strict else "-") + check + gazetteer + context + counter + edges

@@ -195,6 +195,15 @@ def test_aggregation_finds_the_bad_labeler():
     assert c.accepts("email:+++00+") and not c.accepts("email:---00-")
 
 
+def test_loose_rules_and_their_pre_checks():
+    spans = lambda t: [(k, t[s:e]) for k, s, e in pii.proposed_spans(t, pii.base_spans(t))]
+    for x in ("joe at mail Dot com", "joe (at) mail.com", "joe At mail.example.com", "joe[at]mail Dot org"):
+        assert ("email", x) in spans(f"write {x}, please") or ("email", f"write {x}") in spans(f"write {x}, please")
+    for x in ("fe80::1", "2001:db8::8a2e:370:7334", "12:34:56:78"):
+        assert spans(f"host {x}, please") == [("ip", x)]
+    assert spans("std::vector and face::dead at noon. Then [::2]") == []
+
+
 # --- importance ---------------------------------------------------------------------
 
 
