@@ -253,13 +253,14 @@ def clopper_pearson(spark: SparkSession, d: str) -> DataFrame:
 # --- reports over cells -------------------------------------------------------------
 
 
-@query(CELLS_SQL + """, a AS (SELECT doc_id, field, outcome_normalized AS before FROM cells WHERE run_id = 'r1' AND doc_id % 7 <> 0), b AS (SELECT doc_id, field, outcome_normalized AS after FROM cells WHERE run_id = 'r2' AND doc_id % 11 <> 0),
+@query(CELLS_SQL + """, a AS (SELECT doc_id, field, outcome_normalized AS before FROM cells WHERE run_id = 'r1' AND outcome_normalized <> 'no_output'), b AS (SELECT doc_id, field, outcome_normalized AS after FROM cells WHERE run_id = 'r2' AND outcome_normalized <> 'no_output'),
 j AS (SELECT before, after, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both' WHEN a.doc_id IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS side FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.field = b.field)
 SELECT side, CASE WHEN before = after THEN 'same' WHEN before NOT IN ('correct', 'correct_null') AND after IN ('correct', 'correct_null') THEN 'fixed' WHEN before IN ('correct', 'correct_null') AND after NOT IN ('correct', 'correct_null') THEN 'broken' ELSE 'other' END AS change, count(*)::BIGINT AS n FROM j GROUP BY ALL""")
 def before_after(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d, ["r1", "r2"]).select("run_id", "doc_id", "field", F.col("outcome_normalized").alias("o"))
-    # the halves of two runs differ in some documents, so that all sides occur
-    return report.before_after(c.filter("run_id = 'r1' AND doc_id % 7 <> 0"), c.filter("run_id = 'r2' AND doc_id % 11 <> 0"), ["doc_id", "field"], "o").groupBy("side", "change").agg(F.count("*").alias("n"))
+    # a run has no cells of documents without output, so that all sides occur
+    c = c.filter("o <> 'no_output'")
+    return report.before_after(c.filter("run_id = 'r1'"), c.filter("run_id = 'r2'"), ["doc_id", "field"], "o").groupBy("side", "change").agg(F.count("*").alias("n"))
 
 
 @query(CELLS_SQL + """, t AS (SELECT CASE WHEN GROUPING(run_id) = 1 THEN 'All' ELSE run_id END AS run_id, CASE WHEN GROUPING(outcome_normalized) = 1 THEN 'All' ELSE outcome_normalized END AS outcome, count(*)::BIGINT AS n FROM cells GROUP BY CUBE (run_id, outcome_normalized)) SELECT * FROM t""")

@@ -71,6 +71,15 @@ def test_headline_metrics_have_every_family(spark):
         assert got[run, "group_coded_null_accuracy_normalized"].den == sum(p.den for p in parts)
 
 
+def test_no_ids_are_left_out(spark):
+    docs, labels = ({r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select("doc_id").collect()} for t in ("documents", "labels"))
+    assert tuple(catalog.QUERIES["split_sets"](spark, SF).first()) == (len(docs & labels), len(docs | labels))
+    cells = catalog.QUERIES["score_cells"](spark, SF).filter("outcome_normalized <> 'no_output'")
+    keys = {run: {tuple(r) for r in cells.filter(f"run_id = '{run}'").select("doc_id", "field").collect()} for run in ("r1", "r2")}
+    sides = {r[0]: r[1] for r in catalog.QUERIES["before_after"](spark, SF).groupBy("side").sum("n").collect()}
+    assert sides == {"both": len(keys["r1"] & keys["r2"]), "left_only": len(keys["r1"] - keys["r2"]), "right_only": len(keys["r2"] - keys["r1"])}
+
+
 def test_intervals_rest_on_10_000_draws(spark, duck):
     """Both bootstrap queries against brute force with the number of draws of the reference."""
     n_draws, seed = 10_000, 20261011
