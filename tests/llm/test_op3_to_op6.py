@@ -235,6 +235,15 @@ def test_sampling(spark):
     assert importance.resample(docs.limit(0), lab).count() == 0
 
 
+def test_fit_takes_its_bounds(spark):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad things there") for i in range(400)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", F.pmod("doc_id", F.lit(2)).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    ratio = lambda **bounds: importance.fit(docs, labels, **bounds)._ratios.value[importance.buckets("bad")[0]][0]
+    # with no target documents all words are noise
+    assert ratio() < -1 and ratio(target_rows=0) == 0
+    assert importance.fit(docs, labels, calibration_rows=0).threshold == float("-inf")
+
+
 def test_few_words_that_the_target_never_has_outweigh_slight_ones():
     ratios = np.zeros(len(importance.PSEUDO) << importance.BITS, np.float32)
     clean, toxic = (" ".join([*words, *[f"plain{i}" for i in range(400 - len(words))]]) for words in ([f"odd{i}" for i in range(9)], ["slur1", "slur2", "slur3"]))
