@@ -49,16 +49,23 @@ def metric_report(metrics: DataFrame, most: int = 10_000) -> dict:
     return {r.metric: {"num": r.num, "den": r.den, "value": r.value} for r in rows}
 
 
+def _few(rows: DataFrame, columns: list[str], most: int) -> list:
+    few = rows.select(*columns).limit(most + 1).collect()
+    if len(few) > most:
+        raise ValueError(f"more than {most} rows")
+    return few
+
+
 def text_table(rows: DataFrame, columns: list[str], most: int = 200, show: Callable = str) -> str:
-    """A fixed-width table of a small result for people to read."""
-    data = [[("" if r[c] is None else show(r[c])) for c in columns] for r in rows.select(*columns).limit(most).collect()]
+    """A fixed-width table of a small result for people to read; more rows than ``most`` are an error."""
+    data = [[("" if r[c] is None else show(r[c])) for c in columns] for r in _few(rows, columns, most)]
     widths = [max(len(x) for x in col) for col in zip(columns, *data)]
     line = lambda cells: "  ".join(x.ljust(w) for x, w in zip(cells, widths)).rstrip()
     return "\n".join([line(columns), line(["-" * w for w in widths]), *map(line, data)])
 
 
 def markdown_table(rows: DataFrame, columns: list[str], most: int = 200) -> str:
-    data = [[("" if r[c] is None else str(r[c]).replace("|", "\\|")) for c in columns] for r in rows.select(*columns).limit(most).collect()]
+    data = [[("" if r[c] is None else str(r[c]).replace("|", "\\|")) for c in columns] for r in _few(rows, columns, most)]
     return "\n".join("| " + " | ".join(x) + " |" for x in [columns, ["---"] * len(columns), *data])
 
 

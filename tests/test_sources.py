@@ -95,3 +95,11 @@ def test_extras_and_contract(spark):
     r = records.to_contract(spark.createDataFrame([("d", '{"b": 1, "z": 2}')], "id string, j string"), "j", ["a", "b"]).first()
     assert (r.id, r.a, r.b, r.missing_keys, r.extra_keys) == ("d", None, "1", ["a"], ["z"])
     assert records.registry_from_markdown("- `a`, `b` — uses `c`\ntext `d`\n* `a` — x") == ["a", "b"]
+
+
+def test_tables_leave_no_rows_out(spark):
+    rows = spark.range(201).withColumnRenamed("id", "n")
+    for table in (writers.text_table, writers.markdown_table):
+        with pytest.raises(ValueError):
+            table(rows, ["n"])
+        assert len(table(rows.limit(200), ["n"]).splitlines()) == 202 == len(table(rows, ["n"], most=201).splitlines()) - 1
