@@ -161,7 +161,9 @@ class Encoder:
         # only ASCII white space parts chunks; other spaces are left to the tokenizer
         seen, out = self.seen, []
         for t in texts:
-            chunks = t.encode("utf-8", "surrogatepass").lower().split()
+            data = t.encode("utf-8", "surrogatepass")
+            # special tokens are matched in their own case
+            chunks = [c if b"<|" in c else c.lower() for c in data.split()] if b"<|" in data else data.lower().split()
             for c in set(chunks).difference(seen):
                 seen[c] = self._chunk(c)
             out.append(b"".join([seen[c] for c in chunks]))

@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import common, token_store, top_k, url_filter, warc
 
+# --- special tokens -------------------------------------------------------------------
+
+
+def test_special_tokens_in_another_case():
+    e = token_store.Encoder(token_store.VOCABULARY)
+    for t in ("A <|ENDOFTEXT|> b", "A <|endoftext|> b", "x<|StartOfText|>Y <|ENDOFTEXT|>", "<|endoftext|>A"):
+        assert np.frombuffer(e([t])[0], np.uint32).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 # --- top-k --------------------------------------------------------------------------
 
 
