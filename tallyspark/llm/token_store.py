@@ -9,15 +9,16 @@ which both sides derive the same canonical code.
 
 from __future__ import annotations
 
+import json
 import os
-import unicodedata
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,62 +133,148 @@ def unpack(data: bytes, n_ids: int, checkpoints: np.ndarray, table: tuple[np.nda
 # --- encoding texts -----------------------------------------------------------------
 
 
-# The vocabulary file's split into words, and its byte alphabet.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
-#: Chunks of printable characters below this one are split here, others by the tokenizer's own normaliser.
-_PLAIN = regex.compile(r"[!-~¡-¬®-\u024F]+")
+#: Chunks with other characters than these, or with an added token in any case, go to the tokenizer as they stand.
+_ODD = r"[^\t-\r -~\x{a1}-\x{ac}\x{ae}-\x{24f}]|\x{130}"
+#: Bytes of texts that are encoded together.
+_TEXT_BYTES = 16 << 20
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = [b for b in range(256) if 33 <= b < 127 or 161 <= b and b != 173]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
+
+
+def word_pattern(settings: dict) -> str | None:
+    """The pattern of a tokenizer's words if no word crosses ASCII white space and each stands alone, else None.
+
+    So it is if texts are composed (NFC), white space unified and lower-cased, then cut into
+    matches of the pattern, and words go to a byte-level BPE model that marks their ends.
+    """
+    normal = [(x.get("type"), x.get("pattern"), x.get("content")) for x in (settings.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = settings["model"]
+    # added tokens are sought in the text as it stands
+    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in settings.get("added_tokens", [])):
+        return None
+    if normal != [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"]:
+        return None
+    split, level = cuts
+    if split.get("behavior") != "Removed" or not split.get("invert") or level.get("add_prefix_space") or level.get("use_regex"):
+        return None
+    if model.get("type") != "BPE" or not model.get("end_of_word_suffix") or model.get("unk_token") or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
+        return None
+    pattern = split.get("pattern", {}).get("Regex")
+    return pattern if pattern and not any(regex.search(pattern, c) for c in " \t\n\v\f\r") else None
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer whose pieces never cross ASCII white space.
+    """Ids of whole texts by a tokenizer.
 
-    For such a vocabulary a text's ids are those of its white-space-free chunks, one
-    after another, so every chunk is encoded once and remembered. A plain chunk is
-    lower-cased and split into words here, and only its words go to the tokenizer's model.
+    Where its settings say that words never cross ASCII white space, a text's ids are those
+    of its chunks between white space, one after another. The distinct chunks of many texts
+    are then looked up together, unknown ones are cut into words by the tokenizer's own
+    pattern, and the distinct new words go to its model in one call. Chunks that are not
+    plain, and all texts of other tokenizers, go through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(common.vocabulary_path(vocabulary))
-        self.model = self.tokenizer.model
-        self.seen: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        # only ASCII white space parts chunks; other spaces are left to the tokenizer
-        seen, out = self.seen, []
-        for t in texts:
-            data = t.encode("utf-8", "surrogatepass")
-            # special tokens are matched in their own case
-            chunks = [c if b"<|" in c else c.lower() for c in data.split()] if b"<|" in data else data.lower().split()
-            for c in set(chunks).difference(seen):
-                seen[c] = self._chunk(c)
-            out.append(b"".join([seen[c] for c in chunks]))
-            if len(seen) > CACHE:
-                seen.clear()
-            if len(self.words) > CACHE:
-                self.words.clear()
-        return out
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        s = chunk.decode("utf-8", "replace")
-        ascii_ = s.isascii()
-        if not _PLAIN.fullmatch(s) or "<|" in s or not (ascii_ or unicodedata.is_normalized("NFC", s)):
-            return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
-        if not ascii_:
-            s = "".join([c.lower() for c in s])  # one by one, as the tokenizer does
-        words = self.words
-        parts = [s] if s.isalpha() else _SPLIT.findall(s)
-        for w in parts:
-            if w not in words:
-                # printable ASCII stands for itself in the byte alphabet
-                form = w if ascii_ else "".join([_ALPHABET[b] for b in w.encode()])
-                words[w] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
-        return words[s] if parts == [s] else b"".join([words[w] for w in parts])
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        path = common.vocabulary_path(vocabulary)
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.seen: dict[str, bytes] = {}
+        pattern = word_pattern(settings)
+        self.split = regex.compile(f"{pattern}|\n") if pattern else None
+        if pattern:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = WhitespaceSplit()
+            vocabulary_ = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary_.values()) + 1, bool)
+            suffix = settings["model"]["end_of_word_suffix"]
+            self.ends[[i for k, i in vocabulary_.items() if k.endswith(suffix)]] = True
+            self.alphabet = _byte_alphabet()
+            self.odd = "|".join([_ODD, *(f"(?i:{re.escape(t['content'])})" for t in settings.get("added_tokens", []))])
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids, as little-endian integers of ``dtype``."""
+        if self.split is None:
+            return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        # upper and lower case share an entry, but where composing letters depends on case
+        chunks = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, self.odd), texts, pc.ascii_lower(texts)))
+        flat = chunks.flatten().dictionary_encode()
+        known = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        values = list(map(self.seen.get, known))
+        unknown = [i for i, v in enumerate(values) if v is None]
+        if unknown:
+            self._learn(flat.dictionary.take(pa.array(unknown, pa.int32())))
+            for i in unknown:
+                values[i] = self.seen[known[i]]
+        width = int(self.dtype[-1])
+        ids = np.frombuffer(b"".join(values), self.dtype)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+        starts = np.cumsum(sizes) - sizes
+        at = flat.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        out = ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)].tobytes()
+        offsets = chunks.offsets.to_numpy()
+        cuts = (np.concatenate([[0], ends])[offsets - offsets[0]] * width).tolist()
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _bytes(self, ids) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _learn(self, chunks: pa.Array) -> None:
+        """Remember the ids of new distinct chunks."""
+        seen = self.seen
+        odd = pc.match_substring_regex(chunks, self.odd)
+        for c in chunks.filter(odd).to_pylist():
+            seen[c] = self._bytes(self.tokenizer.encode(c, add_special_tokens=False).ids)
+        plain = chunks.filter(pc.invert(odd))
+        low = pc.utf8_lower(plain)
+        letters = pc.utf8_is_alpha(low)
+        alone = low.filter(letters).to_numpy(zero_copy_only=False).tolist()
+        mixed = low.filter(pc.invert(letters)).to_numpy(zero_copy_only=False).tolist()
+        # chunks of letters alone are words; all others are cut by one call
+        cut: list[list[str]] = [[]]
+        for w in self.split.findall("\n".join(mixed)):
+            if w == "\n":
+                cut.append([])
+            else:
+                cut[-1].append(w)
+        new = dict.fromkeys(alone)
+        new.update(dict.fromkeys(w for p in cut for w in p))
+        self._learn_words([w for w in new if w not in seen])
+        for c, p in zip(mixed, cut):
+            seen[c] = b"".join([seen[w] for w in p])
+        other = pc.not_equal(plain, low)
+        for c, w in zip(plain.filter(other).to_pylist(), low.filter(other).to_pylist()):
+            seen[c] = seen[w]
+
+    def _learn_words(self, new: list[str]) -> None:
+        """One call of the model for all words; its last piece of each carries the end mark."""
+        if not new:
+            return
+        alphabet = self.alphabet
+        forms = [w if w.isascii() else "".join([alphabet[b] for b in w.encode()]) for w in new]
+        ids = np.array(self.model.encode_batch_fast([" ".join(forms)], add_special_tokens=False)[0].ids, self.dtype)
+        width = int(self.dtype[-1])
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()]
+        if len(cuts) != len(new) + 1:  # a piece of the vocabulary looks like an end within a word
+            for w, f in zip(new, forms):
+                self.seen[w] = self._bytes([t.id for t in self.tokenizer.model.tokenize(f)])
+            return
+        raw = ids.tobytes()
+        for w, a, b in zip(new, cuts, cuts[1:]):
+            self.seen[w] = raw[a:b]
 
 
 @lru_cache(maxsize=2)
@@ -196,67 +283,73 @@ def _encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def _encode_partitions(vocabulary: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
-        seq = 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                numbers = pa.array(range(seq, seq + part.num_rows), pa.int64())
-                seq += part.num_rows
-                ids = [x + end for x in encoder(part.column(2).to_pylist())]
-                small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), numbers, part.column(1), pa.array(small, pa.binary())], ["part", "seq", "doc_id", "ids"])
-
-    return run
-
+def _groups(batches: Iterator[pa.RecordBatch], column: int, limit: int = _TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches whose texts have about ``limit`` bytes together, one row at least."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at, done = 0, 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, done + limit - size, side="right")))
+            held.append(batch.slice(at, end - at))
+            size += int(sizes[end - 1]) - done
+            at, done = end, int(sizes[end - 1])
+            if at < batch.num_rows or size >= limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _encode(vocabulary: str, end_id: int):
+    """(doc_id, key, n, ids) of each text, its end id appended; then (id, null, count, null) of all ids the task has met."""
 
-def _count_ids(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, int] = {}
-        counts = np.zeros(size, np.int64)
-        for batch in batches:
-            for part, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                totals[part] = totals.get(part, 0) + len(ids) // 2
-                counts += np.bincount(np.frombuffer(ids, "<u2"), minlength=size)
+        encoder = _encoder(vocabulary)
+        dtype = encoder.dtype
+        end = np.array([end_id], dtype).tobytes()
+        counts = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+        for part in _groups(batches, 1):
+            ids = [x + end for x in encoder(part.column(1))]
+            counts += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=len(counts))
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // int(dtype[-1])
+            # spreads rows that share an id; equal ids of tokens share it
+            key = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
         used = np.flatnonzero(counts)
-        n = len(used) + len(totals)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([False] * len(used) + [True] * len(totals), pa.bool_()), pa.array(used.tolist() + list(totals), pa.int64()), pa.array(counts[used].tolist() + list(totals.values()), pa.int64())],
-            ["is_part", "key", "n"],
-        ) if n else pa.RecordBatch.from_pylist([], pa.schema([("is_part", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())]))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.nulls(len(used), pa.int64()), pa.array(counts[used]), pa.nulls(len(used), pa.binary())], ["doc_id", "key", "n", "ids"])
 
     return run
 
 
-def _write_blocks(lengths: bytes):
+def _write_blocks(lengths: bytes, dtype: str):
     lengths_ = np.frombuffer(lengths, np.uint8)
+    width = int(dtype[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical(lengths_)
         held: list[tuple[int | None, bytes]] = []
-        part, first, expected, size = None, 0, 0, 0
+        part, first, size = None, 0, 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u2")
+            ids = np.frombuffer(b"".join(x for _, x in held), dtype)
             data, at = pack(ids, lengths_, codes)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([first], pa.int64()), pa.array([[d for d, _ in held]], pa.list_(pa.int64())), pa.array([[len(x) // 2 for _, x in held]], pa.list_(pa.int64())), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([data], pa.binary())],
+                [pa.array([part], pa.int64()), pa.array([first], pa.int64()), pa.array([[d for d, _ in held]], pa.list_(pa.int64())), pa.array([[len(x) // width for _, x in held]], pa.list_(pa.int64())), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([data], pa.binary())],
                 ["part", "block", "doc_ids", "doc_lengths", "checkpoints", "data"],
             )
 
         for batch in batches:
-            for p, seq, doc_id, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if held and (p != part or seq != expected or size >= BLOCK_IDS):
+            for p, doc_id, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if size >= BLOCK_IDS:
                     yield flush()
+                    first += len(held)
                     held, size = [], 0
-                if not held:
-                    part, first = p, seq
+                part = p
                 held.append((doc_id, ids))
-                expected = seq + 1
-                size += len(ids) // 2
+                size += len(ids) // width
         if held:
             yield flush()
 
@@ -266,32 +359,32 @@ def _write_blocks(lengths: bytes):
 BLOCK_SCHEMA = "part bigint, block bigint, doc_ids array<bigint>, doc_lengths array<bigint>, checkpoints array<bigint>, data binary"
 
 
-def write_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, vocabulary_size: int = 49_408) -> None:
+def write_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
     """Encode every whole text, append ``end_id`` and write the ids in ascending ``id_col`` order below ``path``.
 
     A null or empty text is its end id alone. Null ids come first; rows that share an
-    id stand next to each other, ordered by their text. Other columns are not read.
-    The texts are dealt by ranges of ids, so each part's documents are consecutive; the
-    counts that leave a part are bounded by the vocabulary. ``vocabulary_size`` must be
-    at most 65,536.
+    id stand next to each other, ordered by a checksum of their ids, then the ids. Other
+    columns are not read. Texts are encoded where they are read; only ids are dealt, by
+    ranges of document id and checksum, so each part's documents are consecutive and rows
+    that share an id may fill several parts. The counts that leave a task are bounded by
+    the vocabulary, which may have at most 65,536 ids in use.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    size = vocabulary_size
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), common.text_or_empty(text_col).alias("text"))
+    dtype = _encoder(vocabulary).dtype
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), common.text_or_empty(F.col(text_col).cast("string")).alias("text"))
+    encoded = common.keep(rows.mapInArrow(_encode(vocabulary, end_id), "doc_id bigint, key bigint, n bigint, ids binary"), "ids")
+    counts = encoded.filter("key IS NULL").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()  # at most one row per id of the vocabulary
+    by_id = np.zeros(max(_encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1), np.int64)
+    by_id[counts["doc_id"].to_numpy()] = counts["n"].to_numpy()
+    lengths = code_lengths(by_id).tobytes()
+    spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt = dealt.select(F.spark_partition_id().cast("bigint").alias("part"), "doc_id", "text")
-    ids = common.keep(dealt.mapInArrow(_encode_partitions(vocabulary, end_id), "part bigint, seq bigint, doc_id bigint, ids binary"), "ids")
-    counts = ids.select("part", "ids").mapInArrow(_count_ids(size), "is_part boolean, key bigint, n bigint").filter("NOT is_part").groupBy("key").agg(F.sum("n").alias("n")).collect()  # at most one row per id of the vocabulary
-    by_id = np.zeros(size, np.int64)
-    for r in counts:
-        by_id[r.key] = r.n
-    lengths = code_lengths(by_id)
-    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
-    # a block is named by the number of its first document in its part, so it doesn't matter how the scratch files are split
-    ids.mapInArrow(_write_blocks(lengths.tobytes()), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/ids")
-    common.forget(ids)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key").asc()]
+    dealt = encoded.filter("key IS NOT NULL").select("doc_id", "key", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
+    blocks = dealt.select(F.spark_partition_id().cast("bigint").alias("part"), "doc_id", "ids").mapInArrow(_write_blocks(lengths, dtype), BLOCK_SCHEMA)
+    blocks.write.option("compression", "uncompressed").parquet(f"{path}/ids")
+    common.forget(encoded)
 
 
 def _read(lengths: bytes):
