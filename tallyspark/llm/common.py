@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,25 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def grouped(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches whose texts have about ``limit`` bytes together, one row at least."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at, done = 0, 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, done + limit - size, side="right")))
+            held.append(batch.slice(at, end - at))
+            size += int(sizes[end - 1]) - done
+            at, done = end, int(sizes[end - 1])
+            if at < batch.num_rows or size >= limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def vocabulary_path(name: str) -> str:
     """Where a public tokenizer file lies; the folder can be set by TOKENIZERS_DIR."""
     if folder := os.environ.get("TOKENIZERS_DIR"):

@@ -31,7 +31,7 @@ MAX_BITS = 16
 STEP = 256
 BLOCK_IDS = 1 << 18
 #: Distinct white-space-free chunks whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 300_000
 
 
 # --- the code -----------------------------------------------------------------------
@@ -136,7 +136,7 @@ def unpack(data: bytes, n_ids: int, checkpoints: np.ndarray, table: tuple[np.nda
 #: Chunks with other characters than these, or with an added token in any case, go to the tokenizer as they stand.
 _ODD = r"[^\t-\r -~\x{a1}-\x{ac}\x{ae}-\x{24f}]|\x{130}"
 #: Bytes of texts that are encoded together.
-_TEXT_BYTES = 16 << 20
+_TEXT_BYTES = 8 << 20
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -283,25 +283,6 @@ def _encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int, limit: int = _TEXT_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches whose texts have about ``limit`` bytes together, one row at least."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-        at, done = 0, 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, done + limit - size, side="right")))
-            held.append(batch.slice(at, end - at))
-            size += int(sizes[end - 1]) - done
-            at, done = end, int(sizes[end - 1])
-            if at < batch.num_rows or size >= limit:
-                yield pa.concat_batches(held)
-                held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _encode(vocabulary: str, end_id: int):
     """(doc_id, key, n, ids) of each text, its end id appended; then (id, null, count, null) of all ids the task has met."""
 
@@ -310,7 +291,7 @@ def _encode(vocabulary: str, end_id: int):
         dtype = encoder.dtype
         end = np.array([end_id], dtype).tobytes()
         counts = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
-        for part in _groups(batches, 1):
+        for part in common.grouped(batches, 1, _TEXT_BYTES):
             ids = [x + end for x in encoder(part.column(1))]
             counts += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=len(counts))
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // int(dtype[-1])

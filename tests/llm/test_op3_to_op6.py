@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -58,49 +59,69 @@ def test_packing(spark):
 # --- lattice ------------------------------------------------------------------------
 
 
-def segmentations(word):
-    for cut in range(1 << max(0, len(word) - 1)):
+def segmentations(pieces, word):
+    """Every way to cut a word into pieces, as surfaces; bytes stand for characters that the vocabulary lacks."""
+    units = [u for c in word for u in ([c] if c in pieces.index else [f"{lattice.BYTE}{b}" for b in c.encode()])]
+    for cut in range(1 << max(0, len(units) - 1)):
         parts, last = [], 0
-        for i in range(1, len(word)):
-            if cut >> (i - 1) & 1:
-                parts.append(word[last:i])
+        for i in range(1, len(units) + 1):
+            if i == len(units) or cut >> (i - 1) & 1:
+                parts.append("".join(units[last:i]) if i - last == 1 or all(len(u) == 1 for u in units[last:i]) else None)
                 last = i
-        yield [*parts, word[last:]]
+        if all(x in pieces.index for x in parts):
+            yield parts
+
+
+def kinds(parts):
+    return [lattice.WHOLE] if len(parts) == 1 else [lattice.FIRST, *[lattice.INNER] * (len(parts) - 2), lattice.LAST]
 
 
 def plain_word(pieces, scores, word):
-    total = 0.0
-    for parts in segmentations(word):
-        p = 1.0
-        for i, s in enumerate(parts):
-            kind = lattice.WHOLE if len(parts) == 1 else lattice.FIRST if i == 0 else lattice.LAST if i == len(parts) - 1 else lattice.INNER
-            p *= math.exp(scores[kind][pieces.index[s]]) if s in pieces.index else 0.0
-        total += p
-    return total
+    return sum(math.exp(sum(scores[k][pieces.index[x]] for k, x in zip(kinds(parts), parts))) for parts in segmentations(pieces, word))
+
+
+def plain_uses(pieces, scores, words, times):
+    uses = np.zeros(scores.shape)
+    for w, c in zip(words, times):
+        whole = plain_word(pieces, scores, w)
+        for parts in segmentations(pieces, w):
+            p = math.exp(sum(scores[k][pieces.index[x]] for k, x in zip(kinds(parts), parts))) / whole * c
+            for k, x in zip(kinds(parts), parts):
+                uses[k][pieces.index[x]] += p
+    return uses
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     pieces = lattice.Pieces(["a", "b", "c", "ab", "bc", "abc", "ca", *(f"{lattice.BYTE}{b}" for b in range(256))], list(range(7)) + [9.0] * 256)
     rng = np.random.default_rng(0)
     scores = pieces.prior() + rng.normal(size=pieces.prior().shape)
     words = ["a", "ab", "abc", "cabca", "aabbccabc", "bcbcab"]
     got = lattice.word_log10(pieces, scores, words)
     assert got == pytest.approx([math.log10(plain_word(pieces, scores, w)) for w in words])
-    out = np.zeros(scores.shape)
-    for _, n, spans in lattice.by_length(pieces, words):
-        lattice.expected(pieces, scores, n, spans, out)
-    uses = np.zeros(scores.shape)
-    for w in words:
-        for parts in segmentations(w):
-            if all(s in pieces.index for s in parts):
-                kinds = [lattice.WHOLE] if len(parts) == 1 else [lattice.FIRST, *[lattice.INNER] * (len(parts) - 2), lattice.LAST]
-                p = math.exp(sum(scores[k][pieces.index[s]] for k, s in zip(kinds, parts))) / plain_word(pieces, scores, w)
-                for k, s in zip(kinds, parts):
-                    uses[k][pieces.index[s]] += p
-    assert out == pytest.approx(uses)
+    times = np.arange(1.0, 7)
+    for long in (256, 3):  # side by side, and alone
+        monkeypatch.setattr(lattice, "LONG", long)
+        total, out = lattice.sum_lattices(pieces, scores, words, times)
+        assert total / math.log(10) == pytest.approx(got)
+        assert out == pytest.approx(plain_uses(pieces, scores, words, times))
     assert np.isfinite(lattice.word_log10(pieces, scores, ["ü", "xü", "a" * 3000])).all()
 
 
+def test_long_words_and_odd_characters():
+    """A word of a million characters; bytes where the vocabulary lacks the character; both ways of summing agree."""
+    pieces = lattice._pieces(lattice.VOCABULARY)
+    scores = pieces.prior()
+    word = "x漢é1𝄞\u200b" * 40
+    ways = [lattice._long(pieces, lattice._flat(scores), pieces.units([word[:n]])[0], None, []) / math.log(10) for n in (1, 7, 12)]
+    assert ways == pytest.approx([lattice.word_log10(pieces, scores, [word[:n]])[0] for n in (1, 7, 12)])
+    assert np.isfinite(lattice.word_log10(pieces, scores, [word, "a"])).all()
+    x, n = pieces.units(["a𝄞", "b"])
+    assert n.sum() == len(x) and [lattice.BYTE + str(c - 0x110000) if c >= 0x110000 else chr(c) for c in x] == [y for w in ("a𝄞", "b") for ch in w for y in ([ch] if ch in pieces.index else [f"{lattice.BYTE}{b}" for b in ch.encode()])]
+    start = time.perf_counter()
+    assert np.isfinite(lattice.word_log10(pieces, scores, ["ab1é" * 250_000, "the", "漢"])).all()
+    assert time.perf_counter() - start < 60
+
+
 def test_word_distribution_is_proper():
     pieces = lattice.Pieces(["a", "b", "ab"], [1.0, 2.0, 3.0])
     scores = lattice.estimate(pieces, np.array([[1, 1, 1.0], [1, 1, 1], [1, 1, 1], [2, 2, 2]]))
@@ -109,11 +130,12 @@ def test_word_distribution_is_proper():
 
 
 def test_scores(spark):
+    pieces = lattice._pieces(lattice.VOCABULARY)
     rng = random.Random(6)
     docs = [(i, " ".join(rng.choices(["the", "Thing", "of", "zebra,", "thingof", "ÜBER"], k=rng.randint(0, 40)))) for i in range(80)] + [(80, None), (None, "The end"), (81, "x" * 500), (3, "again\x0bthe\x1cthe")]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id bigint, text string, n_tokens int")
     rows = {}
-    for r in lattice.score(df, head_words=4).collect():
+    for r in lattice.score(df, head_words=4, rounds=2).collect():
         rows.setdefault(r.doc_id, []).append(r)
     words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (t or "").encode()))
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -125,8 +147,24 @@ def test_scores(spark):
         expected.setdefault(i, []).append((out(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)))
     got = {i: sorted((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rs) for i, rs in rows.items()}
     assert got == {i: sorted(e) for i, e in expected.items()}
+    # the lattice model, from counts to scores, by adding up segmentations one by one
+    train = Counter(w.decode() for i, t in docs if not out(i) for w in words(t))
+    known = [w for w in train if len(w) < 20]
+    assert len(train) == len(known) + 1  # one word is too long to list its segmentations
+    p_end = sum(not out(i) for i, _ in docs) / n
+    scores = pieces.prior()
+    for _ in range(2):
+        z = dict(zip(known, (plain_word(pieces, scores, w) for w in known)))
+        long = next(w for w in train if len(w) >= 20)
+        uses = plain_uses(pieces, scores, known, [train[w] for w in known]) + lattice.sum_lattices(pieces, scores, [long], np.array([float(train[long])]))[1]
+        scores = lattice.estimate(pieces, uses)
+    for i, t in docs:
+        if i == 81:
+            continue
+        p = sum(math.log10(plain_word(pieces, scores, w.decode())) + math.log10(1 - p_end) for w in words(t)) + math.log10(p_end)
+        assert any(r.score == pytest.approx(p) for r in rows[i]), i
     assert all(r.score < 0 and math.isfinite(r.score) for rs in rows.values() for r in rs)
-    more = {r.doc_id: r.score for r in lattice.score(df, head_words=1000).collect() if r.doc_id != 3}
+    more = {r.doc_id: r.score for r in lattice.score(df, head_words=1000, rounds=2).collect() if r.doc_id != 3}
     assert more == pytest.approx({i: rs[0].score for i, rs in rows.items() if i != 3})
     assert lattice.score(df.limit(0)).count() == 0
 
