@@ -137,6 +137,8 @@ def unpack(data: bytes, n_ids: int, checkpoints: np.ndarray, table: tuple[np.nda
 _ODD = r"[^\t-\r -~\x{a1}-\x{ac}\x{ae}-\x{24f}]|\x{130}"
 #: Bytes of texts that are encoded together.
 _TEXT_BYTES = 8 << 20
+#: Words of one call of the model, whose result takes some hundred bytes a word.
+_WORDS = 20_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -252,7 +254,9 @@ class Encoder:
                 cut[-1].append(w)
         new = dict.fromkeys(alone)
         new.update(dict.fromkeys(w for p in cut for w in p))
-        self._learn_words([w for w in new if w not in seen])
+        words = [w for w in new if w not in seen]
+        for i in range(0, len(words), _WORDS):
+            self._learn_words(words[i : i + _WORDS])
         for c, p in zip(mixed, cut):
             seen[c] = b"".join([seen[w] for w in p])
         other = pc.not_equal(plain, low)
