@@ -282,12 +282,19 @@ def test_fit_takes_its_bounds(spark):
     assert importance.fit(docs, labels, calibration_rows=0).threshold == float("-inf")
 
 
-def test_few_words_that_the_target_never_has_outweigh_slight_ones():
-    ratios = np.zeros(len(importance.PSEUDO) << importance.BITS, np.float32)
-    clean, toxic = (" ".join([*words, *[f"plain{i}" for i in range(400 - len(words))]]) for words in ([f"odd{i}" for i in range(9)], ["slur1", "slur2", "slur3"]))
-    for word, r in [*((f"odd{i}", -1.1) for i in range(9)), *((f"slur{i}", -3.0) for i in (1, 2, 3))]:
-        ratios[importance.buckets(word)[0]] = r
-    assert importance.log_weight(ratios, toxic) < importance.log_weight(ratios, clean) < 0
+def test_weights_are_sums_and_ratios_keep_their_distance(spark):
+    counts = [(5, 1000, 200), (6, 1000, 0), (7, 3, 0), (8, 1, 1), ((1 << importance.BITS) + 5, 900, 0), ((1 << importance.BITS) + 6, 1100, 400)]
+    got = importance.log_ratios(spark.createDataFrame(counts, "bucket int, raw bigint, target bigint"))
+    for b, raw, target in counts:
+        n = 1 + (b >> importance.BITS)
+        share = sum(t for x, _, t in counts if 1 + (x >> importance.BITS) == n) / sum(r for x, r, _ in counts if 1 + (x >> importance.BITS) == n)
+        e = raw * share + importance.PSEUDO[n]
+        x = math.log((target + importance.PSEUDO[n]) / e)
+        assert got[b] == pytest.approx(math.copysign(max(0, abs(x) - importance.SURE[n] / math.sqrt(e)), x), abs=1e-5)
+    assert got[6] < -3 and got[7] == got[8] == 0
+    ratios = np.random.default_rng(1).normal(size=len(got)).astype(np.float32)
+    assert importance.log_weight(ratios, "a b a " * 9000) == pytest.approx(sum(float(ratios[x].sum(dtype=float)) for x in importance.buckets("a b a " * 9000)))
+    assert importance.log_weight(ratios, None) == importance.log_weight(ratios, "  ") == 0
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
@@ -298,12 +305,16 @@ def test_toxic_texts_of_rare_languages(spark):
     assert toxic.mean() < 0.14 and out[(out.toxic == 0) & (out.quality == 1)].selected.mean() > 0.97
 
 
-def test_top_keys_follow_the_weights():
-    """Gumbel top-1 draws in proportion to the weights."""
-    rng = np.random.default_rng(0)
-    w = np.array([1.0, 2.0, 5.0])
-    first = (np.log(w) - np.log(-np.log(rng.random((20_000, 3))))).argmax(axis=1)
-    assert np.bincount(first) / 20_000 == pytest.approx(w / w.sum(), abs=0.02)
+def test_samples_follow_the_weights(spark):
+    """The sampler's keys: of two texts the one of three times the weight comes first three times in four."""
+    ratios = np.zeros(len(importance.PSEUDO) << importance.BITS, np.float32)
+    for word, w in (("one", 1.0), ("three", 3.0), ("five", 5.0)):
+        ratios[importance.buckets(word)[0]] = math.log(w)
+    model = importance.Model(spark, ratios)
+    docs = spark.range(6000).select((F.col("id") % 2000).alias("doc_id"), F.element_at(F.array(F.lit("one"), F.lit("three"), F.lit("five")), (F.col("id") / 2000).cast("int") + 1).alias("text"))
+    w, noise = importance.sampling_key(model)
+    first = docs.select("doc_id", "text", (w + noise).alias("key")).groupBy("doc_id").agg(F.max_by("text", "key").alias("text")).groupBy("text").count().collect()
+    assert {r["text"]: r["count"] / 2000 for r in first} == pytest.approx({"one": 1 / 9, "three": 3 / 9, "five": 5 / 9}, abs=0.035)
 
 
 def test_kth_key(spark):
@@ -315,8 +326,9 @@ def test_kth_key(spark):
 
 
 def test_threshold():
-    w, g = np.array([1.0, 2, 3, 4]), np.array([False, False, True, True])
-    assert importance.best_threshold(w, g) == 2.5 and importance.best_threshold(w, np.ones(4, bool)) == float("-inf")
+    w, g = np.arange(2000.0)[::-1], np.arange(2000) % 2 == 0
+    assert importance.keeping_threshold(w, g, 0.9) == sorted(w[g])[99] and importance.keeping_threshold(w, g, 1.0) == 1
+    assert importance.keeping_threshold(w, np.ones(2000, bool)) == importance.keeping_threshold(w, np.zeros(2000, bool)) == float("-inf")
 
 
 def test_noise_is_uniform_enough(spark):

@@ -46,11 +46,12 @@ def tables(spark, tmp_path_factory):
 
 def plain_ratios(raw, target):
     out = np.zeros(len(raw), np.float32)
-    for i, pseudo in enumerate(importance.PSEUDO.values()):
+    for i, (n, pseudo) in enumerate(importance.PSEUDO.items()):
         part = slice(i << importance.BITS, (i + 1) << importance.BITS)
         share = target[part].sum() / max(1, raw[part].sum())
-        r = np.log((target[part] + pseudo) / (raw[part] * share + pseudo))
-        out[part] = np.where(np.abs(r) >= importance.MARGIN, r, 0.0)
+        expected = raw[part] * share + pseudo
+        r = np.log((target[part] + pseudo) / expected)
+        out[part] = np.sign(r) * np.maximum(0.0, np.abs(r) - importance.SURE[n] / np.sqrt(expected))
     return out
 
 
@@ -67,9 +68,9 @@ def plain_quality(rows, labels):
     ratios = plain_ratios(*counts)
     weights = {i: importance.log_weight(ratios, t) for i, t in rows["docs"]}
     checked = [i for i in good if fold(i)]
-    threshold = importance.best_threshold(np.array([weights[i] for i in checked]), np.array([good[i] for i in checked]))
+    threshold = importance.keeping_threshold(np.array([weights[i] for i in checked]), np.array([good[i] for i in checked]))
     k = sum(w >= threshold for w in weights.values())
-    keys = {i: weights[i] * importance.SHARPNESS + rows["noise"][i] for i in weights}
+    keys = {i: weights[i] + rows["noise"][i] for i in weights}
     least = sorted(keys.values(), reverse=True)[k - 1]
     return {i for i, x in keys.items() if x >= least}
 
