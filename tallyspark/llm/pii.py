@@ -1,11 +1,14 @@
 """Personal data by weak supervision.
 
-Base rules find the certain spans. Looser rules propose more; every span is a candidate
-on which labelers vote: its regular expression's shape, checksums, gazetteers and the
-words around it. Expectation-maximisation over the counts of vote patterns (their number
-is bounded, whatever the corpus) estimates how reliable each labeler is, and its
-posteriors train the final classifier of patterns. Base spans stay whatever it says;
-proposed ones are added where it says yes.
+Base rules find the certain spans. Much looser rules propose whatever may be personal data,
+most of which is not: numbers of a card's length that fail the checksum, dates, times,
+versions, prose with "at". Every span, base or proposed, is a candidate on which labelers
+vote: its regular expression's shape, checks, gazetteers and the words around it.
+Expectation-maximisation over the counts of vote patterns (their number is bounded,
+whatever the corpus) estimates for every kind how reliable each labeler is, and its
+posteriors train the final classifier, which sees the span's own surface besides the votes:
+how many characters and groups it has, what parts them, what stands next to it. Base spans
+stay whatever it says; proposed ones are added where it says yes.
 """
 
 from __future__ import annotations
@@ -24,6 +27,11 @@ from tallyspark.llm import common
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELERS = ["shape", "check", "gazetteer", "context", "counter", "edges"]
+#: What a labeler's vote counts for at the start, before its reliability is estimated.
+WEIGHTS = [1, 4, 1, 2, 2, 1]
+#: Checks whose shares of + among true and among false spans are known: a card's checksum holds, and for one number in ten by chance;
+#: "at" between blanks before a real dot is seldom an address.
+KNOWN = {("card", "check"): (0.999, 0.1), ("ip", "check"): (0.999, 0.3), ("email", "check"): (0.98, 0.3)}
 ROUNDS, ACCEPT = 50, 0.5
 #: Characters of context on either side.
 AROUND = 40
@@ -36,14 +44,14 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Looser rules propose spans.
-_EMAIL_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?)[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-])", re.I)
+_EMAIL_SPELT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?: ?(?:@|&#64;|\(at\)|\[at\]|\{{at\}}) ?| at )[A-Za-z0-9-]{{1,63}}(?:(?:(?<! ) ?\. ?| ?(?:\(dot\)|\[dot\]|\{{dot\}}|\[\.\]|\(\.\)) ?| dot )[A-Za-z0-9-]{{1,63}}){{1,4}}(?![A-Za-z0-9-])", re.I)
 # "at" between blanks before a real dot is more often prose ("hosted at example.com")
-_AT_PROSE = re.compile(r" at [A-Za-z0-9-]+\.", re.I)
-_IP6 = re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4}){1,4}(?![0-9A-Fa-f:])")
-# Zeros left out after a first group, as in fe80::1; at least one digit, so that no names of programs count.
-_IP6_SHORT = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])")
-_CARD_LOOSE = re.compile(r"(?<![0-9])[0-9]{4}(?:(?:[._/]|  ?)[0-9]{4,6}){2,3}(?:(?:[._/]|  ?)[0-9]{1,5})?(?![0-9])|(?<![0-9])3[47][0-9]{13}(?![0-9])")
-_PHONE_LOOSE = re.compile(r"(?<![0-9+])(?:00[0-9]{1,3}[ .-]?)?\(?0?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
+_AT_PROSE = re.compile(r" at [A-Za-z0-9-]+ ?\.", re.I)
+_IP_LOOSE = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}| ?\. ?[0-9]{1,3}){3}(?![0-9.])", re.I)
+_IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?:(?<=:)[0-9]{1,3}(?:\.[0-9]{1,3}){3})?(?![\w:])|(?<![\w:.])::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}(?![\w:])")
+_CARD_LOOSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:(?:[._/-]|  ?)?[0-9]{4,6}){2,3}(?:(?:[._/-]|  ?)[0-9]{1,5})?(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])")
+_PHONE_LOOSE = re.compile(r"(?<![0-9A-Za-z+.])(?:(?:\+|00)[0-9]{1,3}[ ./-]?)?(?:\([0-9]{1,5}\)|[0-9]{2,5})(?:[ ./-]{1,2}[0-9]{2,5}){1,5}(?![0-9A-Za-z])")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[ ./-][0-9]{1,2}[ ./-][0-9]{1,2}|[0-9]{1,2}[ ./-][0-9]{1,2}[ ./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2} ?[-/] ?(?:19|20)[0-9]{2}")
 
 # Gazetteers and context words.
 _TLDS = "com org net edu gov io co de fr es uk eu info biz us ca au ch at it nl be".split()
@@ -111,94 +119,125 @@ def proposed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[st
                 out.append((kind, s, e))
 
     low = text.lower()
-    if " at " in low or "at)" in low or "at]" in low or "at}" in low:
+    if "at" in low or "@" in text or "&#64;" in text:
         offer("email", _EMAIL_SPELT)
-    if text.count(":") >= 3:
+    if ":" in text:
         offer("ip", _IP6)
-    if "::" in text:
-        offer("ip", _IP6_SHORT, 1)
     if any(c in text for c in "0123456789"):
+        offer("ip", _IP_LOOSE)
         offer("card", _CARD_LOOSE, 13, 19)
-        offer("phone", _PHONE_LOOSE, 8, 15)
+        offer("phone", _PHONE_LOOSE, 7, 15)
     return out
 
 
+def _ip_holds(span: str) -> bool:
+    """Whether a spelling is an address: four parts to 255, or IPv6."""
+    if ":" not in span:
+        parts = re.findall(r"[0-9]+", span)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    import ipaddress
+
+    try:
+        return ipaddress.ip_address(span).version == 6
+    except ValueError:
+        return False
+
+
 def votes(text: str, kind: str, start: int, end: int) -> str:
     """One of + - 0 from each labeler."""
     span = text[start:end]
     digits = _digits(span)
     before = {w.lower() for w in _WORD.findall(text[max(0, start - AROUND) : start])}
     after = {w.lower() for w in _WORD.findall(text[end : end + AROUND])}
-    strict = {"email": "@" in span, "ip": span.count(".") == 3, "card": 16 <= len(digits) <= 19, "phone": span.startswith(("+", "00"))}[kind]
+    strict = {
+        "email": "@" in span and " " not in span,
+        "ip": span.count(".") == 3 and " " not in span or "::" in span or span.count(":") == 7,
+        "card": 16 <= len(digits) <= 19,
+        "phone": span.startswith(("+", "00", "(")),
+    }[kind]
+    gazetteer, check = "0", "0"
     if kind == "card":
         check = "+" if luhn(digits) else "-"
+        gazetteer = "+" if digits.startswith(_CARD_HEADS) else "-"
     elif kind == "phone":
-        check = "+" if 9 <= len(digits) <= 13 else "-"
+        check = "-" if _DATE.search(span) or not 8 <= len(digits) <= 15 else "+" if len(digits) >= 9 else "0"
+        gazetteer = "+" if digits.startswith("0") or span.startswith("+") else "-"
     elif kind == "ip":
-        check = "+" if "." not in span or span.split(".")[0] != "0" else "-"
+        check = "+" if _ip_holds(span) else "-"
     else:
-        check = "0"
-    if kind == "email":
         gazetteer = "+" if re.split(r"[^A-Za-z]+", span.lower().rstrip(")]}"))[-1] in _TLDS else "-"
-    elif kind == "card":
-        gazetteer = "+" if digits.startswith(_CARD_HEADS) else "-"
-    else:
-        gazetteer = "0"
+        check = "-" if _AT_PROSE.search(span) else "+"
     context = "+" if (before | after) & set(_CONTEXT[kind]) else "0"
-    counter = "-" if before & set(_COUNTER) or kind == "email" and _AT_PROSE.search(span) else "0"
+    counter = "-" if before & set(_COUNTER) else "0"
     edge = lambda c: not (c.isalnum() or c in "@_")
     edges = "+" if (start == 0 or edge(text[start - 1])) and (end == len(text) or edge(text[end])) else "-"
     return ("+" if strict else "-") + check + gazetteer + context + counter + edges
 
 
+def surface(text: str, kind: str, start: int, end: int) -> str:
+    """What the span itself looks like, one character each: size, groups, what parts them, and its neighbours."""
+    span = text[start:end]
+    size = len(_digits(span)) if kind != "email" else len(span) // 2
+    groups = len(re.findall(r"[^\W_]+", span))
+    parting = {c for c in span if not c.isalnum()}
+    parts = "n" if not parting else "m" if len(parting) > 1 else {" ": "s", "-": "d", ".": "p", ":": "c"}.get(parting.pop(), "o")
+    near = lambda c: "s" if not c or c.isspace() else "a" if c.isalnum() else "p"
+    return f"{min(size // 4, 5)}{min(groups, 6)}{parts}{near(text[start - 1 : start] if start else '')}{near(text[end : end + 1])}"
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool, str]]:
-    """(kind, start, end, base, pattern) of all spans, base ones first."""
+    """(kind, start, end, base, pattern) of all spans, base ones first; a pattern is kind:votes:surface."""
     base = base_spans(text)
-    return [(k, s, e, True, f"{k}:{votes(text, k, s, e)}") for k, s, e in base] + [(k, s, e, False, f"{k}:{votes(text, k, s, e)}") for k, s, e in proposed_spans(text, base)]
+    return [(k, s, e, own, f"{k}:{votes(text, k, s, e)}:{surface(text, k, s, e)}") for own, spans in ((True, base), (False, proposed_spans(text, base))) for k, s, e in spans]
 
 
-def aggregate(patterns: dict[str, int]) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
-    """Posterior of each pattern, and each labeler's (share of + among true, among false) spans.
+def aggregate(patterns: dict[str, int]) -> tuple[dict[str, float], dict[tuple[str, str], tuple[float, float]]]:
+    """Posterior of each pattern, and for each kind and labeler the shares of + among true and among false spans.
 
     Votes are independent given the truth; abstentions say nothing. It starts from the
-    majority of votes, with every kind's own share of true spans.
+    weighted sum of votes (``WEIGHTS``), with every kind's own share of true spans, and each
+    labeler is taken to do better than chance: eight votes in ten, counted as ten spans.
+    What is ``KNOWN`` of a check is not estimated.
     """
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], float)
     kind = np.array([KINDS.index(p.split(":")[0]) for p in names], int)
     v = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in p.split(":")[1]] for p in names]).reshape(len(names), len(LABELERS))
-    p = 1 / (1 + np.exp(-v.sum(axis=1).astype(float)))
-    yes = np.full((len(LABELERS), 2), 0.5)
+    p = 1 / (1 + np.exp(-(v @ np.array(WEIGHTS, float))))
+    yes = np.full((len(KINDS), len(LABELERS), 2), 0.5)
     for _ in range(ROUNDS if len(names) else 0):
-        prior = np.array([((n * p)[kind == k].sum() + 1) / (n[kind == k].sum() + 2) for k in range(len(KINDS))])[kind]
-        for j in range(len(LABELERS)):
-            for t, w in enumerate((n * p, n * (1 - p))):
-                # a labeler is taken to do better than chance: eight votes in ten, counted as ten spans
-                yes[j, t] = (w[v[:, j] > 0].sum() + (8, 2)[t]) / (w[v[:, j] != 0].sum() + 10)
-        log_odds = np.log(prior / (1 - prior))
-        for j in range(len(LABELERS)):
-            log_odds = log_odds + np.where(v[:, j] > 0, np.log(yes[j, 0] / yes[j, 1]), np.where(v[:, j] < 0, np.log((1 - yes[j, 0]) / (1 - yes[j, 1])), 0.0))
+        log_odds = np.zeros(len(names))
+        for k in range(len(KINDS)):
+            own = kind == k
+            true = ((n * p)[own].sum() + 1) / (n[own].sum() + 2)
+            log_odds[own] = np.log(true / (1 - true))
+            for j in range(len(LABELERS)):
+                for t, w in enumerate((n * p, n * (1 - p))):
+                    yes[k, j, t] = (w[own & (v[:, j] > 0)].sum() + (8, 2)[t]) / (w[own & (v[:, j] != 0)].sum() + 10)
+                yes[k, j] = KNOWN.get((KINDS[k], LABELERS[j]), yes[k, j])
+                up, down = np.log(yes[k, j, 0] / yes[k, j, 1]), np.log((1 - yes[k, j, 0]) / (1 - yes[k, j, 1]))
+                log_odds[own] += np.where(v[own, j] > 0, up, np.where(v[own, j] < 0, down, 0.0))
         p = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-    return dict(zip(names, p.tolist())), {name: tuple(yes[j]) for j, name in enumerate(LABELERS)}
+    return dict(zip(names, p.tolist())), {(k, name): tuple(yes[i, j]) for i, k in enumerate(KINDS) for j, name in enumerate(LABELERS)}
 
 
-def _features(pattern: str) -> np.ndarray:
-    k, v = pattern.split(":")
-    one_hot = [float(k == x) for x in KINDS]
-    return np.array(one_hot + [float(c == s) for c in v for s in "+-"])
+def _features(pattern: str) -> list[str]:
+    """The names of what holds of a pattern."""
+    k, v, shape = pattern.split(":")
+    return [k, *(f"{k}{j}{c}" for j, c in enumerate(v) if c != "0"), *(f"{k}s{j}{c}" for j, c in enumerate(shape))]
 
 
 class Classifier:
-    """Logistic regression on a span's kind and votes, trained on the posteriors."""
+    """Logistic regression on a span's kind, votes and surface, trained on the posteriors."""
 
     def __init__(self, patterns: dict[str, int]):
         self.posterior, self.reliability = aggregate(patterns)
         names = sorted(patterns)
-        x = np.array([_features(p) for p in names]).reshape(len(names), len(KINDS) + 2 * len(LABELERS))
+        self.columns = {f: i for i, f in enumerate(sorted({f for p in names for f in _features(p)}))}
+        x = np.array([self._row(p) for p in names]).reshape(len(names), len(self.columns))
         y = np.array([self.posterior[p] for p in names])
-        n = np.array([patterns[p] for p in names], float)
         # what the base rules alone find must not drown the rare patterns
-        n = np.sqrt(n)
+        n = np.sqrt(np.array([patterns[p] for p in names], float))
         w = np.zeros(x.shape[1])
         for _ in range(30 if names else 0):  # Newton steps with a small ridge
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -207,8 +246,13 @@ class Classifier:
             w = w + np.linalg.solve(h, g)
         self.weights = w
 
+    def _row(self, pattern: str) -> np.ndarray:
+        out = np.zeros(len(self.columns))
+        out[[self.columns[f] for f in _features(pattern) if f in self.columns]] = 1.0
+        return out
+
     def accepts(self, pattern: str) -> bool:
-        return bool(self.weights @ _features(pattern) > np.log(ACCEPT / (1 - ACCEPT)))
+        return bool(self.weights @ self._row(pattern) > np.log(ACCEPT / (1 - ACCEPT)))
 
 
 def _sorted(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -233,7 +277,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _patterns(found: DataFrame) -> dict[str, int]:
-    """Counts of vote patterns: at most 4 * 3^6 of them."""
+    """Counts of patterns: kinds, votes and surfaces have a fixed number of values (in practice some hundred together)."""
     return {r.p: r.n for r in found.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
 
 
