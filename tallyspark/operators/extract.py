@@ -32,23 +32,47 @@ CANTONS = {
 #: Postcodes, or their first three digits, whose canton is certain.
 POSTCODE_CANTONS = {"455": "SO", "462": "SO", "6052": "NW"}
 
-_UID = r"CHE-[0-9]{3}\.[0-9]{3}\.[0-9]{3}"
-_DATE = r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"
-_GROUPS = r"(?:\([^()]+\)\s*)+"
-
-
-def first_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match, or null; Unicode white space and letters."""
-    return F.nullif(F.regexp_extract(text, "(?U)" + pattern, group), F.lit(""))
+# How the register writes numbers, days and sections.
+UID_FORMAT = "CHE-[0-9]{3}[.][0-9]{3}[.][0-9]{3}"
+DAY_FORMAT = "[0-9]{2}[.][0-9]{2}[.][0-9]{4}"
+LABELS = {"register": "Tagesregister-Nr.", "prior": "Vorangehende Publikation im SHAB:", "publication": "Publ.", "authority": "Kontaktstelle:", "moved": "bisher in "}
+ACT_NOTES = ["SHAB", "Neueintragung"]
+QUALIFIERS = ["schweizerische", "ausländische"]
+SUFFIXES = ["in Liquidation", "in Liq."]
+CORRECTION, PREVIOUS = "Berichtigung", "bisher"
 
 
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def _some(x: Column) -> Column:
+    """The stripped text, or null where nothing is left."""
+    return F.nullif(strip(x), F.lit(""))
+
+
+def _words(x: Column) -> Column:
+    return F.split(strip(x), r"(?U)\s+")
+
+
+def after(text: Column, label: str) -> Column:
+    """What follows the first occurrence of a label, null without one."""
+    return F.when(F.contains(text, F.lit(label)), F.substring(text, F.locate(label, text) + len(label), 1 << 30))
+
+
+def to_line_end(x: Column) -> Column:
+    return F.element_at(F.split(x, "[\r\n]", 2), 1)
+
+
+def day(x: Column) -> Column:
+    """A word that is a day, else null."""
+    return F.when(F.regexp_like(x, F.lit(f"^{DAY_FORMAT}$")), x)
+
+
 def iso_date(x: Column) -> Column:
-    """DD.MM.YYYY as YYYY-MM-DD, not checked against the calendar."""
-    return F.regexp_replace(x, r"^([0-9]{2})\.([0-9]{2})\.([0-9]{4})$", "$3-$2-$1")
+    """DD.MM.YYYY as YYYY-MM-DD, not checked against the calendar; other texts as they are."""
+    parts = F.split(x, "[.]")
+    return F.when(day(x).isNotNull(), F.concat_ws("-", F.try_element_at(parts, F.lit(3)), F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(1)))).otherwise(x)
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
@@ -83,81 +107,136 @@ def _last(lines: Column) -> Column:
     return F.try_element_at(lines, F.lit(-1))
 
 
+def line_kind(line: Column) -> Column:
+    """What a line of the headline block holds, by its first and last words: names, care, town, street or text."""
+    words = _words(line)
+    first, last, several = F.element_at(words, 1), F.element_at(words, -1), F.size(words) > 1
+    return (
+        F.when(line.startswith("(") & line.endswith(")"), "names")
+        .when((F.lower(first) == "c/o") & several, "care")
+        .when(F.regexp_like(first, F.lit("^[0-9]{4}$")) & several, "town")
+        .when(F.regexp_like(last, F.lit("^[0-9]+[A-Za-z]?$")) & several, "street")
+        .otherwise("text")
+    )
+
+
+def bracketed(line: Column) -> Column:
+    """The contents of a line's brackets, in order."""
+    opened = F.slice(F.split(line, "[(]"), 2, 1 << 30)
+    return F.transform(opened, lambda x: strip(F.substring_index(x, ")", 1)))
+
+
+def without_brackets(name: Column) -> Column:
+    """A name without the bracketed names after it."""
+    return F.when(name.endswith(")"), strip(F.substring_index(name, "(", 1))).otherwise(name)
+
+
 def header_fields(header: Column) -> dict[str, Column]:
     """Act type, alternative names and address from the lines of the headline block.
 
-    The second line repeats the company's name unless it looks like part of the address.
-    A line ``Bisher`` ends the current address. Of several lines of a kind the last one
-    holds, of streets the first.
+    The headline's first word is the act. The line after it repeats the company's name if it
+    is of no other kind. The line ``Bisher`` ends the current address and begins the previous
+    one. Of several lines of a kind the last one holds, of streets the first.
     """
-    is_names = lambda x: F.regexp_like(x, F.lit(rf"(?U)^{_GROUPS}$"))
-    is_care = lambda x: F.regexp_like(x, F.lit(r"(?Ui)^c/o\s+.+$")) & ~is_names(x)
-    is_town = lambda x: F.regexp_like(x, F.lit(r"(?U)^[0-9]{4}\s+.+$")) & ~is_names(x) & ~is_care(x)
-    is_street = lambda x: F.regexp_like(x, F.lit(r"(?U)^.+\s[0-9]+[A-Za-z]?$")) & ~is_names(x) & ~is_care(x) & ~is_town(x)
     lines = F.transform(F.split(header, "\n"), strip)
-    rest = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
-    second = _first(rest)
-    names_company = F.coalesce(~(is_names(second) | is_care(second) | is_town(second) | is_street(second)), F.lit(False))
-    rest = F.when(names_company, F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1)))).otherwise(rest)
-    before = F.array_position(F.transform(rest, F.lower), F.lit("bisher"))
-    now = F.when(before > 0, F.slice(rest, F.lit(1), (before - 1).cast("int"))).otherwise(rest)
-    old = F.when(before > 0, F.slice(rest, before.cast("int") + 1, F.size(rest)))
-    groups = lambda x: F.regexp_extract_all(x, F.lit(r"\(([^()]+)\)"), 1)
-    trailing = F.when(names_company, groups(F.regexp_extract(second, rf"(?U)\s*{_GROUPS}$", 0))).otherwise(F.array().cast("array<string>"))
-    town, old_town = _last(F.filter(now, is_town)), _first(F.filter(old, lambda x: F.regexp_like(x, F.lit(r"(?U)^[0-9]{4}\s+.+$"))))
+    act = F.element_at(_words(F.element_at(lines, 1)), 1)
+    typed = F.transform(F.slice(lines, 2, 1 << 30), lambda x: F.struct(line_kind(x).alias("kind"), x.alias("line")))
+    second = F.try_element_at(typed, F.lit(1))
+    company = F.when(second.kind == "text", second.line)
+    turn = F.array_position(F.transform(typed, lambda t: F.lower(t.line)), F.lit(PREVIOUS)).cast("int")
+    now = F.when(turn > 0, F.slice(typed, F.lit(1), turn - 1)).otherwise(typed)
+    of = lambda part, kind: F.transform(F.filter(part, lambda t: t.kind == kind), lambda t: t.line)
+    town = _last(of(now, "town"))
+    old_town = F.when(turn > 0, _first(of(F.slice(typed, turn + 1, F.lit(1 << 30)), "town")))
+    rest = lambda line: _some(F.substring(line, 5, 1 << 30))
     return {
-        "act_type": lookup(F.lower(first_match(_first(F.split(header, "\n")), r"^(\S+)")), ACT_TYPES),
-        "alternative_names": F.concat(trailing, F.flatten(F.transform(F.filter(now, is_names), groups))),
-        "address_care_of": strip(F.regexp_replace(_last(F.filter(now, is_care)), r"(?Ui)^c/o\s+", "")),
-        "address_street": _first(F.filter(now, is_street)),
+        "act_type": lookup(F.lower(act), ACT_TYPES),
+        "alternative_names": F.concat(F.when(company.endswith(")"), bracketed(company)).otherwise(F.array().cast("array<string>")), F.flatten(F.transform(of(now, "names"), bracketed))),
+        "address_care_of": _some(F.substring(_last(of(now, "care")), 4, 1 << 30)),
+        "address_street": _first(of(now, "street")),
         "address_postcode": F.left(town, F.lit(4)),
-        "address_municipality": strip(F.substring(town, 5, 10_000)),
-        "_old_postcode": F.left(old_town, F.lit(4)),
+        "address_municipality": rest(town),
+        "previous_postcode": F.left(old_town, F.lit(4)),
     }
 
 
-def company_name(parts: Column) -> Column:
-    """The name before the act: from the start of the body up to the seat before the company's number.
+def act_fields(body: Column) -> dict[str, Column]:
+    """Name, seat and legal form from the sentence around the company's number.
 
-    A correction's preamble must be read in full, else there is no name rather than half of one.
+    It reads ``name, in town, number, address, form (note)``. What stands before the number
+    is cut at commas: the last piece is the seat, all before it the name, whatever commas it
+    has. What stands after it is cut likewise; the piece before the note is the form. A
+    correction begins with a preamble that ends in a day: the name follows it, and where
+    there is none, there is no name rather than half of one.
     """
-    body = _first(F.filter(parts, lambda b: F.regexp_like(b, F.lit(_UID))))
-    name = strip(first_match(body, rf"(?s)^(.*?),\s*(?:bisher\s+)?in\s+[^,]+,\s*{_UID}"))
-    preamble = rf"(?U)^Berichtigung\b.*\bvom {_DATE}\s+"
-    corrected = F.when(F.regexp_like(name, F.lit(preamble)), strip(F.regexp_replace(name, preamble, "")))
-    name = F.when(F.regexp_like(name, F.lit(r"(?U)^Berichtigung\b")), corrected).otherwise(name)
-    return F.nullif(F.regexp_replace(name, rf"(?U)\s*{_GROUPS}$", ""), F.lit(""))
+    sides = F.split(body, UID_FORMAT, 2)
+    left, right = F.element_at(sides, 1), F.try_element_at(sides, F.lit(2))
+    pieces = F.split(F.regexp_replace(left, r"(?U),\s*$", ""), ",")
+    seat_words = _words(F.element_at(pieces, -1))
+    seat_words = F.when(F.element_at(seat_words, 1) == PREVIOUS, F.slice(seat_words, 2, 1 << 30)).otherwise(seat_words)
+    has_seat = F.coalesce((F.try_element_at(seat_words, F.lit(1)) == "in") & (F.size(seat_words) > 1) & (F.size(pieces) > 1) & (F.size(sides) > 1), F.lit(False))
+    seat = F.when(has_seat, F.array_join(F.slice(seat_words, 2, 1 << 30), " "))
+    name = F.when(has_seat, strip(F.array_join(F.slice(pieces, F.lit(1), F.size(pieces) - 1), ",")))
+    words = _words(name)
+    days = F.transform(words, lambda w: day(w).isNotNull())
+    last_day = F.size(words) - F.array_position(F.reverse(days), F.lit(True)).cast("int") + 1
+    told = F.when(F.array_contains(days, True), F.array_join(F.slice(words, last_day + 1, F.lit(1 << 30)), " "))
+    name = F.when(F.element_at(words, 1) == CORRECTION, told).otherwise(name)
+    noted = F.lit(False)
+    for note in ACT_NOTES:
+        noted = noted | F.element_at(F.split(right, "[(]", 2), -1).startswith(note)
+    form = _words(F.element_at(F.split(F.substring_index(right, "(", 1), ","), -1))
+    form = F.when(F.element_at(form, 1).isin(QUALIFIERS), F.slice(form, 2, 1 << 30)).otherwise(form)
+    return {"name": F.nullif(without_brackets(name), F.lit("")), "seat": seat, "legal_form": F.when(noted & right.startswith(","), lookup(F.array_join(form, " "), LEGAL_FORMS))}
 
 
 def notice_fields(notices: DataFrame, text: str = "text") -> DataFrame:
-    """``notices`` with a column for every extracted header field."""
+    """``notices`` with a column for every extracted header field.
+
+    A null text, or one that is no notice, has null fields and no alternative names. A
+    relocation names the seat before the act, whose canton is that of the previous postcode;
+    the authority is already the new one.
+    """
     t, original = F.col(text), notices.columns
     df = notices.withColumn("__blocks", blocks(t))
-    df = df.withColumns({f"__{k}": v for k, v in header_fields(F.coalesce(_first(F.col("__blocks")), F.lit(""))).items()}).withColumn("__name", company_name(F.col("__blocks")))
+    body = F.coalesce(_first(F.filter(F.col("__blocks"), lambda b: F.regexp_like(b, F.lit(UID_FORMAT)))), F.lit(""))
+    fields = {f"__{k}": v for k, v in header_fields(F.coalesce(_first(F.col("__blocks")), F.lit(""))).items()} | {f"__{k}": v for k, v in act_fields(body).items()}
+    df = df.withColumns(fields)
     name = F.col("__name")
-    moved = strip(first_match(t, r"\bbisher in\s+([^,]+)"))
-    authority = strip(first_match(t, r"Kontaktstelle:\s*(.+)"))
-    form = F.element_at(F.split(first_match(t, rf"{_UID},\s*([^(]+?)\s*\((?:SHAB|Neueintragung)"), ","), -1)
-    form = F.regexp_replace(strip(form), r"(?U)^(?:schweizerische|ausländische)\s+", "")
-    suffix = r"in Liquidation|in Liq\."
-    base = strip(F.regexp_replace(strip(F.regexp_replace(name, suffix, "")), ",+$", ""))
+    suffix = F.lit(None).cast("string")
+    for x in reversed(SUFFIXES):
+        suffix = F.when(F.contains(name, F.lit(x)), x).otherwise(suffix)
+    base = name
+    for x in SUFFIXES:
+        base = strip(F.replace(base, F.lit(x), F.lit("")))
+    moved = _some(F.element_at(F.split(after(t, LABELS["moved"]), ",", 2), 1))
+    authority = _some(to_line_end(after(t, LABELS["authority"])))
+    register = _words(to_line_end(after(t, LABELS["register"])))
+    registered = day(F.try_element_at(register, F.lit(3)))
+    entered = registered.isNotNull() & (F.try_element_at(register, F.lit(2)) == "vom")
+    prior = F.transform(F.split(to_line_end(after(t, LABELS["prior"])), ","), _words)
+    number, dated = F.try_element_at(prior, F.lit(1)), F.try_element_at(prior, F.lit(2))
+    published = day(F.try_element_at(dated, F.lit(2)))
+    shab_nr = F.try_element_at(number, F.lit(2)).try_cast("bigint")
+    ok = published.isNotNull() & shab_nr.isNotNull() & (F.element_at(number, 1) == "Nr.") & (F.element_at(dated, 1) == "Datum:")
+    publication = strip(F.element_at(F.split(after(t, LABELS["publication"]), "[)]", 2), 1))
     return df.select(
         *original,
         F.lit("de").alias("language"),
         F.col("__act_type").alias("act_type"),
         name.alias("company_name_full"),
-        F.when(name.isNotNull(), base).alias("company_name_base"),
-        first_match(name, f"({suffix})").alias("status_suffix"),
+        F.regexp_replace(base, ",+$", "").alias("company_name_base"),
+        suffix.alias("status_suffix"),
         F.col("__alternative_names").alias("alternative_names"),
-        first_match(t, f"({_UID})").alias("uid"),
-        lookup(form, LEGAL_FORMS).alias("legal_form"),
-        F.coalesce(moved, strip(first_match(t, rf",\s*in\s+([^,]+),\s*{_UID}"))).alias("seat_municipality"),
-        F.when(moved.isNotNull(), canton_of_postcode(F.col("__" + "_old_postcode"))).otherwise(canton_of(authority)).alias("seat_canton"),
+        F.nullif(F.regexp_extract(t, UID_FORMAT, 0), F.lit("")).alias("uid"),
+        F.col("__legal_form").alias("legal_form"),
+        F.coalesce(moved, F.col("__seat")).alias("seat_municipality"),
+        F.when(moved.isNotNull(), canton_of_postcode(F.col("__previous_postcode"))).otherwise(canton_of(authority)).alias("seat_canton"),
         *[F.col(f"__{c}").alias(c) for c in ("address_care_of", "address_street", "address_postcode", "address_municipality")],
-        first_match(t, rf"Tagesregister-Nr\.\s*(\S+)\s*vom\s*({_DATE})").alias("tagesregister_nr"),
-        iso_date(first_match(t, rf"Tagesregister-Nr\.\s*(\S+)\s*vom\s*({_DATE})", 2)).alias("tagesregister_date"),
-        first_match(t, rf"Vorangehende Publikation im SHAB:\s*Nr\.\s*([0-9]+),\s*Datum:\s*({_DATE})").cast("bigint").alias("prior_publication_shab_nr"),
-        iso_date(first_match(t, rf"Vorangehende Publikation im SHAB:\s*Nr\.\s*([0-9]+),\s*Datum:\s*({_DATE})", 2)).alias("prior_publication_date"),
-        first_match(t, r"Publ\.\s*([0-9]+)\)").alias("prior_publication_id"),
+        F.when(entered, F.element_at(register, 1)).alias("tagesregister_nr"),
+        F.when(entered, iso_date(registered)).alias("tagesregister_date"),
+        F.when(ok, shab_nr).alias("prior_publication_shab_nr"),
+        F.when(ok, iso_date(published)).alias("prior_publication_date"),
+        F.when(F.regexp_like(publication, F.lit("^[0-9]+$")), publication).alias("prior_publication_id"),
         authority.alias("authority"),
     )
