@@ -23,8 +23,11 @@ FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session (no trailing slash)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{FALLBACK_DIR}").rstrip("/")
+    """The shared folder of this session (no trailing slash); only a local session may do without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (folder or f"file://{FALLBACK_DIR}").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

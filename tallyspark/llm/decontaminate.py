@@ -6,8 +6,10 @@ words first, found by running Karp-Rabin hashes of both sides, and repeats with
 ones, so passages count in whatever order they stand. A text is contaminated by an item
 if its tiles cover at least ``COVERAGE`` of the item's words.
 
-The test set's seeds travel with the tasks in portions of a bounded size; each portion is
-one pass over the texts, so a test set of any size works and no text is ever shuffled.
+The test set's seeds travel with the tasks in portions of a bounded size. Each portion is a
+pass of its own over the texts, whose result is written before the next portion is
+collected, so one portion at a time is held by the driver and the workers, however large
+the test set is. No text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common
@@ -107,7 +109,12 @@ class Items:
         self.keys = self.keys[order]
         self.owners = np.concatenate(owners)[order] if keys else np.empty(0, int)
         self.places = np.concatenate(places)[order] if keys else np.empty(0, int)
-        self.short = [(k, t) for k, (_, t) in enumerate(self.items) if len(t) < seed]
+        # items shorter than a seed, by their number of words and hash
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for k, (_, t) in enumerate(self.items):
+            if len(t) < seed:
+                self.short[len(t)][int(_windows(t, len(t))[0])].append(k)
+        self.short = {n: dict(x) for n, x in self.short.items()}
 
     def match(self, text: str | None, coverage: float = COVERAGE) -> list[tuple[int, float, int, int]]:
         """(item_id, coverage, longest tile, tiles) of the items that contaminate the text."""
@@ -143,31 +150,59 @@ class Items:
                 total = sum(t[2] for t in tiles)
                 if total >= coverage * len(item):
                     out.append((item_id, total / len(item), max(t[2] for t in tiles), len(tiles)))
-        for k, item in self.short:  # items shorter than a seed must stand there whole
-            w = _windows(words, len(item))
-            if len(w) and (w == _windows(item, len(item))[0]).any():
-                out.append((self.items[k][0], 1.0, len(item), 1))
+        for n, known in self.short.items():  # items shorter than a seed must stand there whole
+            for w in set(_windows(words, n).tolist()) & known.keys():
+                out += [(self.items[k][0], 1.0, n, 1) for k in known[w]]
         return sorted(out)
 
 
+def _portions(benchmark: DataFrame, item_col: str, item_text_col: str, portion_bytes: int) -> list[DataFrame]:
+    """The items with an id and a text, in parts of about ``portion_bytes`` each."""
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
+    portions = max(1, -(-total // portion_bytes))
+    return [items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(portions)) == p) for p in range(portions)]
+
+
+class _Held:
+    """One portion on the workers, until it is let go."""
+
+    now = 0
+
+    def __init__(self, portion: DataFrame, seed: int):
+        rows = sorted((r.id, r.text) for r in portion.collect())  # about portion_bytes
+        self.items = portion.sparkSession.sparkContext.broadcast(Items(rows, seed))
+        _Held.now += 1
+
+    def column(self, text: Column, coverage: float) -> Column:
+        return _matcher(self.items, coverage)(text.cast("string"))
+
+    def let_go(self) -> None:
+        self.items.destroy()
+        _Held.now -= 1
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE, portion_bytes: int = PORTION_BYTES, into: str = "matches") -> DataFrame:
     """``docs`` with an array of the items each row is contaminated by (item_id, coverage, longest, n_tiles).
 
     Items with a null id, null text or no words contaminate nothing; one shorter than the
     seed counts if it stands in the text whole. A null text has no words. Items that repeat
     are reported as often. Existing columns stay, whatever their names, except ``into``.
+    With several portions the table is written once for each but the last.
     """
-    spark = docs.sparkSession
-    common.ship(spark)
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
-    portions = max(1, -(-total // portion_bytes))
-    columns = []
-    for p in range(portions):
-        rows = sorted((r.id, r.text) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(portions)) == p).collect())  # about portion_bytes
-        held = spark.sparkContext.broadcast(Items(rows, seed))
-        columns.append(_matcher(held, coverage)(F.col(text_col).cast("string")))
-    return docs.withColumn(into, columns[0] if portions == 1 else F.concat(*columns))
+    common.ship(docs.sparkSession)
+    portions = _portions(benchmark, item_col, item_text_col, portion_bytes)
+    out, text = docs, F.col(text_col)
+    for p, portion in enumerate(portions):
+        held = _Held(portion, seed)
+        found = held.column(text, coverage)
+        out = out.withColumn(into, found if p == 0 else F.concat(F.col(into), found))
+        if len(portions) > 1:
+            before, out = out, common.keep(out, "matches")
+            held.let_go()
+            if p:
+                common.forget(before)
+    return out.withColumn(into, F.array_sort(into)) if len(portions) > 1 else out
 
 
 def _matcher(held, coverage: float):
@@ -179,15 +214,39 @@ def _matcher(held, coverage: float):
     return match
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
-    """``doc_id, item_id, coverage, longest, n_tiles``: one row for each text and item that contaminates it."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(settings.pop("text_col", "text")).alias("text"))
-    return with_matches(docs, benchmark, **settings).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.coverage", "m.longest", "m.n_tiles")
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE, portion_bytes: int = PORTION_BYTES) -> DataFrame:
+    """``doc_id, item_id, coverage, longest, n_tiles``: one row for each text and item that contaminates it.
 
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, every column as it was."""
-    return with_matches(docs, benchmark, into="__matches", **settings).filter(F.size("__matches") == 0).select(docs.columns)
+    With several portions each one's rows are written, never the texts.
+    """
+    common.ship(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    portions = _portions(benchmark, item_col, item_text_col, portion_bytes)
+    out = None
+    for portion in portions:
+        held = _Held(portion, seed)
+        rows = docs.select("doc_id", F.explode(held.column(F.col("text"), coverage)).alias("m")).select("doc_id", "m.item_id", "m.coverage", "m.longest", "m.n_tiles")
+        if len(portions) > 1:
+            rows = common.keep(rows, "contaminated")
+            held.let_go()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE, portion_bytes: int = PORTION_BYTES) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, every column as it was; with several portions what each one leaves is written."""
+    common.ship(docs.sparkSession)
+    portions = _portions(benchmark, item_col, item_text_col, portion_bytes)
+    out = docs
+    for p, portion in enumerate(portions):
+        held = _Held(portion, seed)
+        before, out = out, out.filter(F.size(held.column(F.col(text_col), coverage)) == 0)
+        if len(portions) > 1:
+            out = common.keep(out, "clean")
+            held.let_go()
+            if p:
+                common.forget(before)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from tallyspark.llm import common
 
 
+#: A node is hot with more edges than this, if they are more than one in so many of all: fewer nodes than this are hot.
+HOT = 1000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``edges(u, v)`` (bigint ids); the root is the smallest node.
 
-    Each step is joins with a partially aggregated minimum, so a node with very many
-    neighbours is split like any hot join key. Rounds grow with the logarithm of the
+    Each step is joins with a partially aggregated minimum. Nodes with very many neighbours
+    are few (see ``HOT``), so their minima are broadcast and their edges stay where they
+    are; only the others' edges are dealt by node. Rounds grow with the logarithm of the
     longest path; each one's edges are written to the shared folder.
     """
     edges = common.keep(_oriented(edges), "edges")
@@ -40,14 +45,27 @@ def _is_star(edges: DataFrame) -> bool:
     return not twice and not edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
 
 
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``u, v`` and ``m``, the smallest neighbour of u."""
+    hot = max(HOT, -(-total // HOT)) if total > HOT else 0
+    least = common.keep(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    if not hot:
+        return edges.join(least.drop("n"), "u")
+    few = F.broadcast(least.filter(F.col("n") > hot).select("u", "m"))  # HOT rows at most
+    many = least.filter(F.col("n") <= hot).select("u", "m")
+    return edges.join(few, "u").unionByName(edges.join(few.select("u"), "u", "left_anti").join(many, "u"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
+    total = 2 * edges.count()
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = _with_least(both, total).withColumn("m", F.least("u", "m"))
+    return joined.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    edges = _oriented(edges)
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _oriented(moved.unionByName(least.withColumnRenamed("m", "v")))
+    edges = common.keep(_oriented(edges), "edges")
+    joined = _with_least(edges, edges.count())
+    moved = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    stars = joined.filter("v = m").select("u", F.col("m").alias("v"))
+    return _oriented(moved.unionByName(stars))

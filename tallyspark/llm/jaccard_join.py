@@ -6,7 +6,9 @@
    missed with probability 2e-7). A bucket only links its members to its smallest one,
    so its cost is linear; connected buckets form candidate groups.
 3. The texts of a group meet in blocks of a bounded size, every pair of classes in one
-   block. There MinHash values are compared some at a time; a pair is dropped as soon as
+   block. A group of several blocks may hang together by chains of buckets alone; where
+   that sends fewer texts, its buckets are blocked each for itself instead, and a pair that
+   shares several counts in the first. In a block MinHash values are compared some at a time; a pair is dropped as soon as
    the posterior probability that its similarity reaches the threshold falls below
    ``TOLERANCE``. Pairs that survive all values are verified on their shingles.
 4. A block returns sums of links per class and a spanning forest of its links, never
@@ -21,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common
@@ -85,8 +87,11 @@ def _sign(words: int, hashes: int):
     return run
 
 
-def _pairs(first: list, second: list | None, limits, threshold: float):
-    """(i, [j ...]) of all links; second None: within ``first``. Items: (row, copies, shingles, signature)."""
+def _pairs(first: list, second: list | None, limits, threshold: float, band: int = -1):
+    """(i, [j ...]) of all links; second None: within ``first``. Items: (row, copies, shingles, signature).
+
+    Of a band's bucket, only the pairs that share no band before it.
+    """
     other = first if second is None else second
     sigs = np.stack([x[3] for x in other])
     sets = [x[2] for x in first] + ([] if second is None else [x[2] for x in second])
@@ -100,6 +105,9 @@ def _pairs(first: list, second: list | None, limits, threshold: float):
         # sizes alone bound the similarity
         n = len(x[2])
         alive = alive[np.minimum(sizes[alive], n) >= threshold * np.maximum(sizes[alive], n) - 1e-9]
+        if band > 0 and len(alive):
+            same = (sigs[alive, : band * ROWS] == x[3][: band * ROWS]).reshape(len(alive), band, ROWS).all(axis=2).any(axis=1)
+            alive = alive[~same]
         matches, done = np.zeros(len(alive), np.int64), 0
         for upto, least in limits:
             if not len(alive):
@@ -119,7 +127,7 @@ def _pairs(first: list, second: list | None, limits, threshold: float):
 
 
 def _verify(words: int, threshold: float, tolerance: float, hashes: int, step: int):
-    def block(rows: list[tuple]) -> Iterator[tuple]:
+    def block(band: int, rows: list[tuple]) -> Iterator[tuple]:
         """rows: (side, row, copies, text, sig) → (row, other or None, links)."""
         items: dict[int, list] = {0: [], 1: []}
         last = None
@@ -143,7 +151,7 @@ def _verify(words: int, threshold: float, tolerance: float, hashes: int, step: i
             return x
 
         shift = len(first) if second else 0
-        for i, linked in _pairs(first, second or None, least_matches(threshold, tolerance, hashes, step), threshold):
+        for i, linked in _pairs(first, second or None, least_matches(threshold, tolerance, hashes, step), threshold, band):
             links[i] += copies[linked + shift].sum()
             links[linked + shift] += copies[i]
             for j in linked + shift:
@@ -162,7 +170,7 @@ def _verify(words: int, threshold: float, tolerance: float, hashes: int, step: i
         def close() -> None:
             # a block of two chunks has both sides; one whose other chunk is empty has no pairs of its own
             if alone or len({r[0] for r in held}) == 2:
-                out.extend(block(held))
+                out.extend(block(key[1], held))
 
         def rows() -> pa.RecordBatch:
             a, b, n = zip(*out) if out else ((), (), ())
@@ -171,19 +179,44 @@ def _verify(words: int, threshold: float, tolerance: float, hashes: int, step: i
 
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                for g, x, y, side, row, copies, text, sig in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns)):
-                    if key != (g, x, y):
-                        close()
-                        held, key, alone = [], (g, x, y), x == y
+                for g, band, bucket, x, y, side, row, copies, text, sig in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns)):
+                    if key != (g, band, bucket, x, y):
+                        if key is not None:
+                            close()
+                        held, key, alone = [], (g, band, bucket, x, y), x == y
                         if len(out) > 50_000:
                             yield rows()
                     held.append((side, row, copies, text, sig))
-        close()
+        if key is not None:
+            close()
         yield rows()
 
     return run
 
 
+def _chunks(texts: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(texts / CHUNK_TEXTS), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
+
+
+def _place(members: DataFrame, posted: DataFrame) -> DataFrame:
+    """``row, grp, band, bucket, chunk, chunks``: the blocks where a row meets others of its group.
+
+    A group of one chunk, or one whose buckets would send as many texts or more, is blocked
+    as a whole (band -1); any other bucket by bucket.
+    """
+    sizes = members.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).withColumn("chunks", _chunks(F.col("size"), F.col("shingles")))
+    sizes = common.keep(sizes.select("grp", "chunks", (F.col("size") * F.col("chunks")).alias("cost")), "group-sizes")
+    large = members.join(sizes.filter("chunks > 1").select("grp"), "grp").select("row", "grp")
+    own = posted.join(large, "row")
+    buckets = own.groupBy("grp", "band", "bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1").withColumn("chunks", _chunks(F.col("size"), F.col("shingles")))
+    buckets = common.keep(buckets.select("grp", "band", "bucket", "chunks", (F.col("size") * F.col("chunks")).alias("cost")), "bucket-sizes")
+    apart = buckets.groupBy("grp").agg(F.sum("cost").alias("apart"))
+    plan = common.keep(sizes.join(apart, "grp", "left").select("grp", "chunks", F.coalesce(F.col("apart") < F.col("cost"), F.lit(False)).alias("by_bucket")), "plan")
+    whole = members.select("row", "grp").join(plan.filter("NOT by_bucket").select("grp", "chunks"), "grp").select("row", "grp", F.lit(-1).alias("band"), F.lit(0).cast("bigint").alias("bucket"), "chunks")
+    split = own.join(plan.filter("by_bucket").select("grp"), "grp", "left_semi").join(buckets.select("grp", "band", "bucket", "chunks"), ["grp", "band", "bucket"]).select("row", "grp", "band", "bucket", "chunks")
+    return whole.unionByName(split).withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+
+
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """``doc_id, text_hash, class_id, copy_of, n_copies, n_links, keeper`` for every row.
 
@@ -204,21 +237,21 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     sigs = signed.filter("n > 0").join(classes.select("row", "copies"), "row").select("row", "doc_id", "text_hash", "n", "sig", "copies")
     sigs = common.keep(sigs, "class-signatures")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
-    posted = sigs.select("row", band.alias("band"))
-    buckets = common.keep(posted.groupBy("band").agg(F.min("row").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub"), "buckets")
-    near = posted.join(buckets, "band").filter("row <> hub").select(F.col("row").alias("u"), F.col("hub").alias("v"))
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("band", "bucket")
+    posted = sigs.select("row", "n", band)
+    buckets = common.keep(posted.groupBy("bucket").agg(F.min("row").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub"), "buckets")
+    near = posted.join(buckets, "bucket").filter("row <> hub").select(F.col("row").alias("u"), F.col("hub").alias("v"))
     groups = common.keep(components(near).select(F.col("node").alias("row"), F.col("root").alias("grp")), "groups")
 
-    members = sigs.join(groups, "row")
-    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    members = members.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    placed = _place(sigs.select("row", "n").join(groups, "row"), posted)
+    members = sigs.select("row", "doc_id", "text_hash", "copies", "sig").join(placed, "row")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     texts = rows.select("doc_id", "text_hash", "text").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     # of rows equal in id and text any one serves
-    texts = members.select("grp", "row", "doc_id", "text_hash", "copies", "sig", "chunk", "chunks").join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-    placed = texts.withColumn("o", other).select("grp", F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y"), (F.col("chunk") > F.col("o")).cast("int").alias("side"), "row", "copies", "text", "sig")
-    blocks = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "side", "row")
+    texts = members.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    key = ["grp", "band", "bucket", "x", "y"]
+    meeting = texts.withColumn("o", other).select("grp", "band", "bucket", F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y"), (F.col("chunk") > F.col("o")).cast("int").alias("side"), "row", "copies", "text", "sig")
+    blocks = meeting.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "side", "row")
     found = common.keep(blocks.mapInArrow(_verify(words, threshold, tolerance, HASHES, STEP), "row bigint, other bigint, links bigint"), "links")
 
     linked = found.filter("other IS NULL").groupBy("row").agg(F.sum("links").alias("links"))

@@ -87,6 +87,20 @@ def pack(docs: DataFrame, n_tokens: Column, *, id_col: str = "doc_id", max_lengt
     return placed.withColumn("room", room).select("doc_id", "piece", "start", "length", "bucket", "bucket_length", F.expr("at div room").alias("batch"), F.expr("at % room").alias("slot"))
 
 
+def pack_ids(stored: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", width: int = 4, **settings) -> DataFrame:
+    """The sequences of :func:`pack` over token ids, with the ids themselves.
+
+    ``stored`` holds each document's ids as bytes of ``width`` each, end id included, as the
+    token store gives them back. Every id of every document is in exactly one sequence, at
+    ``start`` and on. Rows that share a document id, or have none, are told apart by a number
+    of their own, so ``doc_id`` may repeat.
+    """
+    kept = common.keep(stored.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).alias("ids")), "stored-ids")
+    places = pack(kept, F.expr(f"octet_length(ids) div {int(width)}"), id_col="row", **settings).withColumnRenamed("doc_id", "row")
+    cut = F.substring(F.col("ids"), (F.col("start") * width + 1).cast("int"), (F.col("length") * width).cast("int"))
+    return places.join(kept, "row").select("doc_id", "piece", "start", "length", "bucket", "bucket_length", "batch", "slot", cut.alias("ids"))
+
+
 def pack_documents(docs: DataFrame, **settings) -> DataFrame:
     """Documents by words and an end mark."""
     return pack(docs, word_count("text") + 1, **settings)

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from tallyspark.llm import common
 
 BINS = 256
-#: Bytes of query vectors in one wave.
-WAVE_BYTES = 8 << 20
-_ROWS = 1024
+#: Bytes of query vectors, and queries, in one wave; a task holds ``BINS`` counts for each query.
+WAVE_BYTES, WAVE_QUERIES = 8 << 20, 16_384
+#: Rows and queries whose scores are in memory at once.
+_ROWS, _QUERIES = 1024, 1024
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -39,17 +40,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 yield ids[part], flat[starts[part][:, None] + np.arange(dim)]
 
 
-def _scores(queries: dict, ids: np.ndarray, vectors: np.ndarray):
-    """(positions of queries, their scores with the rows as int64, a mask of a query's own row)."""
-    at, q_ids, q = queries.get(vectors.shape[1], (None, None, None))
-    if at is None:
-        return None
+def _scored(queries: dict, batches: Iterator[pa.RecordBatch]):
+    """(positions of queries, row ids, their scores as int64, a mask of a query's own row), at most ``_QUERIES`` by ``_ROWS`` at a time."""
+    for ids, vectors in _blocks(batches):
+        at, q_ids, q = queries.get(vectors.shape[1], ((), (), ()))
+        for i in range(0, len(at), _QUERIES):
+            part = slice(i, i + _QUERIES)
+            yield at[part], ids, _scores(q[part], vectors), q_ids[part, None] == ids[None, :]
+
+
+def _scores(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products; beyond 64 bits the nearest number of 64 bits."""
     top = (np.abs(q).max(initial=0.0) * np.abs(vectors).max(initial=0.0)) * max(1, q.shape[1])
     if top < 2**53:
-        s = (q @ vectors.T).astype(np.int64)
-    else:  # beyond what doubles hold exactly
-        s = np.array([[sum(int(x) * int(y) for x, y in zip(a, b)) for b in vectors] for a in q], dtype=np.int64).reshape(len(q), len(vectors))
-    return at, s, q_ids[:, None] == ids[None, :]
+        return (q @ vectors.T).astype(np.int64)
+    # beyond what doubles hold exactly
+    rows, asked = ([[int(x) for x in v] for v in m] for m in (vectors, q))
+    exact = [[min(MOST - 1, max(LEAST + 1, sum(map(int.__mul__, a, b)))) for b in rows] for a in asked]
+    return np.array(exact, dtype=np.int64).reshape(len(q), len(vectors))
 
 
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -62,10 +70,7 @@ def _bracket(queries: dict, n_queries: int, k: int):
         best = np.full((n_queries, k), LEAST, np.int64)
         low = np.full(n_queries, MOST, np.int64)
         n = np.zeros(n_queries, np.int64)
-        for ids, vectors in _blocks(batches):
-            if (got := _scores(queries, ids, vectors)) is None:
-                continue
-            at, s, own = got
+        for at, ids, s, own in _scored(queries, batches):
             n[at] += (~own).sum(axis=1)
             low[at] = np.minimum(low[at], np.where(own, MOST, s).min(axis=1, initial=MOST))
             s = np.where(own, LEAST, s)
@@ -86,10 +91,7 @@ def _histogram(queries: dict, low: np.ndarray, width: np.ndarray, high: np.ndarr
     def run(batches):
         n = len(low)
         counts = np.zeros((n, BINS), np.int64)
-        for ids, vectors in _blocks(batches):
-            if (got := _scores(queries, ids, vectors)) is None:
-                continue
-            at, s, own = got
+        for at, ids, s, own in _scored(queries, batches):
             inside = ~own & (s >= low[at][:, None]) & (s <= high[at][:, None])
             row, col = np.nonzero(inside)
             q = at[row]
@@ -105,10 +107,7 @@ def _chosen(queries: dict, q_ids: np.ndarray, kth: np.ndarray, k: int):
 
     def run(batches):
         ties: dict[int, list[int]] = {}
-        for ids, vectors in _blocks(batches):
-            if (got := _scores(queries, ids, vectors)) is None:
-                continue
-            at, s, own = got
+        for at, ids, s, own in _scored(queries, batches):
             row, col = np.nonzero(~own & (s > kth[at][:, None]))
             yield _rows(q_ids[at[row]], ids[col], s[row, col])
             row, col = np.nonzero(~own & (s == kth[at][:, None]))
@@ -129,10 +128,12 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
     """``query_id, rank, vec_id, score``: each query's ``k`` highest integer inner products.
 
     Components become ``floor(scale * x)``. The id is the row's identity: rows with a
-    query's own id are no candidates for it, and repeated query rows are answered once.
+    query's own id are no candidates for it, and query rows that repeat an id are answered
+    once, for the smallest of their vectors.
     Vectors that are null, hold null or non-finite components, or have a null id take no
     part; vectors of another length than the query's are no candidates. Fewer than ``k``
-    candidates are all returned; ties go to the smaller id.
+    candidates are all returned; ties go to the smaller id. A score beyond 64 bits counts as
+    the nearest number of 64 bits. A wave of queries is one set of passes over the rows.
     """
     spark = vectors.sparkSession
     common.ship(spark)
@@ -140,13 +141,13 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"), bad.alias("bad"))
     rows = rows.filter("id IS NOT NULL AND v IS NOT NULL AND NOT bad")
-    asked = rows.filter("asks").select("id", "v")
+    asked = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
     total = asked.agg(F.sum(F.size("v") * 8 + 16).alias("n")).first().n or 0
-    waves = -(-total // wave_bytes)
+    waves = max(-(-total // wave_bytes), -(-asked.count() // WAVE_QUERIES))
     results = []
     for wave in range(waves):
         own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave).collect()  # about wave_bytes
-        own = sorted({r.id: r.v for r in own}.items())
+        own = sorted((r.id, r.v) for r in own)
         results.append(common.keep(_wave(rows.select("id", "v"), own, k), "top-k"))
     if not results:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
@@ -174,8 +175,8 @@ def _wave(rows: DataFrame, asked: list, k: int) -> DataFrame:
         width = np.maximum(1, -(-(high - low + 1) // BINS))
         shut = np.where(open_, high, low - 1)  # settled queries match nothing
         counts = np.zeros((n, BINS), np.int64)
-        for r in rows.mapInArrow(_histogram(queries, low, width, shut), "q bigint, bin bigint, n bigint").groupBy("q", "bin").agg(F.sum("n").alias("n")).collect():
-            counts[r.q, r.bin] = r.n
+        got = rows.mapInArrow(_histogram(queries, low, width, shut), "q bigint, bin bigint, n bigint").groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()  # WAVE_QUERIES * BINS rows at most
+        counts[got["q"].to_numpy(), got["bin"].to_numpy()] = got["n"].to_numpy()
         over = above[:, None] + np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]  # scores in a bin or higher
         for i in np.flatnonzero(open_):
             b = int(np.flatnonzero(over[i] >= k)[-1])

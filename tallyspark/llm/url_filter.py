@@ -3,8 +3,9 @@
 Level 1 encodes the listed keys, level 2 the unlisted keys of the universe that level 1
 lets pass, level 3 the listed keys that level 2 lets pass, and so on until nothing wrong
 passes. For every key of the universe the cascade then answers exactly, and pages need
-no join: the filters travel with the task. Their size is known before they are built and
-must not pass ``MAX_BYTES``.
+no join: the filters travel with the task. Keys whose cascade could pass ``MAX_BYTES`` are
+parted by hash into several cascades, each of which is built, asked and let go before the
+next one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: The query's list: hosts with one of these in a label.
 LISTED_WORDS = ["casino", "pills", "bets", "ads-track"]
 MAX_BYTES = 64 << 20
-MAX_LEVELS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -109,11 +109,9 @@ def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.concat(F.lit("#"), key))
 
 
-def _encode(keys: DataFrame, n: int, p: float, level: int, max_bytes: int) -> Level:
+def _encode(keys: DataFrame, n: int, p: float, level: int) -> Level:
     """The filter of ``n`` keys: each batch sets bits, equal words of the filter are or-ed by Spark."""
     bits, hashes = Level.shape(n, p)
-    if bits / 8 > max_bytes:
-        raise ValueError(f"a level of {n} keys takes {bits // 8} bytes; the bound is {max_bytes}")
 
     def run(batches):
         for pdf in batches:
@@ -123,40 +121,82 @@ def _encode(keys: DataFrame, n: int, p: float, level: int, max_bytes: int) -> Le
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start) if len(at) else at
             yield pd.DataFrame({"word": word.astype(np.int64), "bits": value.view(np.int64)})
 
-    rows = keys.select("a", "b").mapInPandas(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = keys.select("a", "b").mapInPandas(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(bits // 64 + 1, np.uint64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return Level(bits, hashes, words)
 
 
-def build_cascade(universe: DataFrame, *, key_col: str = "key", listed_col: str = "listed", max_bytes: int = MAX_BYTES) -> Cascade:
-    """A cascade that is exact on every key of ``universe`` (repeats allowed; listed if any row says so; null keys are left out)."""
-    spark = universe.sparkSession
-    common.ship(spark)
+def _keys(universe: DataFrame, key_col: str, listed_col: str) -> DataFrame:
+    """``a, b, listed`` of every distinct key, kept."""
+    common.ship(universe.sparkSession)
     keys = universe.select(F.col(key_col).cast("string").alias("key"), F.coalesce(F.col(listed_col), F.lit(False)).alias("listed")).filter("key IS NOT NULL")
     a, b = _hashes(F.col("key"))
-    keys = common.keep(keys.groupBy("key").agg(F.max("listed").alias("listed")).select(a.alias("a"), b.alias("b"), "listed"), "url-keys")
+    return common.keep(keys.groupBy("key").agg(F.max("listed").alias("listed")).select(a.alias("a"), b.alias("b"), "listed"), "url-keys")
+
+
+def _sizes(keys: DataFrame) -> tuple[int, int]:
     n = {r.listed: r.n for r in keys.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-    listed, others = n.get(True, 0), n.get(False, 0)
+    return n.get(True, 0), n.get(False, 0)
+
+
+def _first_rate(listed: int, others: int) -> float:
+    """The first level leaves about as many false positives as listed keys."""
+    return min(0.5, listed / (math.sqrt(2) * others)) if listed and others else 0.5
+
+
+def expected_bytes(listed: int, others: int) -> int:
+    """What a cascade takes at most: its first level, and as much again as halving levels of as many keys."""
+    first = Level.shape(listed, min(_first_rate(listed, others), 1e-4 if listed <= 10_000 else 1.0))[0]
+    return (first + 4 * Level.shape(max(listed, 10_000), 0.5)[0]) // 8
+
+
+def _build(keys: DataFrame) -> Cascade:
+    listed, others = _sizes(keys)
     levels: list[Level] = []
     turn, left = True, listed
     wrong = keys.filter("listed")
     while left or not levels:
-        if len(levels) == MAX_LEVELS:
-            raise ValueError("the cascade does not end: two keys share both hashes")
-        # the usual rates: the first level leaves about as many false positives as listed keys, the others half; small sets get sharper ones
-        p = min(0.5, listed / (math.sqrt(2) * others)) if not levels and listed and others else 0.5
-        levels.append(_encode(wrong, left, min(p, 1e-4) if left <= 10_000 else p, len(levels), max_bytes))
+        # later levels halve what is left; small sets get sharper ones
+        p = _first_rate(listed, others) if not levels else 0.5
+        levels.append(_encode(wrong, left, min(p, 1e-4) if left <= 10_000 else p, len(levels)))
         turn = not turn
         # wrong: keys of the other kind that pass every level so far
-        step = Cascade(levels)
         wrong = keys.filter(F.col("listed") == turn).mapInPandas(_passing([(x.bits, x.hashes, x.words) for x in levels]), "a bigint, b bigint")
-        left = wrong.count()
-        if sum(x.words.nbytes for x in levels) > max_bytes:
-            raise ValueError(f"the cascade takes {step.nbytes()} bytes; the bound is {max_bytes}")
+        left, before = wrong.count(), left
+        if left and left == before and len(levels) > 200:
+            raise ValueError(f"{left} keys cannot be told from others: they share 128 bits of hash")
     return Cascade(levels)
 
 
+def build_cascade(universe: DataFrame, *, key_col: str = "key", listed_col: str = "listed") -> Cascade:
+    """One cascade that is exact on every key of ``universe`` (repeats allowed; listed if any row says so; null keys are left out)."""
+    return _build(_keys(universe, key_col, listed_col))
+
+
+def with_listed(rows: DataFrame, key: Column, universe: DataFrame, *, into: str = "listed", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``rows`` with whether ``universe(key, listed)`` lists their key (a null key is not listed).
+
+    Beyond ``max_bytes`` the keys are parted by hash. Each part is a pass over the rows,
+    whose answers are written before the next part's cascade is built.
+    """
+    keys = _keys(universe, "key", "listed")
+    parts = max(1, -(-expected_bytes(*_sizes(keys)) // max_bytes))
+    if parts == 1:
+        return rows.withColumn(into, _build(keys).column(key))
+    part = F.pmod(F.xxhash64(F.lit(7), F.coalesce(key, F.lit(""))), F.lit(parts))
+    # a part's keys are told by a hash of the key; both hashes of a key name its part
+    own = F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(parts))
+    whole = universe.select(F.col("key").cast("string").alias("key"), "listed").filter("key IS NOT NULL").withColumn("part", own)
+    out = rows.withColumn(into, F.lit(False))
+    for p in range(parts):
+        cascade = _build(_keys(whole.filter(F.col("part") == p), "key", "listed"))
+        before, out = out, common.keep(out.withColumn(into, F.when(part == p, cascade.column(F.when(part == p, key))).otherwise(F.col(into))), "listed")
+        if p:
+            common.forget(before)
+    return out
+
+
 def _passing(levels):
     def run(batches):
         own = Cascade([Level(*x) for x in levels])
@@ -167,21 +207,27 @@ def _passing(levels):
     return run
 
 
-def judge_urls(pages: DataFrame, listed: Column, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: Column | DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``page_id, host, path, rule, verdict, listed`` of every row.
 
-    ``listed`` tells for a ``host`` column whether the list names it; the cascade is built
-    over the distinct hosts of all pages and then asked for every page. The longest fitting
-    rule decides; without one a listed host is blocked, any other allowed. A null url or one
-    without ``://`` has an empty host and path, which no rule fits.
+    ``listed`` is the list: a table whose first column holds host names (case is ignored;
+    nulls and repeats count for nothing), or a predicate on a ``host`` column. The cascade is
+    built over the distinct hosts of all pages, which alone meet the list, and is then asked
+    for every page. The longest fitting rule decides; without one a listed host is blocked,
+    any other allowed. A null url or one without ``://`` has an empty host and path, which
+    no rule fits. Rows that repeat are judged one by one.
     """
-    spark = pages.sparkSession
-    common.ship(spark)
+    common.ship(pages.sparkSession)
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    universe = rows.select("host").groupBy("host").agg(F.lit(1).alias("one")).select(F.col("host").alias("key"), listed.alias("listed"))
-    cascade = build_cascade(universe, max_bytes=max_bytes)
-    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("listed", cascade.column(F.col("host")))
+    hosts = rows.select("host").groupBy("host").agg(F.lit(1).alias("one"))
+    if isinstance(listed, DataFrame):
+        names = listed.select(F.translate(F.col(listed.columns[0]).cast("string"), UPPER, LOWER).alias("name")).filter("name IS NOT NULL").distinct().withColumn("there", F.lit(True))
+        universe = hosts.join(names, F.col("host") == F.col("name"), "left").select(F.col("host").alias("key"), F.coalesce("there", F.lit(False)).alias("listed"))
+    else:
+        universe = hosts.select(F.col("host").alias("key"), listed.alias("listed"))
+    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    rows = with_listed(rows, F.col("host"), universe, max_bytes=max_bytes)
     return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 

@@ -62,13 +62,36 @@ def test_decontamination(spark):
     b = spark.createDataFrame([(10, item), (11, None), (None, item), (12, ""), (13, "tiny one")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
     assert got == {(1, 10), (2, 10), (7, 10), (None, 10), (8, 13)}
-    few = decontaminate.contaminated(d, b, portion_bytes=100)
-    assert {(r.doc_id, r.item_id) for r in few.collect()} == got
     left = decontaminate.drop_contaminated(d, b)
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {3, 4, 5, 6}
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_portions_are_held_one_at_a_time(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [text(rng, 12) for _ in range(9)] + ["tiny one", "tiny one", "solo"]
+    docs = [(i, f"{text(rng, 9)} {items[i % len(items)]} {text(rng, 9)}", f"n{i}") for i in range(40)] + [(40, f"{items[0]} {items[5]} {items[8]}", None), (41, None, "z")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, matches string")
+    b = spark.createDataFrame([(i // 2, t) for i, t in enumerate(items)], "item_id bigint, text string")
+    whole = [sorted(map(tuple, decontaminate.contaminated(d, b).collect())), sorted((r.doc_id, r.m) for r in decontaminate.with_matches(d, b, into="m").collect()), sorted(r.doc_id for r in decontaminate.drop_contaminated(d, b).collect())]
+    held = []
+    plain = decontaminate._Held.__init__
+
+    def counted(self, *args):
+        held.append(decontaminate._Held.now)
+        plain(self, *args)
+
+    monkeypatch.setattr(decontaminate._Held, "__init__", counted)
+    monkeypatch.setattr(decontaminate._Held, "now", 0)
+    few = [sorted(map(tuple, decontaminate.contaminated(d, b, portion_bytes=300).collect())), sorted((r.doc_id, r.m) for r in decontaminate.with_matches(d, b, into="m", portion_bytes=300).collect()), sorted(r.doc_id for r in decontaminate.drop_contaminated(d, b, portion_bytes=300).collect())]
+    assert few == whole and len(held) >= 9 and set(held) == {0} and decontaminate._Held.now == 0
+
+
+def test_components_of_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT", 5)
+    test_components(spark)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
@@ -140,6 +163,22 @@ def test_join_equals_all_pairs(spark, copies, chunk, monkeypatch):
     assert got == plain_join(copies)
 
 
+def test_chains_are_blocked_by_bucket(spark, monkeypatch):
+    """Texts of which each is like the next alone hang together in one group; their buckets are blocked one by one, and nothing is lost or counted twice."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_TEXTS", 2)
+    seen = []
+    place = jaccard_join._place
+    monkeypatch.setattr(jaccard_join, "_place", lambda *a: seen.append(place(*a)) or seen[-1])
+    rng = random.Random(2)
+    long = [f"{rng.choice(WORDS)}{i}" for i in range(8 * 260 + 120)]
+    docs = [(i, " ".join(long[8 * i : 8 * i + 120])) for i in range(260)] + [(300 + i, " ".join(long[8 * i : 8 * i + 120])) for i in range(0, 260, 9)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df).collect()}
+    assert got == plain_join(docs)
+    assert seen[0].filter("band >= 0").count() > 0
+
+
 def test_one_row_of_each_class_stays(spark, copies):
     df = spark.createDataFrame([(i, t, "x") for i, t in copies], "doc_id bigint, text string, source string")
     kept = jaccard_join.keep_one_of_each(df)

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import common, importance, lattice, packing, pii
+from tallyspark.llm import common, importance, lattice, packing, pii, token_store
 
 # --- packing ------------------------------------------------------------------------
 
@@ -56,6 +56,32 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_every_stored_id_is_packed_once(spark):
+    """Ids of the token store, in buckets and batches, give back every document."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices(["one", "Two,", "trois", "vier"], k=rng.randint(0, 70)))) for i in range(150)] + [(7, "again one"), (None, "no id"), (400, None), (401, "long " * 3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    path = common.new_path(spark, "test-packed")
+    token_store.write_ids(df, path)
+    stored = token_store.read_ids(spark, path)
+    rows = packing.pack_ids(stored, max_length=64, buckets=4, budget=256).collect()
+    places = [(r.bucket, r.batch, r.slot) for r in rows]
+    assert len(set(places)) == len(places) and all(len(r.ids) == 4 * r.length <= 4 * r.bucket_length for r in rows)
+    whole = Counter((r.doc_id, bytes(r.ids)) for r in stored.collect())
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, bytes(r.ids)))
+    for i, parts in pieces.items():
+        mine = [x for d, x in whole.elements() if d == i]
+        if len(mine) == 1:
+            parts.sort()
+            assert b"".join(x for *_, x in parts) == mine[0] and [s * 4 for _, s, _ in parts] == [sum(len(x) for *_, x in parts[:k]) for k in range(len(parts))]
+        else:
+            assert sorted(x for *_, x in parts) == sorted(mine)
+    assert set(pieces) == {i for i, _ in whole}
+    assert packing.pack_ids(stored.limit(0)).count() == 0
+
+
 # --- lattice ------------------------------------------------------------------------
 
 

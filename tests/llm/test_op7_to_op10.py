@@ -39,6 +39,16 @@ def test_top_k_with_few_rows(spark):
     assert top_k.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0 and top_k.top_k(df, F.lit(False)).count() == 0
 
 
+def test_small_blocks_and_huge_components(spark, monkeypatch):
+    for name, value in (("_QUERIES", 3), ("_ROWS", 7), ("WAVE_QUERIES", 10)):
+        monkeypatch.setattr(top_k, name, value)
+    test_top_k_equals_sorting(spark, 1 << 20)
+    df = spark.createDataFrame([(1, [1e30, 1.0]), (2, [1e30, 0.0]), (3, [-1e30, 0.0]), (4, [0.0, 1.0]), (1, [0.0, 0.0])], "vec_id bigint, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.top_k(df, F.col("vec_id") == 2).collect()]
+    # scores beyond 64 bits count as the nearest number; rows that share an id are candidates each
+    assert [g[3] for g in sorted(got, key=lambda g: g[1])] == [top_k.MOST - 1, 0, 0, top_k.LEAST + 1] and {g[2] for g in got} == {1, 3, 4}
+
+
 # --- token files --------------------------------------------------------------------
 
 
@@ -206,6 +216,19 @@ def test_cascade_is_exact(spark, listed, others):
     assert df.filter("key IS NULL").select(c.column(F.col("key"))).first()[0] is False
 
 
-def test_cascade_refuses_to_outgrow_its_bound(spark):
-    with pytest.raises(ValueError):
-        url_filter.build_cascade(spark.range(5000).select(F.col("id").cast("string").alias("key"), F.lit(True).alias("listed")), max_bytes=1000)
+def test_several_cascades_and_a_list_table(spark, monkeypatch):
+    """A list as a table, with keys parted into cascades of a small bound: the same verdicts as one cascade and as plain membership."""
+    hosts = [f"H{i % 700}.example{i % 3}.org" for i in range(1500)]
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", True) for i, h in enumerate(hosts)] + [(1, f"http://{hosts[1]}/1", False), (2000, None, True)], "page_id bigint, url string, listed boolean")
+    names = sorted({h.lower() for h in hosts[::5]}) + ["elsewhere.net"]
+    table = spark.createDataFrame([(n.upper(), 1) for n in names] + [(names[0], 2), (None, 3)], "name string, x int")
+    built = []
+    plain = url_filter._build
+    monkeypatch.setattr(url_filter, "_build", lambda keys: built.append(plain(keys)) or built[-1])
+    many = sorted(map(tuple, url_filter.judge_urls(pages, table, rules=[], max_bytes=400).select("page_id", "host", "verdict", "listed").collect()), key=str)
+    assert len(built) >= 3 and max(c.nbytes() for c in built) <= 2 * 400
+    one = sorted(map(tuple, url_filter.judge_urls(pages, table, rules=[]).select("page_id", "host", "verdict", "listed").collect()), key=str)
+    known = set(names)
+    assert one == many and all(r[3] == (r[1] in known) and r[2] == ("block" if r[3] else "allow") for r in one) and len(one) == 1502
+    assert url_filter.judge_urls(pages, table.limit(0)).filter("listed").count() == 0
+    assert url_filter.judge_urls(spark.createDataFrame([(1, "http://" + "a" * 200_000 + "/x")], "page_id int, url string"), table).first().verdict == "allow"
