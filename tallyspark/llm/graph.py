@@ -45,15 +45,23 @@ def _is_star(edges: DataFrame) -> bool:
     return not twice and not edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join with a kept ``table`` of one row per key that says in ``n`` how many rows have it.
+
+    Keys with very many rows are few (see ``HOT``): their entries are broadcast, their rows
+    stay where they are. ``total`` is the number of rows.
+    """
+    if total <= HOT:
+        return rows.join(table.drop("n"), key)
+    hot = max(HOT, -(-total // HOT))
+    few = F.broadcast(table.filter(F.col("n") > hot).drop("n"))  # HOT rows at most
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(table.filter(F.col("n") <= hot).drop("n"), key))
+
+
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
     """``u, v`` and ``m``, the smallest neighbour of u."""
-    hot = max(HOT, -(-total // HOT)) if total > HOT else 0
     least = common.keep(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    if not hot:
-        return edges.join(least.drop("n"), "u")
-    few = F.broadcast(least.filter(F.col("n") > hot).select("u", "m"))  # HOT rows at most
-    many = least.filter(F.col("n") <= hot).select("u", "m")
-    return edges.join(few, "u").unionByName(edges.join(few.select("u"), "u", "left_anti").join(many, "u"))
+    return spread_join(edges, least, "u", total)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

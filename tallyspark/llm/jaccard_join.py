@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common
-from tallyspark.llm.graph import components
+from tallyspark.llm.graph import components, spread_join
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 5
@@ -258,8 +258,9 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     roots = components(found.filter("other IS NOT NULL").select(F.col("row").alias("u"), F.col("other").alias("v")))
     named = classes.join(linked, "row", "left").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     first = F.min(F.struct(F.col("copy_of").isNull().alias("no_id"), F.col("copy_of").alias("id"), F.col("first_hash").alias("hash")))
-    tops = named.groupBy("root").agg(first.alias("top"))
-    named = common.keep(named.join(tops, "root").select("set_a", "set_b", "copy_of", F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0)).alias("links"), F.col("top.id").alias("class_id"), F.col("top.hash").alias("class_hash")), "named")
+    named = common.keep(named, "roots")
+    tops = common.keep(named.groupBy("root").agg(first.alias("top"), F.count("*").alias("n")), "tops")
+    named = common.keep(spread_join(named, tops, "root", named.count()).select("set_a", "set_b", "copy_of", F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0)).alias("links"), F.col("top.id").alias("class_id"), F.col("top.hash").alias("class_hash")), "named")
     joined = signed.drop("sig").join(named, ["set_a", "set_b"], "left")
     empty = F.col("n") == 0
     return joined.select(
