@@ -194,7 +194,8 @@ def json_keys_audit(spark: SparkSession, d: str) -> DataFrame:
     return k.withColumn("unregistered", F.col("key") != "k")
 
 
-@query()
+@query(f"""WITH e AS (SELECT {bucket_sql("'damage'", 'event_id')} % 6 AS damage FROM events)
+SELECT damage, CASE WHEN damage = 5 THEN 'failed' ELSE 'ok' END AS status, count(*)::BIGINT AS n, count_if(damage = 1)::BIGINT AS fences, count_if(damage = 2)::BIGINT AS commas, count_if(damage = 4)::BIGINT AS with_duplicates FROM e GROUP BY damage""")
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
     """Event properties damaged in six ways, repaired and counted."""
     e, p = table(spark, d, "events"), F.col("props")

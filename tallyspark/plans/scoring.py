@@ -244,10 +244,17 @@ def zero_error_interval(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n")).select("quality", "n", _r(resample.zero_error_bound(n), "zero_error_low"), _r(resample.rule_of_three(n), "rule_of_three"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT quality, sum(toxic)::BIGINT AS k, count(*)::BIGINT AS n FROM labels GROUP BY quality),
+b AS (SELECT quality, k, n, side, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM c, (SELECT unnest(['low', 'high']) AS side)
+  UNION ALL SELECT quality, k, n, side, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, i + 1 FROM (
+    SELECT *, CASE WHEN side = 'low' THEN tail < 0.025 ELSE tail > 0.025 END AS up FROM (
+      SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(CASE WHEN side = 'low' THEN range(k, n + 1) ELSE range(0, k + 1) END,
+        lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln((lo + hi) / 2) + (n - x) * ln(1 - (lo + hi) / 2)))) AS tail FROM b WHERE i < 50))),
+f AS (SELECT * FROM b WHERE i = 50)
+SELECT quality, k, n, round(max(CASE WHEN side = 'low' THEN CASE WHEN k = 0 THEN 0 ELSE lo END END), 7) AS low, round(max(CASE WHEN side = 'high' THEN CASE WHEN k = n THEN 1 ELSE hi END END), 7) AS high FROM f GROUP BY quality, k, n""")
 def clopper_pearson(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "labels").groupBy("quality").agg(F.sum("toxic").alias("k"), F.count("*").alias("n"))
-    return k.withColumn("ci", resample.clopper_pearson("k", "n")).select("quality", "k", "n", "ci.low", "ci.high")
+    return k.withColumn("ci", resample.clopper_pearson("k", "n")).select("quality", "k", "n", F.round("ci.low", 7).alias("low"), F.round("ci.high", 7).alias("high"))
 
 
 # --- reports over cells -------------------------------------------------------------

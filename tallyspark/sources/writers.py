@@ -13,7 +13,7 @@ from tallyspark.sources.readers import NULL_MARK
 
 def write_cells(cells: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """A CSV table; empty text and null stay apart, and line breaks are kept inside quotes."""
-    cells.write.mode(mode).option("header", True).option("nullValue", NULL_MARK).option("emptyValue", "").option("quoteAll", True).option("escape", '"').csv(path)
+    cells.write.mode(mode).option("header", True).option("nullValue", NULL_MARK).option("emptyValue", "").option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_audit(rows: DataFrame, path: str, *, force: bool = False, protected: tuple[str, ...] = ("/data/",)) -> None:
@@ -29,16 +29,17 @@ def write_by_run(rows: DataFrame, path: str, run: str = "run_id") -> None:
 
 
 def write_json(report: dict, path: str, spark) -> None:
-    """A small report as one JSON file, complete or absent: it is written beside its place, then renamed."""
+    """A small report as one JSON file, complete or absent: it is written beside its place, then renamed over the old one in one step."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     target, tmp = hadoop.Path(path), hadoop.Path(path + ".tmp")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(tmp, True)
     out.write(bytearray(json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True).encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(tmp, target):
-        raise OSError(f"could not write {path}")
+    jvm = spark._jvm
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(target), overwrite)
 
 
 def metric_report(metrics: DataFrame, most: int = 10_000) -> dict:
