@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SEGMENT = re.compile(r"^(?P<name>[A-Za-z_][A-Za-z0-9_]*)(?:\[(?P<key>[A-Za-z_][A-Za-z0-9_]*)=(?P<value>[^\]]*)\])?$")
@@ -36,17 +36,25 @@ def correction_status(current: Column, expected_old: Column, new: Column) -> Col
     return F.when(current.eqNullSafe(new), "already_ok").when(current.eqNullSafe(expected_old), "apply").otherwise("conflict")
 
 
-def plan(cells: DataFrame, corrections: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Each correction with the cell's current value, its status, and whether the batch may be applied (no conflict at all)."""
-    joined = corrections.join(cells.select(*key, F.col(value).alias("current"), F.lit(True).alias("found")), key, "left")
+def plan(cells: DataFrame, corrections: DataFrame, key: list[str], value: str, order: str | None = None) -> DataFrame:
+    """Each correction with the cell's value when its turn comes, its status, and ``turn``, its place among those of its cell.
+
+    Corrections of one cell are made one after another by ``order`` (by what they expect and
+    set where none is given), each on what the ones before it have left.
+    """
+    joined = corrections.join(cells.select(*key, F.col(value).alias("stored"), F.lit(True).alias("found")), key, "left")
+    turn = Window.partitionBy(*key).orderBy(*([order] if order else []), "expected_old", "new")
+    earlier = F.collect_list(F.struct("expected_old", "new")).over(turn.rowsBetween(Window.unboundedPreceding, -1))
+    current = F.aggregate("earlier", F.struct(F.col("stored").alias("v")), lambda s, c: F.when(s.v.eqNullSafe(c.expected_old), F.struct(c.new.alias("v"))).otherwise(s)).v
+    joined = joined.withColumns({"turn": F.row_number().over(turn), "earlier": earlier}).withColumn("current", current)
     status = F.when(F.col("found").isNull(), "conflict").otherwise(correction_status(F.col("current"), F.col("expected_old"), F.col("new")))
-    return joined.withColumn("status", status).drop("found")
+    return joined.withColumn("status", status).drop("found", "stored", "earlier")
 
 
 def apply_all(cells: DataFrame, planned: DataFrame, key: list[str], value: str) -> DataFrame:
-    """The cells with all corrections, or an error if one conflicts."""
+    """The cells with all corrections, or an error if one conflicts; a cell that several correct has the last one's value."""
     if planned.filter("status = 'conflict'").limit(1).count():
         raise ValueError("a correction conflicts; nothing is applied")
-    todo = planned.filter("status = 'apply'").select(*key, F.col("new").alias("__new"), F.lit(True).alias("__hit"))
+    todo = planned.filter("status = 'apply'").groupBy(*key).agg(F.max_by(F.struct(F.col("new").alias("new")), "turn").alias("__last"))
     joined = cells.join(todo, key, "left")
-    return joined.withColumn(value, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(value))).select(cells.columns)
+    return joined.withColumn(value, F.when(F.col("__last").isNotNull(), F.col("__last.new")).otherwise(F.col(value))).select(cells.columns)

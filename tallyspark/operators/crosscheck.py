@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,42 +16,47 @@ def literal_hits(docs: DataFrame, values: DataFrame, *, text: str = "text", key:
     """``docs`` columns with ``key, n, position`` for every value that occurs in a text.
 
     ``n`` counts non-overlapping occurrences, ``position`` is the first one's (from 1). A
-    text is read once per portion of values, by one automaton for all of them. Empty and
+    text is read once per portion of values, by one automaton for all of them; a task knows
+    one portion, and its worker builds the automaton once. Empty and
     null values occur nowhere.
     """
     rows = values.select(F.col(key).cast("bigint").alias("k"), F.col(value).cast("string").alias("v")).filter("v <> ''")
     total = rows.agg(F.sum(F.octet_length("v") + 32).alias("n")).first().n or 0
     portions = max(1, -(-total // PORTION_BYTES))
-    hits = []
+    out = None
     for p in range(portions):
         words: dict[str, list[int]] = {}
         for r in rows.filter(F.pmod(F.xxhash64("v"), F.lit(portions)) == p).collect():  # about PORTION_BYTES
             words.setdefault(r.v, []).append(r.k)
+        found = docs.select("*", F.explode(_finder(docs.sparkSession.sparkContext.broadcast(words))(F.col(text))).alias("hit"))
+        found = found.select(*docs.columns, F.col("hit.key").alias(key), "hit.n", "hit.position")
+        out = found if out is None else out.unionByName(found)
+    return out
 
-        hits.append(_finder(words)(F.col(text)))
-    found = F.explode(hits[0] if portions == 1 else F.concat(*hits)).alias("hit")
-    return docs.select("*", found).select(*docs.columns, F.col("hit.key").alias(key), "hit.n", "hit.position")
 
+def _finder(held):
+    """A column function over a broadcast of words and their keys; each task builds the automaton once."""
 
-def _finder(words: dict[str, list[int]]):
     @F.pandas_udf("array<struct<key:bigint,n:bigint,position:bigint>>")
-    def find(texts: pd.Series) -> pd.Series:
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
+        words = held.value
         automaton = ahocorasick.Automaton()
         for w in words:
             automaton.add_word(w, w)
         automaton.make_automaton()
-        out = []
-        for t in texts:
-            found: dict[str, list[int]] = {}
-            for end, w in automaton.iter(t) if t and words else ():
-                start = end - len(w) + 1
-                seen = found.setdefault(w, [])
-                if not seen or start >= seen[-1] + len(w):
-                    seen.append(start)
-            out.append([{"key": k, "n": len(at), "position": at[0] + 1} for w, at in found.items() for k in words[w]])
-        return pd.Series(out, dtype=object)
+        for texts in batches:
+            out = []
+            for t in texts:
+                found: dict[str, list[int]] = {}
+                for end, w in automaton.iter(t) if t and words else ():
+                    start = end - len(w) + 1
+                    seen = found.setdefault(w, [])
+                    if not seen or start >= seen[-1] + len(w):
+                        seen.append(start)
+                out.append([{"key": k, "n": len(at), "position": at[0] + 1} for w, at in found.items() for k in words[w]])
+            yield pd.Series(out, dtype=object)
 
     return find
 

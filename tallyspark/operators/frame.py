@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.values import normalize
+
 
 def union_listings(listings: list[DataFrame]) -> DataFrame:
     """All listings with their place in the order of arguments."""
@@ -22,21 +24,25 @@ def first_occurrences(union: DataFrame, key: str, order: list[str]) -> DataFrame
 
 
 def exclude(population: DataFrame, exclusions: DataFrame, number: str, title: str) -> DataFrame:
-    """The population without the excluded rows; excluding by number and by title must agree."""
+    """The population without the excluded rows; excluding by number and by title must agree, titles compared normalised."""
+    population, exclusions, columns = population.withColumn("__title", normalize(F.col(title))), exclusions.withColumn("__title", normalize(F.col(title))), population.columns
+    title = "__title"
     by_number = population.join(exclusions.select(number).filter(F.col(number).isNotNull()).distinct(), number, "left_semi")
     by_title = population.join(exclusions.select(title).distinct(), title, "left_semi")
     odd = by_number.select(number).exceptAll(by_title.select(number)).limit(1).count() + by_title.select(number).exceptAll(by_number.select(number)).limit(1).count()
     if odd:
         raise ValueError("exclusion by number and by title differ")
-    return population.join(exclusions.select(number).distinct(), number, "left_anti")
+    return population.join(exclusions.select(number).distinct(), number, "left_anti").select(columns)
 
 
 def disagreement(population: DataFrame, exclusions: DataFrame, number: str, title: str) -> DataFrame:
-    """Rows that only one of the two ways of exclusion meets."""
+    """Rows that only one of the two ways of exclusion meets; titles are compared normalised."""
+    population, exclusions = population.withColumn("__title", normalize(F.col(title))), exclusions.withColumn("__title", normalize(F.col(title)))
+    title = "__title"
     e = exclusions.select(number).filter(F.col(number).isNotNull()).distinct().withColumn("by_number", F.lit(True))
     t = exclusions.select(title).distinct().withColumn("by_title", F.lit(True))
     both = population.join(e, number, "left").join(t, title, "left").fillna(False, ["by_number", "by_title"])
-    return both.filter(F.col("by_number") != F.col("by_title"))
+    return both.filter(F.col("by_number") != F.col("by_title")).drop("__title")
 
 
 def numbered_ids(position: Column, start: int, width: int = 4) -> Column:
@@ -45,9 +51,17 @@ def numbered_ids(position: Column, start: int, width: int = 4) -> Column:
     return F.when(F.length(n) >= width, n).otherwise(F.lpad(n, width, "0"))
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rn`` from 1 by ``key``: each range partition numbers its own rows after the sizes of those before it, so no task sorts everything."""
+    parts = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row per partition
+    return parts.join(F.broadcast(before), "__part").withColumn("rn", F.col("__at") - F.col("__first") + F.col("__before") + 1).drop("__part", "__at", "__first", "__before")
+
+
 def assign(records: DataFrame, present: DataFrame, title: str, key: str, free: DataFrame, free_id: str) -> DataFrame:
     """Records whose title is present keep that id; the others take the free ids in order."""
     kept = records.join(present, title, "left")
-    todo = kept.filter(F.col(free_id).isNull()).drop(free_id).withColumn("rn", F.row_number().over(Window.orderBy(key)))
-    pool = free.withColumn("rn", F.row_number().over(Window.orderBy(free_id)))
+    todo = numbered(kept.filter(F.col(free_id).isNull()).drop(free_id), key)
+    pool = numbered(free, free_id)
     return kept.filter(F.col(free_id).isNotNull()).withColumn("kept", F.lit(True)).unionByName(todo.join(pool, "rn", "left").drop("rn").withColumn("kept", F.lit(False)))

@@ -41,13 +41,16 @@ def outcome_counts(cells: DataFrame, by: list[str], outcome: str) -> DataFrame:
 
 
 def metric_terms(cells: DataFrame, metrics: dict[str, tuple[Column, Column]], by: list[str]) -> DataFrame:
-    """All metrics in one pass: each cell feeds the metrics whose denominator holds, as (metric, num, den) sums.
+    """All metrics in one pass, as (metric, num, den) sums without those whose denominator is 0: two conditional counts for each, so a cell is never multiplied.
 
     ``metrics`` maps a name to two predicates on a cell: it counts in the denominator, and
     it counts in the numerator too.
     """
-    feeds = F.array_compact(F.array(*[F.when(den, F.struct(F.lit(name).alias("metric"), num.cast("bigint").alias("num"))) for name, (num, den) in metrics.items()]))
-    return cells.select(*by, F.explode(feeds).alias("m")).groupBy(*by, "m.metric").agg(F.sum("m.num").alias("num"), F.count("*").alias("den"))
+    names = list(metrics)
+    sums = [c for i, (num, den) in enumerate(metrics.values()) for c in (F.count_if(num & den).alias(f"num_{i}"), F.count_if(den).alias(f"den_{i}"))]
+    totals = cells.groupBy(*by).agg(*sums)
+    feeds = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"num_{i}").alias("num"), F.col(f"den_{i}").alias("den")) for i, n in enumerate(names)])
+    return totals.select(*by, F.explode(feeds).alias("m")).select(*by, "m.*").filter("den > 0")
 
 
 def sum_terms(rows: DataFrame, ratios: dict[str, tuple[Column, Column]], by: list[str]) -> DataFrame:

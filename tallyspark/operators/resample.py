@@ -50,13 +50,54 @@ def indexed(per_doc: DataFrame, key: str) -> DataFrame:
     return global_index(per_doc, F.md5(F.col(key).cast("string")), [key])
 
 
-def bootstrap(per_doc: DataFrame, key: str, metrics: list[str], *, iterations: int, seed: int) -> DataFrame:
+#: Up to so many classes of documents travel with the tasks.
+MOST_CLASSES = 1_000_000
+
+
+def class_sums(per_doc: DataFrame, columns: list[str], *, iterations: int, seed: int) -> DataFrame:
+    """``b`` and the sums of ``columns`` over every resample, drawn by classes.
+
+    Documents alike in all columns are one class, and a resample is one multinomial draw of
+    the classes' sizes, so its cost is the number of classes, however many documents there
+    are. More than ``MOST_CLASSES`` classes are an error: round the columns, or draw
+    documents. The draws are those of a generator seeded by (seed, b).
+    """
+    import numpy as np
+
+    classes = per_doc.groupBy(*columns).agg(F.count("*").alias("__n"))
+    few = classes.limit(MOST_CLASSES + 1).toPandas().sort_values(columns, ignore_index=True)
+    if len(few) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes of documents")
+    sizes, values = few["__n"].to_numpy(), few[columns].to_numpy(float, na_value=np.nan)
+    values = np.nan_to_num(values)
+    held = per_doc.sparkSession.sparkContext.broadcast((sizes, values))
+
+    def draw(batches):
+        n, x = held.value
+        for pdf in batches:
+            rows = [np.random.default_rng([seed, int(b)]).multinomial(n.sum(), n / n.sum()) @ x if len(n) else np.full(len(columns), np.nan) for b in pdf["b"]]
+            out = pd.DataFrame(np.array(rows).reshape(len(pdf), len(columns)), columns=columns)
+            out.insert(0, "b", pdf["b"].to_numpy())
+            yield out
+
+    bs = per_doc.sparkSession.range(iterations).withColumnRenamed("id", "b")
+    return bs.mapInPandas(draw, "b bigint, " + ", ".join(f"{c} double" for c in columns))
+
+
+def bootstrap(per_doc: DataFrame, key: str, metrics: list[str], *, iterations: int, seed: int, by_class: bool = False) -> DataFrame:
     """Percentile intervals of ratios of sums; ``per_doc`` has ``<metric>_num`` and ``<metric>_den``.
 
+    ``by_class`` draws classes of like documents (:func:`class_sums`), for corpora too large to
+    draw document by document; the other way's draws any SQL engine can repeat.
+
     Documents are resampled with replacement. Resamples without a denominator are left out
     and ``n_valid`` counts the others; fewer than two give no interval.
     """
-    sums = drawn(per_doc, key, iterations, seed).groupBy("b").agg(*[F.sum(F.col("weight") * F.col(f"{m}_{p}")).alias(f"{m}_{p}") for m in metrics for p in ("num", "den")])
+    columns = [f"{m}_{p}" for m in metrics for p in ("num", "den")]
+    if by_class:
+        sums = class_sums(per_doc, columns, iterations=iterations, seed=seed)
+    else:
+        sums = drawn(per_doc, key, iterations, seed).groupBy("b").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns])
     long = sums.select("b", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.try_divide(F.col(f"{m}_num").cast("double"), F.col(f"{m}_den").cast("double")).alias("v")) for m in metrics])).alias("m")).select("b", "m.*")
     return long.groupBy("metric").agg(F.count("v").alias("n_valid"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high")).select("metric", "n_valid", F.when(F.col("n_valid") >= 2, F.col("low")).alias("ci_low"), F.when(F.col("n_valid") >= 2, F.col("high")).alias("ci_high"))
 

@@ -21,11 +21,17 @@ def clusters(votes: DataFrame, cell: list[str], value: Column, run_order: str) -
 
 
 def consensus_against_gold(votes: DataFrame, cell: list[str], value: Column, gold: Column, run_order: str, least: int = 3) -> DataFrame:
-    """For each cell the largest cluster of at least ``least`` votes that differs from gold."""
-    c = clusters(votes.withColumn("gold_key", gold), [*cell, "gold_key"], value, run_order)
-    differs = ~F.col("value").eqNullSafe(F.col("gold_key"))
-    w = Window.partitionBy(*cell).orderBy("rank")
-    return c.filter((F.col("n_agree") >= least) & differs).withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "rank", "first_run")
+    """For each cell the largest cluster of at least ``least`` votes that differs from gold; of equal ones that of the first run.
+
+    One shuffle brings a cell's votes together, one for each run; they are counted in place.
+    """
+    ballots = votes.select(*cell, gold.alias("gold_key"), F.struct(F.col(run_order).alias("run"), value.alias("value")).alias("vote"))
+    ballots = ballots.groupBy(*cell, "gold_key").agg(F.collect_list("vote").alias("votes"))
+    of = lambda x: F.filter("votes", lambda v: v.value.eqNullSafe(x))
+    values = F.array_distinct(F.transform("votes", lambda v: v.value))
+    sized = F.transform(values, lambda x: F.struct((-F.size(of(x))).cast("bigint").alias("minus"), F.array_min(F.transform(of(x), lambda v: v.run)).alias("run"), x.alias("value")))
+    best = F.array_min(F.filter(sized, lambda c: (c.minus <= -least) & ~c.value.eqNullSafe(F.col("gold_key"))))
+    return ballots.select(*cell, "gold_key", best.alias("c")).filter("c IS NOT NULL").select(*cell, "gold_key", F.col("c.value").alias("value"), (-F.col("c.minus")).alias("n_agree"))
 
 
 def greedy_clusters(values: list, same: Callable[[object, object], bool]) -> list[list[int]]:

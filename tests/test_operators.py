@@ -233,3 +233,36 @@ def test_passes(spark):
 
 def test_closed_form_agrees(spark):
     assert column(spark, "n int", [(105,), (0,)], resample.zero_error_bound(F.col("n"))) == [pytest.approx(math.pow(0.025, 1 / 105)), None]
+
+
+def test_corrections_of_one_cell_follow_one_another(spark):
+    from tallyspark.operators import corrections
+
+    cells = spark.createDataFrame([("a", "x", "1"), ("a", "y", "5"), ("b", "x", None)], "doc_id string, field string, value string")
+    asked = spark.createDataFrame([(2, "a", "x", "2", "3"), (1, "a", "x", "1", "2"), (3, "b", "x", None, "9"), (4, "a", "y", "4", "5")], "ord int, doc_id string, field string, expected_old string, new string")
+    planned = corrections.plan(cells, asked, ["doc_id", "field"], "value", "ord")
+    assert {r.ord: (r.current, r.status, r.turn) for r in planned.collect()} == {1: ("1", "apply", 1), 2: ("2", "apply", 2), 3: (None, "apply", 1), 4: ("5", "already_ok", 1)}
+    out = corrections.apply_all(cells, planned, ["doc_id", "field"], "value")
+    assert sorted(map(tuple, out.collect())) == [("a", "x", "3"), ("a", "y", "5"), ("b", "x", "9")]
+    with pytest.raises(ValueError):
+        corrections.apply_all(cells, corrections.plan(cells, asked.filter("ord = 2"), ["doc_id", "field"], "value", "ord"), ["doc_id", "field"], "value")
+
+
+def test_bootstrap_by_class_agrees_with_drawing_documents(spark):
+    from tallyspark.operators import resample
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 5 < 3).cast("int").alias("a_num"), F.lit(1).alias("a_den"), F.lit(0).alias("z_num"), F.lit(0).alias("z_den"))
+    ways = [{r.metric: (r.n_valid, r.ci_low, r.ci_high) for r in resample.bootstrap(docs, "doc_id", ["a", "z"], iterations=600, seed=5, by_class=w).collect()} for w in (True, False)]
+    assert ways[0]["a"][0] == ways[1]["a"][0] == 600
+    assert ways[0]["a"][1:] == pytest.approx(ways[1]["a"][1:], abs=0.02) and ways[0]["a"][1] < 0.6 < ways[0]["a"][2]
+    assert ways[0].get("z", (0,))[0] == ways[1].get("z", (0,))[0] == 0
+    whole = {r.b: (r.a_num, r.a_den) for r in resample.class_sums(docs, ["a_num", "a_den"], iterations=3, seed=1).collect()}
+    assert all(den == 400 for _, den in whole.values()) and whole == {r.b: (r.a_num, r.a_den) for r in resample.class_sums(docs.repartition(7), ["a_num", "a_den"], iterations=3, seed=1).collect()}
+
+
+def test_numbers_follow_the_order(spark):
+    from tallyspark.operators import frame
+
+    rows = spark.createDataFrame([(f"k{(i * 37) % 101:03d}",) for i in range(101)], "k string").repartition(6)
+    assert [r.rn for r in frame.numbered(rows, "k").orderBy("k").collect()] == list(range(1, 102))
+    assert frame.numbered(rows.limit(0), "k").count() == 0
