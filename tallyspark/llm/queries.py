@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import decontaminate, importance, jaccard_join, lattice, packing, pii, token_store, top_k, url_filter, warc
+from tallyspark.llm import alignment, decontaminate, importance, jaccard_join, lattice, packing, pii, token_store, top_k, url_filter, warc
 
 _BY_NAME = {
     "op1_decontaminate": decontaminate,
@@ -19,6 +19,7 @@ _BY_NAME = {
     "op8_token_store": token_store,
     "op9_warc_archives": warc,
     "op10_url_filter": url_filter,
+    "op11_token_alignment": alignment,
 }
 
 
