@@ -6,14 +6,16 @@ each both-label; the labels of a span count the tokens of one group, the smalles
 A and B tokens that hold the same bytes. Between two neighbouring labels lies exactly one
 A and one B token, so every label but none is one link.
 
+Texts are encoded once; both tokenizers' ids are kept and all else comes from them and from
+the tokens' sizes. Neither vocabulary has a piece with white space behind other characters,
+so texts are cut where white space follows something else, and a worker encodes the distinct
+chunks that are new to it in one call. A pair of vocabularies that breaks this rule encodes
+whole texts.
+
 How often two ids are linked in the whole corpus is summed from the tasks' partial counts.
 The most frequent pairs (``HEAD``, a bound whatever the corpus) travel with the tasks; the
 occurrences of all others, none of which is frequent, are joined with the table of counts.
 No text is shuffled.
-
-Neither vocabulary has a piece with white space behind other characters, so texts are cut
-where white space follows something else, and the distinct chunks of a worker are encoded
-and aligned once. A pair of vocabularies that breaks this rule aligns whole texts.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,9 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts travel with the tasks: 16 bytes each.
 HEAD = 1 << 20
 #: Chunks that a worker remembers, and pairs whose counts a task holds.
-CACHE, HELD_PAIRS = 100_000, 1 << 20
-#: Bytes of texts in one round, and characters of a long text's part.
-_TEXT_BYTES, _PART = 4 << 20, 1 << 20
+CACHE, HELD_PAIRS = 300_000, 1 << 20
+#: Bytes of texts in one round, characters of a long text's part, and labels cut into groups at a time.
+_TEXT_BYTES, _PART, _LABELS = 4 << 20, 1 << 20, 1 << 20
 
 #: Texts are cut before white space (to both tokenizers, so without 1C to 1F) that follows other
 #: characters, but not before a carriage return, with which pieces may end.
@@ -122,9 +125,29 @@ def labels(ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def groups(label: bytes) -> list[tuple[int, int]]:
-    """Numbers of A and B tokens up to each both-label."""
-    return [(s.count(b"\x01") + 1, s.count(b"\x02") + 1) for s in _GROUP.findall(label)]
+class _Spans(dict):
+    """A number for each kind of span met, and the kinds' numbers of A and B tokens."""
+
+    def __init__(self):
+        self.counts: list[tuple[int, int]] = []
+        self.held = np.empty((0, 2), np.int64)
+
+    def __missing__(self, span: bytes) -> int:
+        n = (span.count(b"\x01") + 1, span.count(b"\x02") + 1)
+        if len(self) < CACHE and len(span) < 64:
+            self[span] = len(self.counts)
+        self.counts.append(n)
+        return len(self.counts) - 1
+
+
+def groups(label: bytes, spans: _Spans | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of A and of B tokens up to each both-label."""
+    spans = _Spans() if spans is None or len(spans.counts) > 4 * CACHE else spans
+    found = _GROUP.findall(label)
+    at = np.fromiter(map(spans.__getitem__, found), np.int64, len(found))
+    if len(spans.held) < len(spans.counts):
+        spans.held = np.array(spans.counts, np.int64)
+    return spans.held[at, 0], spans.held[at, 1]
 
 
 def links(label: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,21 +158,36 @@ def links(label: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[np.cumsum(in_a) - in_a] << 32 | b[np.cumsum(in_b) - in_b]
 
 
-class Chunks:
-    """What is known of the chunks met so far: numbers, groups as text, links."""
-
-    def __init__(self, vocabulary_a: str, vocabulary_b: str):
-        self.t = Tokenizers(vocabulary_a, vocabulary_b)
-        self.names_a = [str(i) for i in range(len(self.t.bytes_a))]
-        self.names_b = [str(i) for i in range(len(self.t.bytes_b))]
-        self.clear()
+class _Known:
+    """Chunks and their ids of A and of B, one chunk after another."""
 
-    def clear(self) -> None:
+    def __init__(self, dtype: str):
         self.at: dict[str, int] = {}
-        self.text: list[str] = []
         self.bad: set[int] = set()  # the tokens' bytes are not the chunk's
-        self.n: list[np.ndarray] = []  # tokens of A, of B, groups
-        self.links: list[np.ndarray] = []
+        self.ids = [np.empty(0, dtype), np.empty(0, dtype)]
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+
+    def add(self, chunks: list[str], sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """``sides``: all ids, and each chunk's number of them."""
+        self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks))))
+        for k, (ids, n) in enumerate(sides):
+            self.ids[k] = np.concatenate([self.ids[k], ids.astype(self.ids[k].dtype)])
+            self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(n)])
+
+    def take(self, codes: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        first, n = self.ends[side][codes], np.diff(self.ends[side])[codes]
+        ends = np.cumsum(n)
+        return self.ids[side][np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
+
+class Encoder:
+    """Both tokenizers' ids of texts, by the chunks met so far."""
+
+    def __init__(self, vocabulary_a: str, vocabulary_b: str):
+        self.t = Tokenizers(vocabulary_a, vocabulary_b)
+        self.dtype = "<u2" if max(len(self.t.bytes_a), len(self.t.bytes_b)) <= 1 << 16 else "<u4"
+        # chunks met lately, and those before them
+        self.known, self.old = _Known(self.dtype), _Known(self.dtype)
 
     def parts(self, text: str) -> Iterator[list[str]]:
         """The text behind its space in chunks, so many at a time as ``_PART`` characters hold."""
@@ -165,98 +203,93 @@ class Chunks:
             yield _CHUNK.findall(text[at:end])
             at = end
 
-    def read(self, text: str) -> np.ndarray | None:
-        """The numbers of a text's chunks, new ones learnt; None if it is empty or tokens do not hold its bytes."""
-        if not text:
-            return None
-        codes = []
-        for chunks in self.parts(text):
-            new = [c for c in dict.fromkeys(chunks) if c not in self.at]
-            if new:
-                self._learn(new)
-            codes.append(np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks)))
-        out = np.concatenate(codes)
-        return None if self.bad and np.isin(out, list(self.bad)).any() else out
+    def __call__(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids as little-endian integers of ``dtype``; none where a text is empty or tokens do not hold its bytes."""
+        if len(self.known.at) > CACHE:
+            self.known, self.old = _Known(self.dtype), self.known
+        chunks = [[c for part in self.parts(t) for c in part] if t else [] for t in texts]
+        known, old = self.known, self.old
+        new = set(chain.from_iterable(chunks)).difference(known.at)
+        again = [c for c in new.intersection(old.at) if old.at[c] not in old.bad]
+        codes = np.fromiter(map(old.at.__getitem__, again), np.int64, len(again))
+        known.add(again, [old.take(codes, k) for k in range(2)])
+        self._learn(list(new.difference(again)))
+        ends = np.cumsum([len(x) for x in chunks])
+        codes = np.fromiter(map(known.at.__getitem__, chain.from_iterable(chunks)), np.int64, int(ends[-1]) if len(ends) else 0)
+        spoilt = set(np.searchsorted(ends, np.flatnonzero(np.isin(codes, list(known.bad))), side="right").tolist()) if known.bad else ()
+        out = []
+        for k in range(2):
+            ids, n = known.take(codes, k)
+            cuts = (np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends]).astype(np.int64)] * ids.itemsize).tolist()
+            data = ids.tobytes()
+            out.append([b"" if i in spoilt else data[x:y] for i, (x, y) in enumerate(zip(cuts, cuts[1:]))])
+        return list(zip(*out))
 
     def _learn(self, new: list[str]) -> None:
-        spaced = [c for c in new if c[0] == " " and not c[-1].isspace()] if self.t.by_chunk else []
-        # chunks that stand behind one another encode in one call as they do alone
-        if len(spaced) > 1 and self._add("".join(spaced), spaced):
-            new = [c for c in new if c not in self.at]
+        # chunks encode behind one another as they do alone; what ends with white space stands last in its text
+        some = [c for c in new if not c[-1].isspace()] if self.t.by_chunk else []
+        at, size = 0, 0
+        for end, c in enumerate([*some, None]):
+            size += 0 if c is None else len(c)
+            if end > at and (c is None or size > _PART):
+                self._add(some[at:end], " x")
+                at, size = end, 0 if c is None else len(c)
         for c in new:
-            if not self._add(c, [c]):
-                self.bad.add(len(self.text))
-                self._put(c, "", np.zeros(3, np.int64), np.empty(0, np.int64))
-
-    def _put(self, chunk: str, text: str, n: np.ndarray, link: np.ndarray) -> None:
-        self.at[chunk] = len(self.text)
-        self.text.append(text)
-        self.n.append(n)
-        self.links.append(link)
-
-    def _add(self, joined: str, chunks: list[str]) -> bool:
-        """Align ``joined``, the chunks one after another; False if tokens' bytes are not its own."""
-        t, raw = self.t, joined.encode()
-        a, b = t(joined)
-        if b"".join(map(t.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(t.bytes_b.__getitem__, b.tolist())) != raw:
-            return False
-        ends_a, ends_b = np.cumsum(t.size_a[a]), np.cumsum(t.size_b[b])
-        label = labels(ends_a, ends_b)
-        link = links(label, a, b)
-        names_a, names_b = list(map(self.names_a.__getitem__, a.tolist())), list(map(self.names_b.__getitem__, b.tolist()))
-        found, i, j = [], 0, 0
-        for na, nb in groups(label):
-            found.append(f"{names_a[i]}|{names_b[j]}" if na == nb == 1 else f"{','.join(names_a[i : i + na])}|{','.join(names_b[j : j + nb])}")
-            i, j = i + na, j + nb
-        x = np.frombuffer(label, np.uint8)
-        cuts = np.cumsum([len(c.encode()) for c in chunks])
-        if (x[cuts - 1] != 3).any():
-            return False
-        # of each kind, how many end by each cut
-        by = [np.concatenate([[0], np.cumsum(k)[cuts - 1]]) for k in (x & 1, x >> 1, x == 3, x > 0)]
-        sizes = np.diff(np.array(by[:3]), axis=1).T
-        for k, c in enumerate(chunks):
-            self._put(c, ";".join(found[by[2][k] : by[2][k + 1]]), sizes[k], link[by[3][k] : by[3][k + 1]])
+            if c not in self.known.at and not self._add([c]):
+                self.known.bad.add(len(self.known.at))
+                self.known.add([c], [(np.empty(0, np.int64), np.zeros(1, np.int64))] * 2)
+
+    def _add(self, chunks: list[str], lead: str = "") -> bool:
+        """Encode the chunks as one text, behind ``lead``; False if tokens' bytes are not its own."""
+        joined, t, sides = lead + "".join(chunks), self.t, []
+        raw = joined.encode()
+        ends = len(lead) + np.cumsum([len(c.encode()) for c in chunks])
+        for ids, table, size in zip(t(joined), (t.bytes_a, t.bytes_b), (t.size_a, t.size_b)):
+            if b"".join(map(table.__getitem__, ids.tolist())) != raw:
+                return False
+            cuts = np.searchsorted(np.cumsum(size[ids]), [len(lead), *ends], side="right")
+            sides.append((ids[cuts[0] :], np.diff(cuts)))
+        self.known.add(chunks, sides)
         return True
 
 
 @lru_cache(maxsize=1)
-def _chunks(vocabulary_a: str, vocabulary_b: str) -> Chunks:
+def _encoder(vocabulary_a: str, vocabulary_b: str) -> Encoder:
     """One for a Python worker, whichever tasks it runs."""
-    return Chunks(vocabulary_a, vocabulary_b)
+    return Encoder(vocabulary_a, vocabulary_b)
+
 
+def _encode(vocabulary_a: str, vocabulary_b: str):
+    """(id, digest, ids of A, ids of B) of each text."""
 
-def _rounds(batches: Iterator[pa.RecordBatch], column: int, known: Chunks) -> Iterator[pa.RecordBatch]:
-    for batch in common.grouped(batches, column, _TEXT_BYTES):
-        if len(known.at) > CACHE:
-            known.clear()
-        yield batch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(vocabulary_a, vocabulary_b)
+        for batch in common.grouped(batches, 1, _TEXT_BYTES):
+            ids = encoder(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.binary()) for x in zip(*ids))], ["id", "digest", "ids_a", "ids_b"])
+
+    return run
+
+
+def _overlaid(encoder: Encoder, a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Both sides' ids of one or more texts, and the label string over their bytes."""
+    a, b = (np.frombuffer(x, encoder.dtype).astype(np.int64) for x in (a, b))
+    t = encoder.t
+    return a, b, labels(np.cumsum(t.size_a[a]), np.cumsum(t.size_b[b]))
 
 
 def _count(vocabulary_a: str, vocabulary_b: str):
     """(pair, n) of all links that the task has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _chunks(vocabulary_a, vocabulary_b)
+        encoder = _encoder(vocabulary_a, vocabulary_b)
         pairs, sums = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in _rounds(batches, 0, known):
-            times = np.zeros(len(known.text), np.int64)
-            for text in batch.column(0).to_pylist():
-                codes = known.read(text)
-                if codes is None:
-                    continue
-                met = np.bincount(codes)
-                if len(times) < len(known.text):
-                    times = np.concatenate([times, np.zeros(len(known.text) - len(times), np.int64)])
-                times[: len(met)] += met
-            used = np.flatnonzero(times)
-            if not len(used):
-                continue
-            link = [known.links[i] for i in used.tolist()]
-            keys = np.concatenate([pairs, *link])
-            n = np.concatenate([sums, np.repeat(times[used], [len(x) for x in link])])
-            pairs, inverse = np.unique(keys, return_inverse=True)
-            sums = np.bincount(inverse, weights=n).astype(np.int64)
+        for batch in common.grouped(batches, 0, _TEXT_BYTES):
+            # texts' bytes end on both sides, so those of a round are laid out as one
+            a, b, label = _overlaid(encoder, *(b"".join(batch.column(i).to_pylist()) for i in range(2)))
+            keys, n = np.unique(links(label, a, b), return_counts=True)
+            pairs, inverse = np.unique(np.concatenate([pairs, keys]), return_inverse=True)
+            sums = np.bincount(inverse, weights=np.concatenate([sums, n]), minlength=len(pairs)).astype(np.int64)
             if len(pairs) >= HELD_PAIRS:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums)], ["pair", "n"])
                 pairs, sums = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -266,6 +299,33 @@ def _count(vocabulary_a: str, vocabulary_b: str):
     return run
 
 
+class Names:
+    """Each id with what follows it: the next id of its side, the other side, or the next group."""
+
+    def __init__(self, n_a: int, n_b: int):
+        self.n_a, self.n_b = n_a, n_b
+        self.table = [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)]
+
+    def written(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> str:
+        """The groups of so many A and B ids each: ``a1,a2|b1;a3|b2,b3``."""
+        ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
+        of_a, of_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        out = np.empty(len(a) + len(b), np.int64)
+        last = np.zeros(len(a), bool)
+        last[ends_a - 1] = True
+        out[np.arange(len(a)) + (ends_b - n_b)[of_a]] = a + self.n_a * last
+        last = np.zeros(len(b), bool)
+        last[ends_b - 1] = True
+        out[np.arange(len(b)) + ends_a[of_b]] = 2 * self.n_a + b + self.n_b * last
+        return "".join(map(self.table.__getitem__, out.tolist()))[:-1]
+
+
+@lru_cache(maxsize=1)
+def _names(vocabulary_a: str, vocabulary_b: str) -> Names:
+    t = _encoder(vocabulary_a, vocabulary_b).t
+    return Names(len(t.bytes_a), len(t.bytes_b))
+
+
 class Head:
     """The counts of the most frequent pairs."""
 
@@ -288,21 +348,25 @@ def _align(vocabulary_a: str, vocabulary_b: str, head):
     """(id, digest, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each text, by what the head knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, top = _chunks(vocabulary_a, vocabulary_b), head.value
-        sums = np.empty((0, 6), np.int64)  # of chunks: n_a, n_b, n_groups, n_links, n_best, count_sum
-        seen = None
-        for batch in _rounds(batches, 1, known):
-            if seen is not known.at:
-                seen, sums = known.at, np.empty((0, 6), np.int64)
-            out, strings = [], []
-            for text in batch.column(1).to_pylist():
-                codes = known.read(text)
-                if len(sums) < len(known.text):
-                    sums = np.concatenate([sums, _chunk_sums(known, top, len(sums))])
-                out.append(np.zeros(6, np.int64) if codes is None else sums[codes].sum(axis=0))
-                strings.append("" if codes is None else ";".join(map(known.text.__getitem__, codes.tolist())))
-            m = np.array(out, np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(m[:, i]) for i in range(6)), pa.array(strings, pa.string())], ["id", "digest", *_COLUMNS])
+        encoder, names, top = _encoder(vocabulary_a, vocabulary_b), _names(vocabulary_a, vocabulary_b), head.value
+        spans = _Spans()
+        for batch in common.grouped(batches, 2, _TEXT_BYTES):
+            numbers, strings = [], []
+            for raw_a, raw_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b, label = _overlaid(encoder, raw_a, raw_b)
+                written, n_groups, at, i, j = [], 0, 0, 0, 0
+                while at < len(label):  # a long text in parts, each up to a both-label
+                    end = len(label) if len(label) - at <= _LABELS else label.index(b"\x03", at + _LABELS) + 1
+                    n_a, n_b = groups(label[at:end], spans)
+                    to_a, to_b = i + int(n_a.sum()), j + int(n_b.sum())
+                    written.append(names.written(a[i:to_a], b[j:to_b], n_a, n_b))
+                    n_groups, at, i, j = n_groups + len(n_a), end, to_a, to_b
+                link = links(label, a, b)
+                n, best, _ = top.look_up(link)
+                numbers.append((len(a), len(b), n_groups, len(link), int(best.sum()), int(n.sum())))
+                strings.append(";".join(written))
+            m = np.array(numbers, np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(m[:, i]) for i in range(6)), pa.array(strings, pa.string())], ["id", "digest", *_COLUMNS])
 
     return run
 
@@ -310,45 +374,33 @@ def _align(vocabulary_a: str, vocabulary_b: str, head):
 _COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
 
-def _chunk_sums(known: Chunks, head: Head, first: int) -> np.ndarray:
-    """The sums of the chunks from ``first`` on."""
-    link = known.links[first:]
-    sizes = np.fromiter(map(len, link), np.int64, len(link))
-    n, best, _ = head.look_up(np.concatenate([*link, np.empty(0, np.int64)]))
-    of = np.repeat(np.arange(len(link)), sizes)
-    ends = np.concatenate([[0], np.cumsum(n)])  # exact, as floating weights are not
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    return np.column_stack([np.array(known.n[first:], np.int64).reshape(-1, 3), sizes, np.bincount(of, weights=best, minlength=len(link)).astype(np.int64), ends[cuts[1:]] - ends[cuts[:-1]]])
-
-
 def _rest(vocabulary_a: str, vocabulary_b: str, head):
-    """(id, text's digest, pair, times) of the links that the head does not know."""
+    """(id, digest, pair, times) of the links that the head does not know."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, top = _chunks(vocabulary_a, vocabulary_b), head.value
-        for batch in _rounds(batches, 1, known):
-            for i, (text, digest) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                codes = known.read(text)
-                if codes is None:
-                    continue
-                codes, times = np.unique(codes, return_counts=True)
-                link = [known.links[k] for k in codes.tolist()]
-                pairs = np.concatenate(link)
-                n = np.repeat(times, [len(x) for x in link])
+        encoder, top = _encoder(vocabulary_a, vocabulary_b), head.value
+        for batch in batches:
+            for i, (raw_a, raw_b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                a, b, label = _overlaid(encoder, raw_a, raw_b)
+                pairs, times = np.unique(links(label, a, b), return_counts=True)
                 missing = ~top.look_up(pairs)[2]
-                if missing.any():
-                    keys, inverse = np.unique(pairs[missing], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(0)[i].as_py()] * len(keys), pa.int64()), pa.array([digest] * len(keys), pa.string()), pa.array(keys), pa.array(np.bincount(inverse, weights=n[missing]).astype(np.int64))],
-                        ["id", "digest", "pair", "times"],
-                    )
+                k = int(missing.sum())
+                if k:
+                    same = pa.array([i] * k)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(pairs[missing]), pa.array(times[missing])], ["id", "digest", "pair", "times"])
 
     return run
 
 
-def pair_counts(texts: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str = VOCABULARY_B) -> DataFrame:
-    """``pair, a, b, n, best``: how many links of all ``texts`` (one column) hold each pair of ids; ``best``: no other A id has more with this B id. Written once."""
-    counts = texts.mapInArrow(_count(vocabulary_a, vocabulary_b), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary_a: str = VOCABULARY_A, vocabulary_b: str = VOCABULARY_B) -> DataFrame:
+    """``id, digest, ids_a, ids_b`` of each row, written once; the digest is the text's."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), common.text_or_empty(F.col(text_col).cast("string")).alias("text"))
+    return common.keep(rows.withColumn("digest", F.md5("text")).mapInArrow(_encode(vocabulary_a, vocabulary_b), "id bigint, digest string, ids_a binary, ids_b binary"), "ids")
+
+
+def pair_counts(encoded: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str = VOCABULARY_B) -> DataFrame:
+    """``pair, a, b, n, best``: how many links of all texts hold each pair of ids; ``best``: no other A id has more with this B id. Written once."""
+    counts = encoded.select("ids_a", "ids_b").mapInArrow(_count(vocabulary_a, vocabulary_b), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     # a B id has at most as many rows as the A vocabulary has ids
     counts = counts.withColumns({"a": F.shiftright("pair", 32), "b": F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))})
     most = F.max("n").over(Window.partitionBy("b"))
@@ -368,14 +420,13 @@ def align(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vo
     """
     spark = docs.sparkSession
     common.ship(spark)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), common.text_or_empty(F.col(text_col).cast("string")).alias("text"))
-    pairs = pair_counts(rows.select("text"), vocabulary_a, vocabulary_b)
+    rows = encode(docs, id_col=id_col, text_col=text_col, vocabulary_a=vocabulary_a, vocabulary_b=vocabulary_b)
+    pairs = pair_counts(rows, vocabulary_a, vocabulary_b)
     more_than_head = pairs.count() > head
     top = pairs.select("pair", "n", "best")
     if more_than_head:
         top = top.orderBy(F.desc("n"), "pair").limit(head)
     held = spark.sparkContext.broadcast(Head(top.toArrow()))  # at most ``head`` rows
-    rows = rows.withColumn("digest", F.sha2("text", 256) if more_than_head else F.lit(None).cast("string"))
     numbers = ", ".join(f"{c} bigint" for c in _COLUMNS[:-1])
     out = rows.mapInArrow(_align(vocabulary_a, vocabulary_b, held), f"id bigint, digest string, {numbers}, groups string")
     if more_than_head:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import alignment, decontaminate, importance, jaccard_join, lattice, packing, pii, token_store, top_k, url_filter, warc
+from tallyspark.llm import alignment, decontaminate, importance, jaccard_join, lattice, licenses, packing, pii, ranking, token_store, top_k, url_filter, warc
 
 _BY_NAME = {
     "op1_decontaminate": decontaminate,
@@ -20,6 +20,8 @@ _BY_NAME = {
     "op9_warc_archives": warc,
     "op10_url_filter": url_filter,
     "op11_token_alignment": alignment,
+    "op12_ranked_search": ranking,
+    "op13_license_scan": licenses,
 }
 
 
