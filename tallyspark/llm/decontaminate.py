@@ -42,54 +42,72 @@ def _windows(tokens: np.ndarray, size: int) -> np.ndarray:
 
 
 def tile(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in item, start in text, words): longest first, then leftmost in the item, then in the text."""
+    """Greedy tiles (start in item, start in text, words): longest first, then leftmost in the item, then in the text.
+
+    Equal windows are never paired off: each of the item's takes the first of the text's
+    that is still unmarked, so a length costs as much as both sides have windows, however
+    often words repeat.
+    """
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
     tiles: list[tuple[int, int, int]] = []
     size = min(len(item), len(text))
-    while size >= least:
-        found = _longest(item, text, free_item, free_text, least, size)
-        if not found:
-            break
-        size = found[0][2]
-        for i, j, n in found:
-            if free_item[i : i + n].all() and free_text[j : j + n].all():
-                free_item[i : i + n] = False
-                free_text[j : j + n] = False
-                tiles.append((i, j, n))
+    while size >= least and (size := _longest(item, text, free_item, free_text, least, size)):
+        tiles += _mark(item, text, free_item, free_text, size)
+        size -= 1
     return tiles
 
 
-def _matches(item, text, free_item, free_text, size: int) -> list[tuple[int, int]]:
-    """Starts of equal windows of ``size`` unmarked words."""
+def _unmarked(free: np.ndarray, size: int) -> np.ndarray:
+    """Starts of the windows of ``size`` words none of which is marked."""
+    c = np.concatenate([[0], np.cumsum(~free)])
+    return np.flatnonzero(c[size:] == c[:-size])
+
+
+def _mark(item, text, free_item, free_text, size: int) -> list[tuple[int, int, int]]:
+    """Mark the tiles of one length from left to right."""
+    a, b = _unmarked(free_item, size), _unmarked(free_text, size)
+    ha, hb = _windows(item, size)[a], _windows(text, size)[b]
+    wanted = np.unique(ha)
+    at = np.minimum(np.searchsorted(wanted, hb), len(wanted) - 1)
+    met = wanted[at] == hb
+    b, key = b[met], at[met]
+    order = np.argsort(key, kind="stable")
+    b, key = b[order], key[order]
+    starts = np.searchsorted(key, np.arange(len(wanted) + 1)).tolist()
+    nxt = starts[:-1]
+    tiles, done = [], 0
+    for i, k in zip(a.tolist(), np.searchsorted(wanted, ha).tolist()):
+        if i < done:
+            continue
+        while nxt[k] < starts[k + 1] and not free_text[b[nxt[k]] : b[nxt[k]] + size].all():
+            nxt[k] += 1  # marked words stay marked
+        for j in b[nxt[k] : starts[k + 1]].tolist():
+            if free_text[j : j + size].all() and (item[i : i + size] == text[j : j + size]).all():
+                free_item[i : i + size] = False
+                free_text[j : j + size] = False
+                tiles.append((i, j, size))
+                done = i + size
+                break
+    return tiles
 
-    def unmarked(free: np.ndarray) -> np.ndarray:
-        c = np.concatenate([[0], np.cumsum(~free)])
-        return np.flatnonzero(c[size:] == c[:-size])
 
-    a, b = unmarked(free_item), unmarked(free_text)
-    if not len(a) or not len(b):
-        return []
-    by_hash = defaultdict(list)
-    ha, hb = _windows(item, size), _windows(text, size)
-    for i in a:
-        by_hash[ha[i]].append(int(i))
-    b = b[np.isin(hb[b], ha[a])]
-    return sorted((i, int(j)) for j in b for i in by_hash[hb[j]] if (item[i : i + size] == text[j : j + size]).all())
+def _longest(item, text, free_item, free_text, least: int, most: int) -> int:
+    """The greatest length from ``least`` to ``most`` of which both sides have an equal unmarked window, else 0: windows that match at a length match at every shorter one, so it is found by halving."""
 
+    def match(size: int) -> bool:
+        a, b = _unmarked(free_item, size), _unmarked(free_text, size)
+        if not len(a) or not len(b):
+            return False
+        wanted, hb = np.unique(_windows(item, size)[a]), _windows(text, size)[b]
+        return bool((wanted[np.minimum(np.searchsorted(wanted, hb), len(wanted) - 1)] == hb).any())
 
-def _longest(item, text, free_item, free_text, least: int, most: int) -> list[tuple[int, int, int]]:
-    """All matches of the greatest length from ``least`` to ``most``: windows that match at a length match at every shorter one, so it is found by halving."""
-    low, best = least, _matches(item, text, free_item, free_text, least)
-    if not best:
-        return []
-    high = most
+    if not match(least):
+        return 0
+    low, high = least, most
     while low < high:
         mid = (low + high + 1) // 2
-        if got := _matches(item, text, free_item, free_text, mid):
-            low, best = mid, got
-        else:
-            high = mid - 1
-    return [(i, j, low) for i, j in best]
+        low, high = (mid, high) if match(mid) else (low, mid - 1)
+    return low
 
 
 class Items:
@@ -104,11 +122,13 @@ class Items:
             keys.append(h)
             owners.append(np.full(len(h), k))
             places.append(np.arange(len(h)))
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
+        flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
         self.owners = np.concatenate(owners)[order] if keys else np.empty(0, int)
         self.places = np.concatenate(places)[order] if keys else np.empty(0, int)
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.starts = np.concatenate([first, [len(flat)]])
+        self.sizes = np.array([len(t) for _, t in self.items], int)
         # items shorter than a seed, by their number of words and hash
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, t) in enumerate(self.items):
@@ -122,30 +142,33 @@ class Items:
         seed, out = self.seed, []
         h = _windows(words, seed)
         if len(h) and len(self.keys):
-            at = np.searchsorted(self.keys, h)
-            hit = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == h)
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == h)
         else:
             hit = np.empty(0, int)
         if len(hit):
-            first, last = at[hit], np.searchsorted(self.keys, h[hit], side="right")
-            n = last - first
-            of_text = np.repeat(hit, n)
-            entry = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            owner, place = self.owners[entry], self.places[entry]
-            order = np.argsort(owner, kind="stable")
-            cuts = np.flatnonzero(np.diff(owner[order])) + 1
-            for group in np.split(order, cuts):
-                item_id, item = self.items[owner[group[0]]]
-                seen = np.zeros(len(item) + 1, int)
-                np.add.at(seen, place[group], 1)
-                covered = np.convolve(seen[: len(item)] > 0, np.ones(seed, int))[: len(item)] > 0
-                if covered.sum() < coverage * len(item):
-                    continue  # tiles lie within the seeds
+            of_text = at[hit]
+            # each seed once, however often the text has it
+            found = np.unique(of_text)
+            n = self.starts[found + 1] - self.starts[found]
+            entry = np.repeat(self.starts[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            owner, place, key = self.owners[entry], self.places[entry], np.repeat(found, n)
+            order = np.lexsort((place, owner))
+            owner, place, key = owner[order], place[order], key[order]
+            last = np.concatenate([owner[1:] != owner[:-1], [True]])
+            under = np.where(last, seed, np.minimum(seed, np.diff(place, append=0)))
+            first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+            covered = np.add.reduceat(under, first)
+            ends = np.append(first[1:], len(owner))
+            for g in np.flatnonzero(covered >= coverage * self.sizes[owner[first]]):  # tiles lie within the seeds
+                item_id, item = self.items[owner[first[g]]]
+                own = np.zeros(len(found), bool)
+                own[np.searchsorted(found, key[first[g] : ends[g]])] = True
                 # only words under a seed can be in a tile; a gap keeps distant ones apart
-                under = np.unique(of_text[group][:, None] + np.arange(seed))
-                parts = np.split(words[under], np.flatnonzero(np.diff(under) > 1) + 1)
+                begin = hit[own[np.searchsorted(found, of_text)]]
+                stretch = np.split(begin, np.flatnonzero(np.diff(begin) > seed) + 1)
                 gap = np.zeros(1, np.uint64)
-                island = np.concatenate([x for p in parts for x in (p, gap)])
+                island = np.concatenate([x for p in stretch for x in (words[p[0] : p[-1] + seed], gap)])
                 tiles = tile(item, island, seed)
                 total = sum(t[2] for t in tiles)
                 if total >= coverage * len(item):

@@ -1,21 +1,28 @@
 """Personal data by weak supervision.
 
-Base rules find the certain spans. Much looser rules propose whatever may be personal data,
-most of which is not: numbers of a card's length that fail the checksum, dates, times,
-versions, prose with "at". Every span, base or proposed, is a candidate on which labelers
-vote: its regular expression's shape, checks, gazetteers and the words around it.
-Expectation-maximisation over the counts of vote patterns (their number is bounded,
-whatever the corpus) estimates for every kind how reliable each labeler is, and its
-posteriors train the final classifier, which sees the span's own surface besides the votes:
-how many characters and groups it has, what parts them, what stands next to it. Base spans
-stay whatever it says; proposed ones are added where it says yes.
+Base rules find the certain spans. Looser rules propose whatever may be personal data,
+much of which is not: numbers of a card's length that fail the checksum, dates, times,
+versions, "hosted at example.com". Every span, base or proposed, is a candidate on which
+labelers vote: its regular expression's shape, checks, gazetteers and the words around it.
+
+Nobody says how reliable a labeler is. Spans made by rule (:func:`planted`: spellings of
+addresses and numbers, and look-alikes) are known to be true or false; over them and the
+counts of the corpus's vote patterns (their number is bounded, whatever the corpus)
+expectation-maximisation estimates for every kind how often each labeler votes yes, no or
+not at all on true and on false spans. The planted spans weigh as much as all of the
+corpus, so they hold the two classes apart however large it is. Posteriors and planted
+truth train the final classifier, which sees the span's own surface besides the votes: how
+many characters and groups it has, what parts them, what stands next to it. Base spans stay
+whatever it says; proposed ones are added where it says yes.
 """
 
 from __future__ import annotations
 
-import hashlib
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,12 +34,9 @@ from tallyspark.llm import common
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELERS = ["shape", "check", "gazetteer", "context", "counter", "edges"]
-#: What a labeler's vote counts for at the start, before its reliability is estimated.
-WEIGHTS = [1, 4, 1, 2, 2, 1]
-#: Checks whose shares of + among true and among false spans are known: a card's checksum holds, and for one number in ten by chance;
-#: "at" between blanks before a real dot is seldom an address.
-KNOWN = {("card", "check"): (0.999, 0.1), ("ip", "check"): (0.999, 0.3), ("email", "check"): (0.98, 0.3)}
 ROUNDS, ACCEPT = 50, 0.5
+#: Planted spans of each kind, half of them false.
+PLANTED = 600
 #: Characters of context on either side.
 AROUND = 40
 
@@ -44,13 +48,15 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Looser rules propose spans.
-_EMAIL_SPELT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?: ?(?:@|&#64;|\(at\)|\[at\]|\{{at\}}) ?| at )[A-Za-z0-9-]{{1,63}}(?:(?:(?<! ) ?\. ?| ?(?:\(dot\)|\[dot\]|\{{dot\}}|\[\.\]|\(\.\)) ?| dot )[A-Za-z0-9-]{{1,63}}){{1,4}}(?![A-Za-z0-9-])", re.I)
+_AT, _DOT = r"(?: ?(?:@|&#64;|\(at\)|\[at\]|\{at\}) ?| at )", r"(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\[\.\]|\(\.\)) ?| dot )"
+_EMAIL_SPELT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9._%+-]{{1,64}}){{0,3}}{_AT}[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT}|\.| \. )[A-Za-z0-9-]{{1,63}}){{1,4}}(?![A-Za-z0-9-])", re.I)
 # "at" between blanks before a real dot is more often prose ("hosted at example.com")
 _AT_PROSE = re.compile(r" at [A-Za-z0-9-]+ ?\.", re.I)
 _IP_LOOSE = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}| ?\. ?[0-9]{1,3}){3}(?![0-9.])", re.I)
-_IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?:(?<=:)[0-9]{1,3}(?:\.[0-9]{1,3}){3})?(?![\w:])|(?<![\w:.])::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}(?![\w:])")
+_IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?:(?<=:)[0-9]{1,3}(?:\.[0-9]{1,3}){3})?(?![\w:])|(?:(?<![\w:.\[])|(?<=//\[))::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}(?![\w:])")
 _CARD_LOOSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:(?:[._/-]|  ?)?[0-9]{4,6}){2,3}(?:(?:[._/-]|  ?)[0-9]{1,5})?(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])")
-_PHONE_LOOSE = re.compile(r"(?<![0-9A-Za-z+.])(?:(?:\+|00)[0-9]{1,3}[ ./-]?)?(?:\([0-9]{1,5}\)|[0-9]{2,5})(?:[ ./-]{1,2}[0-9]{2,5}){1,5}(?![0-9A-Za-z])")
+# not the three groups of a social security number
+_PHONE_LOOSE = re.compile(r"(?<![0-9A-Za-z+.])(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))(?:(?:\+|00)[0-9]{1,3}[ ./-]?)?(?:\([0-9]{1,5}\)|[0-9]{2,5})(?:[ ./-]{1,2}[0-9]{2,5}){1,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z+.])0[0-9]{7,13}(?![0-9A-Za-z])")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[ ./-][0-9]{1,2}[ ./-][0-9]{1,2}|[0-9]{1,2}[ ./-][0-9]{1,2}[ ./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2} ?[-/] ?(?:19|20)[0-9]{2}")
 
 # Gazetteers and context words.
@@ -122,7 +128,7 @@ def proposed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[st
     if "at" in low or "@" in text or "&#64;" in text:
         offer("email", _EMAIL_SPELT)
     if ":" in text:
-        offer("ip", _IP6)
+        offer("ip", _IP6, 1)  # words of a to f, too, stand around "::"
     if any(c in text for c in "0123456789"):
         offer("ip", _IP_LOOSE)
         offer("card", _CARD_LOOSE, 13, 19)
@@ -191,34 +197,104 @@ def candidates(text: str) -> list[tuple[str, int, int, bool, str]]:
     return [(k, s, e, own, f"{k}:{votes(text, k, s, e)}:{surface(text, k, s, e)}") for own, spans in ((True, base), (False, proposed_spans(text, base))) for k, s, e in spans]
 
 
-def aggregate(patterns: dict[str, int]) -> tuple[dict[str, float], dict[tuple[str, str], tuple[float, float]]]:
-    """Posterior of each pattern, and for each kind and labeler the shares of + among true and among false spans.
-
-    Votes are independent given the truth; abstentions say nothing. It starts from the
-    weighted sum of votes (``WEIGHTS``), with every kind's own share of true spans, and each
-    labeler is taken to do better than chance: eight votes in ten, counted as ten spans.
-    What is ``KNOWN`` of a check is not estimated.
+def _planted_texts(seed: int, each: int) -> Iterator[tuple[str, str, str, bool]]:
+    """(kind, text, span, true): ``each`` of every kind."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8)))
+
+    def card(true: bool) -> str:
+        d = pick(_CARD_HEADS if true else "123456789") + digits(pick([12, 13, 14, 15, 15, 15, 18]))
+        if true:  # of any other numbers one in ten holds by chance
+            d = next(x for c in "0123456789" if luhn(x := d[:-1] + c))
+        cut = pick([[4, 6], [4, 4, 4]]) if len(d) < 16 else [4, 4, 4]
+        sep, parts = pick([".", "_", "/", "  ", "-", " ", ""]), []
+        for n in cut:
+            parts, d = [*parts, d[:n]], d[n:]
+        return sep.join([*parts, d] if d else parts)
+
+    def email(true: bool) -> str:
+        if not true:
+            return pick([f"{word()} at {word()}.{pick(_TLDS)}", f"{word()} at {word()}.{word()}", f"{word()}.{word()} at {word()}-{word()}.{pick(_TLDS)}"])
+        dot = pick([" dot ", " (dot) ", "(dot)", "[dot]", " [dot] ", "[.]", " . ", "."])
+        at = pick(["(at)", " (at) ", "[at]", " [at] ", " @ ", "&#64;", "{at}"] if "." in dot else [" at ", " (at) ", "[at]", " @ ", "@"])
+        name = word() + pick(["", "", "." + word(), dot + word() if dot.strip() not in (".", "[.]") else ""])
+        return dot.join([name + at + word(), *([word()] if rng.random() < 0.3 else []), pick(_TLDS)])
+
+    def ip(true: bool) -> str:
+        part = lambda: str(rng.randint(0, 255) if true else rng.randint(256, 999))
+        four = pick(["[.]", " . ", "(dot)", "[dot]", "(.)"]).join([str(rng.randint(0, 255)), part(), str(rng.randint(0, 255)), part()])
+        hexes = lambda n: ":".join(format(rng.randint(0, 0xFFFF), "x") for _ in range(n))
+        if true:
+            return pick([four, hexes(8), f"{hexes(rng.randint(1, 4))}::{hexes(rng.randint(1, 3))}"])
+        return pick([four, ":".join(str(rng.randint(10, 59)) for _ in range(3)), ":".join(digits(2) for _ in range(rng.randint(4, 6)))])
+
+    def phone(true: bool) -> str:
+        if true:
+            country, area = str(rng.randint(1, 99)), str(rng.randint(11, 999))
+            return pick([f"(0{area}) {digits(3)} {digits(2)} {digits(2)}", f"00{country} {area} {digits(4)} {digits(3)}", f"0{area}-{digits(3)}-{digits(2)}-{digits(2)}", f"0{area}/{digits(3)} {digits(3)}", f"0{area}{digits(7)}", f"0{area}.{digits(3)}.{digits(3)}", f"({area}) {digits(3)}-{digits(4)}"])
+        year, day = str(rng.randint(1900, 2035)), f"{rng.randint(1, 28):02}"
+        return pick([f"{year}-{rng.randint(1, 12):02}-{day}", f"{day}.{rng.randint(1, 12):02}.{year}", f"{year}-{rng.randint(1900, 2035)}", f"{rng.randint(10, 99)} - {digits(7)[:5]}", f"978 {rng.randint(10, 99)} {digits(5)} {digits(3)}", f"{rng.randint(1, 9)}{digits(2)} {digits(3)} {digits(3)}", f"{digits(4)}-{digits(4)}"])
+
+    for kind, make in (("email", email), ("ip", ip), ("card", card), ("phone", phone)):
+        for i in range(each):
+            true = i % 2 == 0
+            span, draw = make(true), rng.random()
+            lead = pick(_CONTEXT[kind]) if draw < (0.6 if true else 0.15) else pick(_COUNTER) if draw > (0.98 if true else 0.7) else word()
+            yield kind, f"{word()} {lead}{pick(['', ':', ',', '', ''])} {span}{pick([' ', ', ', '. ', ''])}{word() if rng.random() < 0.8 else ''}", span, true
+
+
+@lru_cache(maxsize=4)
+def planted(seed: int = 1, each: int = PLANTED) -> dict[tuple[str, bool], int]:
+    """How often each pattern occurs among proposed spans that are known to be true or false."""
+    out: Counter = Counter()
+    for kind, text, span, true in _planted_texts(seed, each):
+        start = text.index(span)
+        for k, s, e, own, pattern in candidates(text):
+            if not own and k == kind and (s, e) == (start, start + len(span)):
+                out[pattern, true] += 1
+    return dict(out)
+
+
+_VOTE = {"+": 0, "-": 1, "0": 2}
+
+
+def aggregate(patterns: dict[str, int], known: dict[tuple[str, bool], int] | None = None) -> tuple[dict[str, float], dict[tuple[str, str], np.ndarray]]:
+    """Posterior of each pattern, and for each kind and labeler the shares of +, - and 0 among true (row 0) and false spans.
+
+    Votes are independent given the truth. The first shares are those of the ``known`` spans
+    (:func:`planted` if not given); then the corpus's spans count by their posteriors, and
+    the known ones of a kind as much as all of the corpus's, their own number at least. A
+    kind's share of true spans is the corpus's own.
     """
+    known = planted() if known is None else known
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], float)
     kind = np.array([KINDS.index(p.split(":")[0]) for p in names], int)
-    v = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in p.split(":")[1]] for p in names]).reshape(len(names), len(LABELERS))
-    p = 1 / (1 + np.exp(-(v @ np.array(WEIGHTS, float))))
-    yes = np.full((len(KINDS), len(LABELERS), 2), 0.5)
-    for _ in range(ROUNDS if len(names) else 0):
+    code = lambda x: np.array([[_VOTE[c] for c in p.split(":")[1]] for p in x], int).reshape(len(x), len(LABELERS))
+    v, fixed = code(names), sorted(known)
+    fixed_v, fixed_kind = code([p for p, _ in fixed]), np.array([KINDS.index(p.split(":")[0]) for p, _ in fixed], int)
+    fixed_true, fixed_n = np.array([t for _, t in fixed], bool), np.array([known[f] for f in fixed], float)
+    p = np.zeros(len(names))
+    share = np.full((len(KINDS), len(LABELERS), 2, 3), 1 / 3)
+    for step in range(ROUNDS):
         log_odds = np.zeros(len(names))
         for k in range(len(KINDS)):
-            own = kind == k
-            true = ((n * p)[own].sum() + 1) / (n[own].sum() + 2)
+            own, sure = kind == k, fixed_kind == k
+            total = n[own].sum() if step else 0.0
+            weight = max(1.0, total / max(1.0, fixed_n[sure].sum()))
+            true = ((n * p)[own].sum() + 1) / (n[own].sum() + 2) if step else 0.5
             log_odds[own] = np.log(true / (1 - true))
             for j in range(len(LABELERS)):
-                for t, w in enumerate((n * p, n * (1 - p))):
-                    yes[k, j, t] = (w[own & (v[:, j] > 0)].sum() + (8, 2)[t]) / (w[own & (v[:, j] != 0)].sum() + 10)
-                yes[k, j] = KNOWN.get((KINDS[k], LABELERS[j]), yes[k, j])
-                up, down = np.log(yes[k, j, 0] / yes[k, j, 1]), np.log((1 - yes[k, j, 0]) / (1 - yes[k, j, 1]))
-                log_odds[own] += np.where(v[own, j] > 0, up, np.where(v[own, j] < 0, down, 0.0))
+                for t in range(2):
+                    w = n * (p if t == 0 else 1 - p) * (step > 0)
+                    votes_ = np.bincount(v[own, j], weights=w[own], minlength=3)
+                    votes_ = votes_ + weight * np.bincount(fixed_v[sure & (fixed_true == (t == 0)), j], weights=fixed_n[sure & (fixed_true == (t == 0))], minlength=3)
+                    share[k, j, t] = (votes_ + 1) / (votes_.sum() + 3)
+                log_odds[own] += np.log(share[k, j, 0] / share[k, j, 1])[v[own, j]]
         p = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-    return dict(zip(names, p.tolist())), {(k, name): tuple(yes[i, j]) for i, k in enumerate(KINDS) for j, name in enumerate(LABELERS)}
+    return dict(zip(names, p.tolist())), {(k, name): share[i, j] for i, k in enumerate(KINDS) for j, name in enumerate(LABELERS)}
 
 
 def _features(pattern: str) -> list[str]:
@@ -228,18 +304,20 @@ def _features(pattern: str) -> list[str]:
 
 
 class Classifier:
-    """Logistic regression on a span's kind, votes and surface, trained on the posteriors."""
-
-    def __init__(self, patterns: dict[str, int]):
-        self.posterior, self.reliability = aggregate(patterns)
-        names = sorted(patterns)
-        self.columns = {f: i for i, f in enumerate(sorted({f for p in names for f in _features(p)}))}
-        x = np.array([self._row(p) for p in names]).reshape(len(names), len(self.columns))
-        y = np.array([self.posterior[p] for p in names])
+    """Logistic regression on a span's kind, votes and surface, trained on the posteriors and on the known spans."""
+
+    def __init__(self, patterns: dict[str, int], known: dict[tuple[str, bool], int] | None = None):
+        known = planted() if known is None else known
+        self.posterior, self.reliability = aggregate(patterns, known)
+        names, fixed = sorted(patterns), sorted(known)
+        every = [*names, *(p for p, _ in fixed)]
+        self.columns = {f: i for i, f in enumerate(sorted({f for p in every for f in _features(p)}))}
+        x = np.array([self._row(p) for p in every]).reshape(len(every), len(self.columns))
+        y = np.array([*(self.posterior[p] for p in names), *(float(t) for _, t in fixed)])
         # what the base rules alone find must not drown the rare patterns
-        n = np.sqrt(np.array([patterns[p] for p in names], float))
+        n = np.sqrt(np.array([*(patterns[p] for p in names), *(known[f] for f in fixed)], float))
         w = np.zeros(x.shape[1])
-        for _ in range(30 if names else 0):  # Newton steps with a small ridge
+        for _ in range(30 if every else 0):  # Newton steps with a small ridge
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             g = x.T @ (n * (y - q)) - 0.1 * w
             h = (x * (n * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w))

@@ -226,7 +226,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 class WarcReader(DataSourceReader):
@@ -253,8 +253,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, path = _filesystem(self.path)
-        with fs.open_input_stream(f"{path}/MANIFEST") as f:
-            names = f.read().decode().split()
+        names = [n for m in manifests(fs, path) for n in listed(fs, m)]
         return [_File(f"{path}/{n}") for n in names] or [_File("")]
 
     def _accepts(self, fields: dict) -> bool:
@@ -297,10 +296,33 @@ class _Raw(io.RawIOBase):
         return self.file.tell()
 
 
+def manifests(fs, path: str) -> list[str]:
+    """The lists of archives below ``path``, one for each write that was committed; an error if there are none."""
+    from pyarrow.fs import FileSelector
+
+    found = sorted(f.path for f in fs.get_file_info(FileSelector(path)) if f.base_name.startswith("MANIFEST") and not f.base_name.endswith(".tmp"))
+    if not found:
+        raise FileNotFoundError(f"{path} has no archives")
+    return found
+
+
+def listed(fs, manifest: str) -> list[str]:
+    with fs.open_input_stream(manifest) as f:
+        return f.read().decode().split()
+
+
 class WarcWriter(DataSourceWriter):
-    def __init__(self, options):
+    """A write becomes visible by its manifest, which appears at once and whole.
+
+    Appending adds one to those that are there, so writes at the same time keep each
+    other's records. Overwriting removes what was there when it commits; a reader that
+    comes while it does so may meet the old records beside the new ones.
+    """
+
+    def __init__(self, options, overwrite: bool = False):
         self.path = options["path"]
         self.plain = str(options.get("compression", "gzip")).lower() == "none"
+        self.overwrite = overwrite
 
     def write(self, rows):
         fs, path = _filesystem(self.path)
@@ -314,11 +336,18 @@ class WarcWriter(DataSourceWriter):
         return _Wrote(name, n)
 
     def commit(self, messages):
+        from pyarrow.fs import FileSelector
+
         fs, path = _filesystem(self.path)
         fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(f"{path}/MANIFEST.tmp") as f:
+        old = [f.path for f in fs.get_file_info(FileSelector(path)) if f.base_name.startswith("MANIFEST")] if self.overwrite else []
+        gone = [f"{path}/{n}" for m in old for n in listed(fs, m)]
+        name = f"{path}/MANIFEST-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{name}.tmp") as f:
             f.write("\n".join(m.file for m in messages if m is not None and m.records).encode())
-        fs.move(f"{path}/MANIFEST.tmp", f"{path}/MANIFEST")
+        fs.move(f"{name}.tmp", name)
+        for f in [*old, *gone]:
+            fs.delete_file(f)
 
     def abort(self, messages):
         fs, path = _filesystem(self.path)
@@ -336,10 +365,11 @@ def register(spark: SparkSession) -> None:
 # --- archives of pages --------------------------------------------------------------
 
 
-def write_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
+def write_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, mode: str = "append") -> None:
     """One record for each row below ``path``: of equal payloads the row with the largest id holds it, others revisit it.
 
-    A null payload is an empty one. Payloads of fewer than ``least_bytes`` bytes are all
+    With ``mode`` "overwrite" they replace what is there, else they come beside it; equal
+    payloads of an earlier write are not looked for. A null payload is an empty one. Payloads of fewer than ``least_bytes`` bytes are all
     written out. Rows that repeat the largest id are responses too; a null id is smaller
     than any other, and is written as an empty record id. The rows of a popular payload
     are found by a partially aggregated maximum; only then do pages meet it, in a join
@@ -360,7 +390,7 @@ def write_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col
         "payload_bytes",
         F.when(response, F.col("payload")).alias("payload"),
     )
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode(mode).save(path)
 
 
 def base32(hex_digest):

@@ -1,6 +1,7 @@
 """Decontamination and the Jaccard join against plain versions."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -44,6 +45,17 @@ def test_tiles_equal_plain_tiles():
         assert decontaminate.tile(x, y, 3) == plain_tiles(x.tolist(), y.tolist(), 3)
 
 
+def test_words_that_repeat():
+    one, text = np.full(1000, 7, np.uint64), np.full(1_000_000, 7, np.uint64)
+    assert decontaminate.tile(one, text) == [(0, 0, 1000)]
+    item, words = " ".join(["a"] * 1000), " ".join(["a"] * 1_000_000)
+    start = time.perf_counter()
+    held = decontaminate.Items([(1, item), (2, "a b " * 300), (3, "a a a a b c d e f g h")])
+    assert held.match(words) == [(1, 1.0, 1000, 1)]
+    assert [m[0] for m in held.match("a b " * 200_000 + words)] == [1, 2]
+    assert time.perf_counter() - start < 20
+
+
 def test_decontamination(spark):
     rng = random.Random(1)
     item = text(rng, 30)

@@ -181,6 +181,23 @@ def test_pages_round_trip(spark):
     assert warc.read_pages(spark, empty).count() == 0
 
 
+def test_later_writes_add_or_replace(spark):
+    page = lambda *ids: spark.createDataFrame([(i, f"u{i}", f"text {i}") for i in ids], "page_id bigint, url string, html string")
+    ids = lambda: sorted(r.page_id for r in warc.read_pages(spark, path).collect())
+    path = common.new_path(spark, "test-warc")
+    warc.write_pages(page(1, 2), path)
+    warc.write_pages(page(3, 4), path)
+    assert ids() == [1, 2, 3, 4]
+    warc.write_pages(page(5), path, mode="overwrite")
+    assert ids() == [5]
+    warc.write_pages(page(6), path)
+    assert ids() == [5, 6]
+    warc.write_pages(page(7).limit(0), path, mode="overwrite")
+    assert ids() == []
+    files = [f for f in __import__("os").listdir(path.removeprefix("file://")) if not f.startswith(".")]
+    assert len([f for f in files if f.startswith("part-")]) <= 1 and len([f for f in files if f.startswith("MANIFEST")]) == 1
+
+
 # --- URL verdicts -------------------------------------------------------------------
 
 
