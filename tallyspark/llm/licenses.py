@@ -152,13 +152,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     templates are ASCII. Rows that repeat are answered each, a null id stays null, and other
     columns are not read, whatever their names.
     """
-    if any(not t.isascii() for _, t in [*phrases, *templates]):
+    if not all(x.isascii() for pair in (*phrases, *templates) for x in pair):
         raise ValueError("phrases and templates must be ASCII")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest"), spaced(text_col).alias("s"))
     found = template_matches(rows, templates, threshold).groupBy(F.col("doc_id").alias("of"), F.col("digest").alias("of_text"))
     found = found.agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     s = F.col("s")
-    base = rows.select("doc_id", "digest", _count(s).alias("n_words"), F.array(*[F.struct(F.lit(label).alias("label"), places(s, p).alias("starts")) for p, label in phrases]).alias("places"))
+    base = rows.select("doc_id", "digest", _count(s).alias("n_words"), F.array(*[F.struct(F.lit(label).alias("label"), places(s, p).alias("starts")) for p, label in phrases]).cast("array<struct<label:string,starts:array<int>>>").alias("places"))
     base = base.withColumn("base_labels", F.array_sort(F.array_distinct(F.transform(F.filter("places", lambda p: F.size(p["starts"]) > 0), lambda p: p["label"]))))
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_text")), "left")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>"))))

@@ -146,7 +146,8 @@ def _trees(n_docs: int, n_words: int):
 class Tree:
     """One shard, ready to search."""
 
-    def __init__(self, ids: bytes, terms: list[bytes], levels: list[dict]):
+    def __init__(self, ids: bytes, terms: list[bytes], levels: list[dict], fan: int = FAN):
+        self.fan = fan
         self.ids = np.frombuffer(ids, np.int64)
         self.term = {t: i for i, t in enumerate(terms)}
         self.levels = []
@@ -156,7 +157,7 @@ class Tree:
             term = np.repeat(np.arange(len(terms)), np.diff(starts))
             # by term and node, so the children of a node are found for all terms at once
             self.levels.append((width, term * width + np.frombuffer(x["nodes"], np.uint16), np.frombuffer(x["most"], np.int32)))
-            width = -(-width // FAN)
+            width = -(-width // fan)
 
     def children(self, level: int, first: int, last: int, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The weighted sums over the terms of the nodes from ``first`` to before ``last`` of a level."""
@@ -186,8 +187,8 @@ class Tree:
                 if len(found) >= k:
                     least = max(least, found[k - 1][0])
                 continue
-            first = node * FAN
-            sums = self.children(level - 1, first, first + FAN, term, weight)
+            first = node * self.fan
+            sums = self.children(level - 1, first, first + self.fan, term, weight)
             for i in np.flatnonzero(sums >= least).tolist():
                 heapq.heappush(heap, (-int(sums[i]), level - 1, first + i))
         return found
@@ -201,7 +202,7 @@ def _search(wave, k: int):
         least, best = list(least), [[] for _ in items]
         for batch in batches:
             for i in range(batch.num_rows):
-                tree = Tree(*(batch.column(c)[i].as_py() for c in range(3)))
+                tree = Tree(*(batch.column(c)[i].as_py() for c in range(3)), FAN)
                 for q, weights in enumerate(items):
                     if found := tree.search(weights, k, least[q]):
                         best[q] = sorted(best[q] + found, key=lambda x: (-x[0], x[1]))[:k]

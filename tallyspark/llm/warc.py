@@ -25,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -326,10 +327,13 @@ class WarcWriter(DataSourceWriter):
 
     def write(self, rows):
         fs, path = _filesystem(self.path)
+        rows = iter(rows)
+        if (row := next(rows, None)) is None:
+            return _Wrote("", 0)
         fs.create_dir(path, recursive=True)
         name, n = f"part-{uuid.uuid4().hex}.warc{'' if self.plain else '.gz'}", 0
         with fs.open_output_stream(f"{path}/{name}", compression=None, buffer_size=1 << 20) as out:
-            for row in rows:
+            for row in chain([row], rows):
                 record = record_bytes(row)
                 out.write(record if self.plain else gzip_member(record))
                 n += 1
@@ -352,7 +356,7 @@ class WarcWriter(DataSourceWriter):
     def abort(self, messages):
         fs, path = _filesystem(self.path)
         for m in messages:
-            if m is not None:
+            if m is not None and m.records:
                 fs.delete_file(f"{path}/{m.file}")
 
 

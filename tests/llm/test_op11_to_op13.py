@@ -175,7 +175,7 @@ def test_tree_opens_few_nodes_and_equal_bounds():
 
 
 def test_search_ties_go_to_smaller_ids(spark):
-    docs = [(i, "same words here") for i in range(500, 0, -1)]
+    docs = [(i, "same words here") for i in range(500, 0, -1)] + [(i, "others") for i in range(501, 1500)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
     got = ranking.rank(d, spark.createDataFrame([(1, "same here")], "item_id bigint, text string"), k=5).collect()
     assert sorted((r["rank"], r.doc_id) for r in got) == [(i, i) for i in range(1, 6)]

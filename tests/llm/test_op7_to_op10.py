@@ -195,7 +195,7 @@ def test_later_writes_add_or_replace(spark):
     warc.write_pages(page(7).limit(0), path, mode="overwrite")
     assert ids() == []
     files = [f for f in __import__("os").listdir(path.removeprefix("file://")) if not f.startswith(".")]
-    assert len([f for f in files if f.startswith("part-")]) <= 1 and len([f for f in files if f.startswith("MANIFEST")]) == 1
+    assert not [f for f in files if f.startswith("part-")] and len([f for f in files if f.startswith("MANIFEST")]) == 1
 
 
 # --- URL verdicts -------------------------------------------------------------------
