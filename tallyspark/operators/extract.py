@@ -3,6 +3,11 @@
 A notice is blocks of lines between blank lines: a headline block with the address, a body
 with the company's number, and reference lines. Every extractor takes the first match and
 gives null where there is none; nothing here needs Python.
+
+What several fields use is a column of its own, made in a projection before them: as the
+optimizer does not merge projections whose columns are used more than once, a text is split
+once, however many fields look at the pieces. Expressions that repeat their argument take
+columns only.
 """
 
 from __future__ import annotations
@@ -42,8 +47,12 @@ SUFFIXES = ["in Liquidation", "in Liq."]
 CORRECTION, PREVIOUS = "Berichtigung", "bisher"
 
 
+#: Unicode's white space.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def _some(x: Column) -> Column:
@@ -52,7 +61,8 @@ def _some(x: Column) -> Column:
 
 
 def _words(x: Column) -> Column:
-    return F.split(strip(x), r"(?U)\s+")
+    # printable ASCII is ruled out first; a single space needs no regular expression
+    return F.split(F.regexp_replace(strip(x), f"[[^!-~]&&[{SPACES}]]+", " "), " ")
 
 
 def after(text: Column, label: str) -> Column:
@@ -71,8 +81,7 @@ def day(x: Column) -> Column:
 
 def iso_date(x: Column) -> Column:
     """DD.MM.YYYY as YYYY-MM-DD, not checked against the calendar; other texts as they are."""
-    parts = F.split(x, "[.]")
-    return F.when(day(x).isNotNull(), F.concat_ws("-", F.try_element_at(parts, F.lit(3)), F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(1)))).otherwise(x)
+    return F.regexp_replace(x, r"^([0-9]{2})[.]([0-9]{2})[.]([0-9]{4})\z", "$3-$2-$1")
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
@@ -81,9 +90,11 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
 
 def blocks(text: Column) -> Column:
     """Blocks of consecutive lines that hold more than white space."""
-    lines = F.regexp_replace(text, "\r\n|[\r\u000b\u000c\u001c-\u001e\u0085  ]", "\n")
-    bare = F.regexp_replace(lines, r"(?m)^[\h\x{1f}]+$", "")
-    return F.filter(F.split(F.regexp_replace(bare, r"^\n+|\n+$", ""), r"\n{2,}"), lambda b: b != "")
+    for end in ("\r\n", *"\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"):
+        text = F.replace(text, F.lit(end), F.lit("\n"))
+    blank = lambda line: F.when(F.btrim(line, F.lit(SPACES + "\x1f")) == "", "").otherwise(line)
+    lines = F.array_join(F.transform(F.split(text, "\n"), blank), "\n")
+    return F.filter(F.split(F.btrim(lines, F.lit("\n")), r"\n{2,}"), lambda b: b != "")
 
 
 def canton_of(authority: Column) -> Column:
@@ -107,9 +118,8 @@ def _last(lines: Column) -> Column:
     return F.try_element_at(lines, F.lit(-1))
 
 
-def line_kind(line: Column) -> Column:
+def line_kind(line: Column, words: Column) -> Column:
     """What a line of the headline block holds, by its first and last words: names, care, town, street or text."""
-    words = _words(line)
     first, last, several = F.element_at(words, 1), F.element_at(words, -1), F.size(words) > 1
     return (
         F.when(line.startswith("(") & line.endswith(")"), "names")
@@ -131,37 +141,51 @@ def without_brackets(name: Column) -> Column:
     return F.when(name.endswith(")"), strip(F.substring_index(name, "(", 1))).otherwise(name)
 
 
-def header_fields(header: Column) -> dict[str, Column]:
-    """Act type, alternative names and address from the lines of the headline block.
+def _steps(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    """One projection for each step; its columns are for the steps after it."""
+    for columns in steps:
+        df = df.withColumns({f"__{name}": value for name, value in columns.items()})
+    return df
+
+
+def _of(name: str) -> Column:
+    return F.col(f"__{name}")
+
+
+def header_steps() -> list[dict[str, Column]]:
+    """Act type, alternative names and address from the lines of the column ``header``.
 
     The headline's first word is the act. The line after it repeats the company's name if it
     is of no other kind. The line ``Bisher`` ends the current address and begins the previous
     one. Of several lines of a kind the last one holds, of streets the first.
     """
-    lines = F.transform(F.split(header, "\n"), strip)
-    act = F.element_at(_words(F.element_at(lines, 1)), 1)
-    typed = F.transform(F.slice(lines, 2, 1 << 30), lambda x: F.struct(line_kind(x).alias("kind"), x.alias("line")))
-    second = F.try_element_at(typed, F.lit(1))
-    company = F.when(second.kind == "text", second.line)
-    turn = F.array_position(F.transform(typed, lambda t: F.lower(t.line)), F.lit(PREVIOUS)).cast("int")
-    now = F.when(turn > 0, F.slice(typed, F.lit(1), turn - 1)).otherwise(typed)
-    of = lambda part, kind: F.transform(F.filter(part, lambda t: t.kind == kind), lambda t: t.line)
-    town = _last(of(now, "town"))
-    old_town = F.when(turn > 0, _first(of(F.slice(typed, turn + 1, F.lit(1 << 30)), "town")))
+    kinds = lambda part, kind: F.transform(F.filter(part, lambda t: t.kind == kind), lambda t: t.line)
     rest = lambda line: _some(F.substring(line, 5, 1 << 30))
-    return {
-        "act_type": lookup(F.lower(act), ACT_TYPES),
-        "alternative_names": F.concat(F.when(company.endswith(")"), bracketed(company)).otherwise(F.array().cast("array<string>")), F.flatten(F.transform(of(now, "names"), bracketed))),
-        "address_care_of": _some(F.substring(_last(of(now, "care")), 4, 1 << 30)),
-        "address_street": _first(of(now, "street")),
-        "address_postcode": F.left(town, F.lit(4)),
-        "address_municipality": rest(town),
-        "previous_postcode": F.left(old_town, F.lit(4)),
-    }
-
-
-def act_fields(body: Column) -> dict[str, Column]:
-    """Name, seat and legal form from the sentence around the company's number.
+    return [
+        {"lines": F.transform(F.split(_of("header"), "\n"), strip)},
+        {"line_words": F.transform(_of("lines"), _words)},
+        {"typed": F.slice(F.transform(_of("lines"), lambda x, i: F.struct(line_kind(x, F.get(_of("line_words"), i)).alias("kind"), x.alias("line"))), 2, 1 << 30)},
+        {"turn": F.array_position(F.transform(_of("typed"), lambda t: F.lower(t.line)), F.lit(PREVIOUS)).cast("int"), "second": F.try_element_at(_of("typed"), F.lit(1))},
+        {"now": F.when(_of("turn") > 0, F.slice(_of("typed"), F.lit(1), _of("turn") - 1)).otherwise(_of("typed")), "company": F.when(_of("second").kind == "text", _of("second").line)},
+        {
+            "town": _last(kinds(_of("now"), "town")),
+            "old_town": F.when(_of("turn") > 0, _first(kinds(F.slice(_of("typed"), _of("turn") + 1, F.lit(1 << 30)), "town"))),
+            "company_names": F.when(_of("company").endswith(")"), bracketed(_of("company"))).otherwise(F.array().cast("array<string>")),
+        },
+        {
+            "act_type": lookup(F.lower(F.get(F.get(_of("line_words"), F.lit(0)), F.lit(0))), ACT_TYPES),
+            "alternative_names": F.concat(_of("company_names"), F.flatten(F.transform(kinds(_of("now"), "names"), bracketed))),
+            "address_care_of": _some(F.substring(_last(kinds(_of("now"), "care")), 4, 1 << 30)),
+            "address_street": _first(kinds(_of("now"), "street")),
+            "address_postcode": F.left(_of("town"), F.lit(4)),
+            "address_municipality": rest(_of("town")),
+            "previous_postcode": F.left(_of("old_town"), F.lit(4)),
+        },
+    ]
+
+
+def act_steps() -> list[dict[str, Column]]:
+    """Name, seat and legal form from the sentence around the company's number in the column ``body``.
 
     It reads ``name, in town, number, address, form (note)``. What stands before the number
     is cut at commas: the last piece is the seat, all before it the name, whatever commas it
@@ -169,25 +193,25 @@ def act_fields(body: Column) -> dict[str, Column]:
     correction begins with a preamble that ends in a day: the name follows it, and where
     there is none, there is no name rather than half of one.
     """
-    sides = F.split(body, UID_FORMAT, 2)
-    left, right = F.element_at(sides, 1), F.try_element_at(sides, F.lit(2))
-    pieces = F.split(F.regexp_replace(left, r"(?U),\s*$", ""), ",")
-    seat_words = _words(F.element_at(pieces, -1))
-    seat_words = F.when(F.element_at(seat_words, 1) == PREVIOUS, F.slice(seat_words, 2, 1 << 30)).otherwise(seat_words)
-    has_seat = F.coalesce((F.try_element_at(seat_words, F.lit(1)) == "in") & (F.size(seat_words) > 1) & (F.size(pieces) > 1) & (F.size(sides) > 1), F.lit(False))
-    seat = F.when(has_seat, F.array_join(F.slice(seat_words, 2, 1 << 30), " "))
-    name = F.when(has_seat, strip(F.array_join(F.slice(pieces, F.lit(1), F.size(pieces) - 1), ",")))
-    words = _words(name)
-    days = F.transform(words, lambda w: day(w).isNotNull())
-    last_day = F.size(words) - F.array_position(F.reverse(days), F.lit(True)).cast("int") + 1
-    told = F.when(F.array_contains(days, True), F.array_join(F.slice(words, last_day + 1, F.lit(1 << 30)), " "))
-    name = F.when(F.element_at(words, 1) == CORRECTION, told).otherwise(name)
+    words, said, form, right = _of("name_words"), _of("said"), _of("form_words"), _of("right")
     noted = F.lit(False)
     for note in ACT_NOTES:
-        noted = noted | F.element_at(F.split(right, "[(]", 2), -1).startswith(note)
-    form = _words(F.element_at(F.split(F.substring_index(right, "(", 1), ","), -1))
-    form = F.when(F.element_at(form, 1).isin(QUALIFIERS), F.slice(form, 2, 1 << 30)).otherwise(form)
-    return {"name": F.nullif(without_brackets(name), F.lit("")), "seat": seat, "legal_form": F.when(noted & right.startswith(","), lookup(F.array_join(form, " "), LEGAL_FORMS))}
+        noted = noted | _of("note").startswith(note)
+    last_day = F.size(words) - F.array_position(F.reverse(_of("days")), F.lit(True)).cast("int") + 1
+    told = F.when(F.array_contains(_of("days"), True), F.array_join(F.slice(words, last_day + 1, F.lit(1 << 30)), " "))
+    has_seat = (F.try_element_at(_of("seat_words"), F.lit(1)) == "in") & (F.size(_of("seat_words")) > 1) & (F.size(_of("pieces")) > 1) & (F.size(_of("sides")) > 1)
+    return [
+        {"sides": F.split(_of("body"), UID_FORMAT, 2)},
+        {"pieces": F.split(F.regexp_replace(F.element_at(_of("sides"), 1), r"(?U),\s*$", ""), ","), "right": F.try_element_at(_of("sides"), F.lit(2))},
+        {"said": _words(F.element_at(_of("pieces"), -1)), "note": F.element_at(F.split(right, "[(]", 2), -1), "form_said": _words(F.element_at(F.split(F.substring_index(right, "(", 1), ","), -1))},
+        {"seat_words": F.when(F.element_at(said, 1) == PREVIOUS, F.slice(said, 2, 1 << 30)).otherwise(said), "form_words": F.when(F.element_at(_of("form_said"), 1).isin(QUALIFIERS), F.slice(_of("form_said"), 2, 1 << 30)).otherwise(_of("form_said"))},
+        {"has_seat": F.coalesce(has_seat, F.lit(False))},
+        {"seat": F.when(_of("has_seat"), F.array_join(F.slice(_of("seat_words"), 2, 1 << 30), " ")), "before": F.when(_of("has_seat"), strip(F.array_join(F.slice(_of("pieces"), F.lit(1), F.size(_of("pieces")) - 1), ",")))},
+        {"name_words": _words(_of("before"))},
+        {"days": F.transform(words, lambda w: day(w).isNotNull())},
+        {"called": F.when(F.element_at(words, 1) == CORRECTION, told).otherwise(_of("before"))},
+        {"name": F.nullif(without_brackets(_of("called")), F.lit("")), "legal_form": F.when(noted & right.startswith(","), lookup(F.array_join(form, " "), LEGAL_FORMS))},
+    ]
 
 
 def notice_fields(notices: DataFrame, text: str = "text") -> DataFrame:
@@ -198,45 +222,51 @@ def notice_fields(notices: DataFrame, text: str = "text") -> DataFrame:
     the authority is already the new one.
     """
     t, original = F.col(text), notices.columns
-    df = notices.withColumn("__blocks", blocks(t))
-    body = F.coalesce(_first(F.filter(F.col("__blocks"), lambda b: F.regexp_like(b, F.lit(UID_FORMAT)))), F.lit(""))
-    fields = {f"__{k}": v for k, v in header_fields(F.coalesce(_first(F.col("__blocks")), F.lit(""))).items()} | {f"__{k}": v for k, v in act_fields(body).items()}
-    df = df.withColumns(fields)
-    name = F.col("__name")
+    label = lambda name: to_line_end(after(t, LABELS[name]))
+    df = _steps(
+        notices,
+        {"blocks": blocks(t)},
+        {"header": F.coalesce(_first(_of("blocks")), F.lit("")), "body": F.coalesce(_first(F.filter(_of("blocks"), lambda b: F.regexp_like(b, F.lit(UID_FORMAT)))), F.lit(""))},
+        *header_steps(),
+        *act_steps(),
+    )
+    name, register, number, dated = _of("name"), _of("register"), _of("number"), _of("dated")
     suffix = F.lit(None).cast("string")
     for x in reversed(SUFFIXES):
         suffix = F.when(F.contains(name, F.lit(x)), x).otherwise(suffix)
     base = name
     for x in SUFFIXES:
         base = strip(F.replace(base, F.lit(x), F.lit("")))
-    moved = _some(F.element_at(F.split(after(t, LABELS["moved"]), ",", 2), 1))
-    authority = _some(to_line_end(after(t, LABELS["authority"])))
-    register = _words(to_line_end(after(t, LABELS["register"])))
-    registered = day(F.try_element_at(register, F.lit(3)))
-    entered = registered.isNotNull() & (F.try_element_at(register, F.lit(2)) == "vom")
-    prior = F.transform(F.split(to_line_end(after(t, LABELS["prior"])), ","), _words)
-    number, dated = F.try_element_at(prior, F.lit(1)), F.try_element_at(prior, F.lit(2))
-    published = day(F.try_element_at(dated, F.lit(2)))
-    shab_nr = F.try_element_at(number, F.lit(2)).try_cast("bigint")
-    ok = published.isNotNull() & shab_nr.isNotNull() & (F.element_at(number, 1) == "Nr.") & (F.element_at(dated, 1) == "Datum:")
-    publication = strip(F.element_at(F.split(after(t, LABELS["publication"]), "[)]", 2), 1))
+    df = _steps(
+        df,
+        {
+            "moved": _some(F.element_at(F.split(after(t, LABELS["moved"]), ",", 2), 1)),
+            "authority": _some(label("authority")),
+            "register": _words(label("register")),
+            "prior": F.transform(F.split(label("prior"), ","), _words),
+            "publication": strip(F.element_at(F.split(after(t, LABELS["publication"]), "[)]", 2), 1)),
+        },
+        {"registered": day(F.try_element_at(register, F.lit(3))), "number": F.try_element_at(_of("prior"), F.lit(1)), "dated": F.try_element_at(_of("prior"), F.lit(2))},
+        {"entered": _of("registered").isNotNull() & (F.try_element_at(register, F.lit(2)) == "vom"), "published": day(F.try_element_at(dated, F.lit(2))), "shab_nr": F.try_element_at(number, F.lit(2)).try_cast("bigint")},
+        {"ok": _of("published").isNotNull() & _of("shab_nr").isNotNull() & (F.element_at(number, 1) == "Nr.") & (F.element_at(dated, 1) == "Datum:")},
+    )
     return df.select(
         *original,
         F.lit("de").alias("language"),
-        F.col("__act_type").alias("act_type"),
+        _of("act_type").alias("act_type"),
         name.alias("company_name_full"),
         F.regexp_replace(base, ",+$", "").alias("company_name_base"),
         suffix.alias("status_suffix"),
-        F.col("__alternative_names").alias("alternative_names"),
+        _of("alternative_names").alias("alternative_names"),
         F.nullif(F.regexp_extract(t, UID_FORMAT, 0), F.lit("")).alias("uid"),
-        F.col("__legal_form").alias("legal_form"),
-        F.coalesce(moved, F.col("__seat")).alias("seat_municipality"),
-        F.when(moved.isNotNull(), canton_of_postcode(F.col("__previous_postcode"))).otherwise(canton_of(authority)).alias("seat_canton"),
-        *[F.col(f"__{c}").alias(c) for c in ("address_care_of", "address_street", "address_postcode", "address_municipality")],
-        F.when(entered, F.element_at(register, 1)).alias("tagesregister_nr"),
-        F.when(entered, iso_date(registered)).alias("tagesregister_date"),
-        F.when(ok, shab_nr).alias("prior_publication_shab_nr"),
-        F.when(ok, iso_date(published)).alias("prior_publication_date"),
-        F.when(F.regexp_like(publication, F.lit("^[0-9]+$")), publication).alias("prior_publication_id"),
-        authority.alias("authority"),
+        _of("legal_form").alias("legal_form"),
+        F.coalesce(_of("moved"), _of("seat")).alias("seat_municipality"),
+        F.when(_of("moved").isNotNull(), canton_of_postcode(_of("previous_postcode"))).otherwise(canton_of(_of("authority"))).alias("seat_canton"),
+        *[_of(c).alias(c) for c in ("address_care_of", "address_street", "address_postcode", "address_municipality")],
+        F.when(_of("entered"), F.element_at(register, 1)).alias("tagesregister_nr"),
+        F.when(_of("entered"), iso_date(_of("registered"))).alias("tagesregister_date"),
+        F.when(_of("ok"), _of("shab_nr")).alias("prior_publication_shab_nr"),
+        F.when(_of("ok"), iso_date(_of("published"))).alias("prior_publication_date"),
+        F.when(F.regexp_like(_of("publication"), F.lit("^[0-9]+$")), _of("publication")).alias("prior_publication_id"),
+        _of("authority").alias("authority"),
     )

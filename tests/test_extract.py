@@ -63,6 +63,12 @@ def test_texts_without_notice(spark):
         assert r["uid"] is None and r["company_name_full"] is None and r["authority"] is None and not r["alternative_names"]
 
 
+def test_the_plan_splits_a_text_once(spark):
+    df = extract.notice_fields(spark.createDataFrame([("x",)], "text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 25 and len(plan) < 40_000
+
+
 def test_tables(spark):
     assert [r[0] for r in spark.createDataFrame([("Amt Unterwallis",), ("Kanton Bern",), ("Basel-Stadt",), ("x",)], "a string").select(extract.canton_of(spark_col("a"))).collect()] == ["VS", "BE", "BS", None]
     assert [r[0] for r in spark.createDataFrame([("4556",), ("6052",), ("6053",), (None,)], "p string").select(extract.canton_of_postcode(spark_col("p"))).collect()] == ["SO", "NW", None, None]
