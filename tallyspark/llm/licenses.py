@@ -73,10 +73,10 @@ def _count(s: Column) -> Column:
 def places(s: Column, phrase: str) -> Column:
     """Where the phrase's words stand one after another, as numbers of words."""
     words = words_of(phrase)
-    inside = F.filter(
-        F.sequence(F.lit(0), F.greatest(_count(s) - len(words), F.lit(0)).cast("int")),
-        lambda i: F.slice(_split(s), i + 1, len(words)) == F.array(*map(F.lit, words)),
-    )
+    last = F.greatest(_count(s) - len(words), F.lit(0)).cast("int")
+    here = lambda text, i: (F.get(text, i) == words[0]) & (F.slice(text, i + 1, len(words)) == F.array(*map(F.lit, words)))
+    # the split text is bound once
+    inside = F.flatten(F.transform(F.array(_split(s)), lambda text: F.filter(F.sequence(F.lit(0), last), lambda i: here(text, i))))
     return F.when(s.contains(f" {' '.join(words)} "), inside).otherwise(F.array().cast("array<int>"))
 
 
