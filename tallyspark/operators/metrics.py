@@ -53,6 +53,12 @@ def metric_terms(cells: DataFrame, metrics: dict[str, tuple[Column, Column]], by
     return totals.select(*by, F.explode(feeds).alias("m")).select(*by, "m.*").filter("den > 0")
 
 
+def document_terms(cells: DataFrame, metrics: dict[str, tuple[Column, Column]], by: list[str]) -> DataFrame:
+    """``by`` and ``<metric>_num``, ``<metric>_den`` of all metrics of :func:`metric_terms`, for resampling the documents in ``by``."""
+    sums = [c for name, (num, den) in metrics.items() for c in (F.count_if(num & den).alias(f"{name}_num"), F.count_if(den).alias(f"{name}_den"))]
+    return cells.groupBy(*by).agg(*sums)
+
+
 def sum_terms(rows: DataFrame, ratios: dict[str, tuple[Column, Column]], by: list[str]) -> DataFrame:
     """Ratios of aggregates of another relation as (metric, num, den) rows, without those whose denominator is 0."""
     totals = rows.groupBy(*by).agg(*[c.cast("bigint").alias(f"{k}_{i}") for i, terms in enumerate(ratios.values()) for k, c in zip(("num", "den"), terms)])

@@ -226,6 +226,39 @@ def _per_doc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select("doc_id", hit.alias("a_num"), F.lit(1).alias("a_den"), F.when(t == 1, (hash_bucket("b", i) < 70).cast("int")).otherwise(0).alias("b_num"), (t == 1).cast("int").alias("b_den"))
 
 
+@query()
+def headline_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Value, counts and interval of every ratio of :func:`headline_metrics`.
+
+    Each family's documents are resampled: orders for cells and lines, documents for labels,
+    events for extras. The draws are a generator's, so there is no SQL; tests compare them
+    with plain loops.
+    """
+    registry = metrics.headline_registry(FIELDS, GROUPS)
+    s, known, one = F.col("status"), F.col("name") == "k", F.lit("-").alias("run_id")
+    n = lambda x: F.count_if(s == x)
+    shared = (s == "shared") & known
+    spurious, lacking = (s == "pred_only") | ((s == "shared") & ~known), (s == "gold_only") | ((s == "shared") & ~known)
+    failed = hash_bucket(F.col("run_id"), F.col("doc_id")) < 3
+
+    def terms(rows: DataFrame, ratios: dict) -> tuple[DataFrame, list[str]]:
+        sums = [c.alias(f"{name}_{k}") for name, pair in ratios.items() for k, c in zip(("num", "den"), pair)]
+        return rows.groupBy("doc_id").agg(*sums).withColumn("run_id", one), list(ratios)
+
+    per_run = metrics.document_terms(cells(spark, d), registry | {"parse_failure_rate": (failed & (F.col("field") == FIELDS[0]), F.col("field") == FIELDS[0])}, ["run_id", "doc_id"])
+    out = None
+    for per_doc, names in (
+        (per_run, [*registry, "parse_failure_rate"]),
+        terms(_lines(spark, d), {"parts_found_f1": metrics.f1_terms(n("matched"), n("spurious"), n("missed")), "parts_attribute_accuracy": (F.count_if((s == "matched") & (F.col("gold_qty") == F.col("pred_qty"))), n("matched"))}),
+        terms(_label_match(spark, d), {"labels_micro_f1": metrics.f1_terms(n("tp"), n("fp"), n("fn"))}),
+        terms(_map(spark, d), {"extras_key_f1": metrics.f1_terms(F.count_if(shared), F.count_if(spurious), F.count_if(lacking)), "extras_value_accuracy": (F.count_if(shared & (F.col("gold") == F.col("pred"))), F.count_if(shared))}),
+    ):
+        part = resample.split_bootstrap(per_doc, "doc_id", names, "run_id", iterations=ITERATIONS, seed=SEED)
+        out = part if out is None else out.unionByName(part)
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("num", "den")]
+    return out.select("run_id", "metric", *whole, _r(metrics.ratio(F.col("num"), F.col("den")), "value"), "n_valid", _r(F.col("ci_low"), "ci_low"), _r(F.col("ci_high"), "ci_high"))
+
+
 @query(_PER_DOC + """ SELECT metric, count(v)::BIGINT AS n_valid, round(quantile_cont(v, 0.025), 9) AS ci_low, round(quantile_cont(v, 0.975), 9) AS ci_high
 FROM (SELECT 'a' AS metric, a_num / nullif(a_den, 0) AS v FROM sums UNION ALL SELECT 'b', b_num / nullif(b_den, 0) FROM sums) GROUP BY metric""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Semantics of the operators on small hand-made cases."""
 
 import math
-
+import random
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,61 @@ def test_exact_intervals():
     assert (round(low, 4), round(high, 4)) == (0.8345, 0.9875)
 
 
+def test_exact_intervals_of_whole_arrays(spark):
+    def cdf(k, n, p):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+    pairs = [(k, n) for n in (1, 2, 7, 60, 311) for k in range(n + 1)]
+    low, high = resample.clopper_pearson_bounds(*np.array(pairs).T)
+    for (k, n), a, b in zip(pairs, low.tolist(), high.tolist()):
+        assert a == 0 if k == 0 else abs(1 - cdf(k - 1, n, a) - 0.025) < 1e-9
+        assert b == 1 if k == n else abs(cdf(k, n, b) - 0.025) < 1e-9
+    big = 10**9
+    low, high = resample.clopper_pearson_bounds(np.array([0, big, big // 2]), big)
+    assert high[0] == pytest.approx(1 - 0.025 ** (1 / big), rel=1e-6) and 1 - low[1] == pytest.approx(1 - 0.025 ** (1 / big), rel=1e-6)
+    assert high[2] - 0.5 == pytest.approx(1.959964 * 0.5 / big**0.5, rel=1e-4) and low[2] + high[2] == pytest.approx(1, abs=1e-12)
+    rows = [(47, 50), (47, 50), (None, 5), (0, 0), (6, 5)]
+    got = [r.ci for r in spark.createDataFrame(rows, "k long, n long").select(resample.clopper_pearson("k", "n").alias("ci")).collect()]
+    assert got[0] == got[1] and (got[3].low, got[3].high) == (0, 1) and got[2].low is None and got[4].high is None
+
+
+def test_split_draws_add_up():
+    ends = np.cumsum([5, 0, 7, 1, 30])
+    parts = np.array([resample.split_draws(ends, p, 4000, 3) for p in range(5)])
+    assert (parts.sum(axis=0) == 43).all() and (parts[1] == 0).all()
+    assert np.allclose(parts.mean(axis=1), [5, 0, 7, 1, 30], atol=0.2)
+    assert np.allclose(np.cov(parts[0], parts[4])[0, 1], -43 * 5 / 43 * 30 / 43, atol=0.5)  # as of one multinomial draw
+
+
+def test_split_bootstrap_equals_plain_loops(spark):
+    rng = random.Random(2)
+    rows = [(i, run, rng.randint(0, 3), 3, rng.randint(0, 1), rng.randint(0, 1)) for i in range(90) for run in ("r1", "r2") if (i, run) != (4, "r2")]
+    rows += [(90, "r1", None, 1, 0, 0)]
+    df = spark.createDataFrame(rows, "doc long, run_id string, a_num int, a_den int, b_num int, b_den int")
+    ask = lambda d: sorted(map(tuple, resample.split_bootstrap(d, "doc", ["a", "b"], "run_id", iterations=400, seed=5, portion_docs=20).collect()))
+    got = ask(df.repartition(3))
+    assert got == ask(df.repartition(7))
+    n = df.select("doc").distinct().agg(F.approx_count_distinct(F.col("doc").cast("string"))).first()[0]
+    portions = -(-n // 20)
+    of = {r.doc: r.p for r in df.select("doc", F.pmod(F.xxhash64(F.col("doc").cast("string")), F.lit(portions)).alias("p")).distinct().collect()}
+    docs = [sorted((d for d in of if of[d] == p), key=str) for p in range(portions)]
+    ends = np.cumsum([len(x) for x in docs])
+    cells = {(d, run): x for d, run, *x in rows}
+    sums = [{run: [0] * 4 for run in ("r1", "r2")} for _ in range(400)]
+    for p, members in enumerate(docs):
+        own, draws = np.random.default_rng([5, 1, p]), resample.split_draws(ends, p, 400, 5)
+        for b in range(400):
+            for i in own.integers(0, len(members), size=draws[b]):
+                for run in ("r1", "r2"):
+                    for c, x in enumerate(cells.get((members[i], run), [0] * 4)):
+                        sums[b][run][c] += x or 0
+    for run, metric, num, den, n_valid, low, high in got:
+        c = 2 * (metric == "b")
+        v = [s[run][c] / s[run][c + 1] for s in sums if s[run][c + 1]]
+        assert n_valid == len(v) and (low, high) == pytest.approx(tuple(np.quantile(v, [0.025, 0.975])))
+        assert (num, den) == tuple(sum(x[2 + c + k] or 0 for x in rows if x[1] == run) for k in range(2))
+
+
 def test_samples(spark):
     df = spark.range(50)
     a = [r.id for r in resample.seeded_sample(df, "id", 10, 7).collect()]
