@@ -31,6 +31,72 @@ def parse_path(path: str) -> list[tuple[str, str | None, str | None]]:
     return out
 
 
+_PART = r"([A-Za-z_][A-Za-z0-9_]*)(?:\[([A-Za-z_][A-Za-z0-9_]*)=([^\]]*)\])?"
+
+
+def path_segments(path: Column) -> Column:
+    """:func:`parse_path` of a column: an array of ``name, key, value``, null where the path is bad."""
+    ok = path.rlike(rf"^{_PART}(?:\.{_PART})*\z") & ~path.endswith("]")
+    part = lambda x, i: F.regexp_extract(x, _PART, i)
+    found = F.transform(F.regexp_extract_all(path, F.lit(_PART), F.lit(0)), lambda x: F.struct(part(x, 1).alias("name"), F.nullif(part(x, 2), F.lit("")).alias("key"), part(x, 3).alias("value")))
+    return F.when(ok, found)
+
+
+def _object(node: Column) -> Column:
+    """A VARIANT's keys and values, null if it is no object."""
+    return F.try_variant_get(node, "$", "map<string,variant>")
+
+
+def _is_text(node: Column, text: Column) -> Column:
+    return F.coalesce((F.schema_of_variant(node) == "STRING") & (F.try_variant_get(node, "$", "string") == text), F.lit(False))
+
+
+def _selected(element: Column, key: Column, text: Column) -> Column:
+    """Whether a list's element has the text under the key; ``name`` also meets ``name_new`` where there is no ``name``."""
+    fields = _object(element)
+    return F.coalesce(F.when(F.map_contains_key(fields, key), _is_text(F.try_element_at(fields, key), text)).otherwise((key == "name") & _is_text(F.try_element_at(fields, F.lit("name_new")), text)), F.lit(False))
+
+
+def resolve(record: Column, path: Column) -> Column:
+    """``struct<value VARIANT, found, error>``: what a path of each row leads to in that row's VARIANT.
+
+    The last segment names a value of an object; if the object lacks it, ``found`` is false
+    and there is no error. Any other segment must exist, ``[key=value]`` must select exactly
+    one element of a list, and everything on the way must be an object; else ``error`` says
+    what is wrong and ``value`` is null.
+    """
+    state = lambda node, error: F.struct(node.alias("node"), error.alias("error"))
+    nothing, fine = F.lit(None).cast("variant"), F.lit(None).cast("string")
+
+    def step(s: Column, seg: Column) -> Column:
+        child = F.try_element_at(_object(s.node), seg["name"])
+        items = F.try_variant_get(child, "$", "array<variant>")
+        hits = F.filter(items, lambda e: _selected(e, seg.key, seg.value))
+        size = F.size(hits)
+        return (
+            F.when(s.error.isNotNull(), s)
+            .when(F.coalesce(~F.map_contains_key(_object(s.node), seg["name"]), F.lit(True)), state(nothing, F.concat(F.lit("no key "), seg["name"])))
+            .when(seg.key.isNull(), state(child, fine))
+            .when(items.isNull(), state(nothing, F.concat(seg["name"], F.lit(" is no list"))))
+            .when(size != 1, state(nothing, F.concat(F.lit("["), seg.key, F.lit("="), seg.value, F.lit("] matches "), size.cast("string"))))
+            .otherwise(state(F.try_element_at(hits, F.lit(1)), fine))
+        )
+
+    def walked(segments: Column) -> Column:
+        last = F.element_at(segments, -1)["name"]
+        parent = F.aggregate(F.slice(segments, F.lit(1), F.size(segments) - 1), state(record, fine), step)
+        # bound once
+        return F.element_at(F.transform(F.array(parent), lambda p: answer(p, last)), 1)
+
+    def answer(p: Column, last: Column) -> Column:
+        fields = _object(p.node)
+        error = F.when(p.error.isNotNull(), p.error).when(fields.isNull(), F.concat(F.lit("the parent of "), last, F.lit(" is no object")))
+        return F.struct(F.when(error.isNull(), F.try_element_at(fields, last)).alias("value"), (error.isNull() & F.coalesce(F.map_contains_key(fields, last), F.lit(False))).alias("found"), error.alias("error"))
+
+    bad = F.struct(nothing.alias("value"), F.lit(False).alias("found"), F.lit("bad path").alias("error"))
+    return F.element_at(F.transform(F.array(path_segments(path)), lambda segments: F.when(segments.isNull(), bad).otherwise(walked(segments))), 1)
+
+
 def correction_status(current: Column, expected_old: Column, new: Column) -> Column:
     """already_ok if the new value is there, apply if the expected old one is, else conflict."""
     return F.when(current.eqNullSafe(new), "already_ok").when(current.eqNullSafe(expected_old), "apply").otherwise("conflict")

@@ -2,63 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of values that travel with the tasks at once.
-PORTION_BYTES = 16 << 20
+from tallyspark.shared import keep
+
+#: Characters of the grams that index values without a whole word inside.
+GRAM = 3
+_GAP = "[ \t\n\r]+"
+
+
+def _grams(x: Column, size: int) -> Column:
+    last = F.length(x) - size
+    return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.substring(x, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
 def literal_hits(docs: DataFrame, values: DataFrame, *, text: str = "text", key: str = "item_id", value: str = "value") -> DataFrame:
     """``docs`` columns with ``key, n, position`` for every value that occurs in a text.
 
-    ``n`` counts non-overlapping occurrences, ``position`` is the first one's (from 1). A
-    text is read once per portion of values, by one automaton for all of them; a task knows
-    one portion, and its worker builds the automaton once. Empty and
-    null values occur nowhere.
+    ``n`` counts non-overlapping occurrences, ``position`` is the first one's (from 1). Empty
+    and null values occur nowhere.
+
+    A word that stands between white space inside a value stands so in every text that holds
+    it. Each value is indexed by the rarest of its inner words in the texts, or by its rarest
+    ``GRAM`` characters (all, if it has fewer) where it has none. Texts give the words that
+    some value has, once; those that meet a value's rarest word are searched for the value
+    itself. Neither values nor texts pass through the driver; copies of a text are searched
+    for alike, by its digest.
     """
-    rows = values.select(F.col(key).cast("bigint").alias("k"), F.col(value).cast("string").alias("v")).filter("v <> ''")
-    total = rows.agg(F.sum(F.octet_length("v") + 32).alias("n")).first().n or 0
-    portions = max(1, -(-total // PORTION_BYTES))
-    out = None
-    for p in range(portions):
-        words: dict[str, list[int]] = {}
-        for r in rows.filter(F.pmod(F.xxhash64("v"), F.lit(portions)) == p).collect():  # about PORTION_BYTES
-            words.setdefault(r.v, []).append(r.k)
-        found = docs.select("*", F.explode(_finder(docs.sparkSession.sparkContext.broadcast(words))(F.col(text))).alias("hit"))
-        found = found.select(*docs.columns, F.col("hit.key").alias(key), "hit.n", "hit.position")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _finder(held):
-    """A column function over a broadcast of words and their keys; each task builds the automaton once."""
-
-    @F.pandas_udf("array<struct<key:bigint,n:bigint,position:bigint>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        words = held.value
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, w)
-        automaton.make_automaton()
-        for texts in batches:
-            out = []
-            for t in texts:
-                found: dict[str, list[int]] = {}
-                for end, w in automaton.iter(t) if t and words else ():
-                    start = end - len(w) + 1
-                    seen = found.setdefault(w, [])
-                    if not seen or start >= seen[-1] + len(w):
-                        seen.append(start)
-                out.append([{"key": k, "n": len(at), "position": at[0] + 1} for w, at in found.items() for k in words[w]])
-            yield pd.Series(out, dtype=object)
-
-    return find
+    rows = values.select(F.col(key).cast("bigint").alias("k"), F.col(value).cast("string").alias("v")).filter("v <> ''").groupBy("k", "v").agg(F.count("*").cast("int").alias("copies"))
+    parts = F.split("v", _GAP)
+    inner = F.array_distinct(F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != ""))
+    grams = F.when(F.length("v") >= GRAM, _grams(F.col("v"), GRAM)).otherwise(F.array("v"))
+    kind = F.when(F.size("inner") > 0, "word").otherwise("gram")
+    terms = rows.withColumn("inner", inner).select("k", "v", "copies", kind.alias("kind"), F.explode(F.when(F.size("inner") > 0, F.col("inner")).otherwise(grams)).alias("term"))
+    terms = keep(terms, "value-terms")
+    whole = docs.select(F.md5(F.col(text)).alias("digest"), F.col(text).alias("t")).filter("t IS NOT NULL")
+    of_texts = whole.select("digest", F.lit("word").alias("kind"), F.explode(F.array_distinct(F.split("t", _GAP))).alias("term"))
+    if terms.filter("kind = 'gram'").limit(1).count():
+        for size in range(1, GRAM + 1):
+            of_texts = of_texts.unionByName(whole.select("digest", F.lit("gram").alias("kind"), F.explode(_grams(F.col("t"), size)).alias("term")))
+    met = keep(of_texts.join(terms.select("kind", "term").distinct(), ["kind", "term"], "left_semi").distinct(), "text-terms")
+    counted = terms.join(met.groupBy("kind", "term").agg(F.count("*").alias("n")), ["kind", "term"], "left")
+    # a term that no text has rules its values out
+    rarest = counted.groupBy("k", "v", "copies", "kind").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("x")).filter("x.n > 0").select("k", "v", "copies", "kind", F.col("x.term").alias("term"))
+    found = met.join(rarest, ["kind", "term"]).select(F.col("digest").alias("__digest"), F.col("k").alias(key), F.col("v").alias("__v"), F.col("copies").alias("__copies"))
+    hits = docs.withColumn("__digest", F.md5(F.col(text))).join(found, "__digest").filter(F.contains(F.col(text), F.col("__v")))
+    n = ((F.length(text) - F.length(F.replace(F.col(text), F.col("__v"), F.lit("")))) / F.length("__v")).cast("bigint")
+    hits = hits.withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__copies"))))  # values that repeat are answered each
+    return hits.select(*docs.columns, key, n.alias("n"), F.expr(f"cast(locate(__v, `{text}`) as bigint)").alias("position"))
 
 
 def status(n: Column) -> Column:

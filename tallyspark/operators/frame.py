@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.values import normalize
+from tallyspark.shared import keep
 
 
 def union_listings(listings: list[DataFrame]) -> DataFrame:
-    """All listings with their place in the order of arguments."""
+    """All listings with their place in the order of arguments; :func:`numbered` gives the place of a row in the union."""
     out = None
     for i, df in enumerate(listings):
         own = df.withColumn("listing", F.lit(i))
@@ -52,8 +53,12 @@ def numbered_ids(position: Column, start: int, width: int = 4) -> Column:
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """``rn`` from 1 by ``key``: each range partition numbers its own rows after the sizes of those before it, so no task sorts everything."""
+    """``rn`` from 1 by ``key``: each range partition numbers its own rows after the sizes of those before it, so no task sorts everything.
+
+    The ranges are written once: made twice, for the sizes and for the rows, they could differ.
+    """
     parts = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    parts = keep(parts, "ranges")
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row per partition
     return parts.join(F.broadcast(before), "__part").withColumn("rn", F.col("__at") - F.col("__first") + F.col("__before") + 1).drop("__part", "__at", "__first", "__before")

@@ -15,6 +15,32 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return cube.select(F.coalesce(a, F.lit(ALL)).alias(a), F.coalesce(b, F.lit(ALL)).alias(b), "n")
 
 
+def nested_report(cells: DataFrame, groups: dict[str, list[str]], outcomes: list[str], modes: tuple[str, ...] = ("exact", "normalized"), run: str = "run_id") -> DataFrame:
+    """``run, report``: counts of outcomes and the accuracy of each run as one JSON tree: overall, by group of fields, by field, each by mode.
+
+    One aggregate with grouping sets makes all levels; what is folded into a run's tree is a
+    row for each field and group. A field in no group is under none. Accuracies are decimal
+    text of six digits, null where nothing is scored.
+    """
+    group = F.lit(None).cast("string")
+    for name, fields in groups.items():
+        group = F.when(F.col("field").isin(fields), name).otherwise(group)
+    level = F.grouping_id().alias("level")
+
+    def block(mode: str) -> Column:
+        o = F.col(f"outcome_{mode}")
+        accuracy = F.try_divide(F.count_if(o.isin("correct", "correct_null")).cast("double"), F.count_if(o.isin(outcomes)).cast("double"))
+        return F.struct(*[F.count_if(o == x).alias(x) for x in (*outcomes, "excluded_uncertain")], accuracy.cast("decimal(9,6)").cast("string").alias("accuracy")).alias(mode)
+
+    by = [F.col(run), F.col("group"), F.col("field")]
+    sets = cells.withColumn("group", group).groupingSets([[by[0]], by[:2], [by[0], by[2]]], *by)
+    rows = sets.agg(level, F.struct(*[block(m) for m in modes]).alias("block"))
+    # bits of what is summed over: group, field
+    named = lambda bits, name: F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("level") == bits) & F.col(name).isNotNull(), F.struct(F.col(name), F.col("block"))))))
+    tree = F.struct(F.max(F.when(F.col("level") == 3, F.col("block"))).alias("overall"), named(1, "group").alias("groups"), named(2, "field").alias("fields"))
+    return rows.groupBy(run).agg(F.to_json(tree, {"ignoreNullFields": "false"}).alias("report"))
+
+
 def before_after(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:
     """Full outer comparison: ``side`` both, left_only or right_only, and ``change`` fixed, broken, other or same."""
     l = before.select(*key, F.col(value).alias("before"), F.lit(True).alias("l"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.frame import numbered
+
 NULL = "(null)"
 
 
 def scalar_distribution(df: DataFrame, value: Column, total: int | None = None) -> DataFrame:
-    """``value, n, share``; null is a bucket of its own."""
+    """``value, n, share``, most frequent first, then by value; null is a bucket of its own."""
     n = df.count() if total is None else total
-    return df.select(F.coalesce(value.cast("string"), F.lit(NULL)).alias("value")).groupBy("value").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.lit(float(max(n, 1))))
+    return df.select(F.coalesce(value.cast("string"), F.lit(NULL)).alias("value")).groupBy("value").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.lit(float(max(n, 1)))).orderBy(F.desc("n"), "value")
 
 
 def documents_of(df: DataFrame, value: Column, key: str) -> DataFrame:
@@ -60,3 +62,22 @@ def corpus_digest(df: DataFrame, key: str, content: Column) -> DataFrame:
     pair = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.sha2(F.coalesce(content, F.lit("")), 256)), 256)
     part = lambda i: F.sum(F.conv(F.substring(pair, i, 12), 16, 10).cast("decimal(20,0)")).cast("string")
     return df.agg(F.count("*").alias("n"), F.sha2(F.concat_ws("|", part(1), part(13), part(25)), 256).alias("digest"))
+
+
+def ordered_digest(df: DataFrame, key: str, content: Column, fan: int = 1024) -> DataFrame:
+    """``n, digest`` of all (key, content) pairs in the order of the key, then the pair's own digest: their order counts.
+
+    A tree: ``fan`` neighbours' digests at a time are hashed to one, level by level, so a
+    task holds ``fan`` digests whatever the corpus. Of no rows the digest is that of nothing.
+    """
+    pair = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.sha2(F.coalesce(content, F.lit("")), 256)), 256)
+    rows = numbered(df.select(F.struct(F.col(key), pair.alias("h")).alias("__order"), pair.alias("h")), "__order").select((F.col("rn") - 1).alias("at"), "h")
+    n = rows.count()
+    left = n
+    while True:
+        held = F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x.h)
+        rows = rows.groupBy(F.floor(F.col("at") / fan).alias("at")).agg(F.sha2(F.array_join(held, ""), 256).alias("h"))
+        left = -(-left // fan)
+        if left <= 1:
+            break
+    return rows.agg(F.lit(n).cast("bigint").alias("n"), F.coalesce(F.first("h"), F.sha2(F.lit(""), 256)).alias("digest"))

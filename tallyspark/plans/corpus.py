@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.values import containment_match, hash_bucket, prefix_match, snippet
-from tallyspark.operators import crosscheck, frame, repair, resample, rules, stats
+from tallyspark.operators import corrections, crosscheck, frame, repair, resample, rules, stats
 from tallyspark.operators.order import global_index
 from tallyspark.plans.bindings import bucket_sql, normalize_sql, table
 from tallyspark.plans.registry import Registry
@@ -85,6 +85,34 @@ def duplicate_content(spark: SparkSession, d: str) -> DataFrame:
     return stats.duplicate_groups(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
+@query("""WITH p AS (SELECT doc_id, sha256(doc_id::VARCHAR || '|' || sha256(coalesce(text, ''))) AS h FROM documents), r AS (SELECT h, row_number() OVER (ORDER BY doc_id, h) - 1 AS pos FROM p),
+a AS (SELECT pos // 1024 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM r GROUP BY pos // 1024), b AS (SELECT pos // 1024 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM a GROUP BY pos // 1024)
+SELECT (SELECT count(*) FROM documents) AS n, CASE WHEN (SELECT count(*) FROM a) > 1 THEN (SELECT h FROM b) ELSE (SELECT h FROM a) END AS digest""")
+def ordered_digest(spark: SparkSession, d: str) -> DataFrame:
+    return stats.ordered_digest(table(spark, d, "documents"), "doc_id", F.col("text"))
+
+
+_TREE = """WITH l AS (SELECT l_orderkey, l_partkey, count(*) AS n, min(l_quantity)::BIGINT::VARCHAR AS qty FROM lineitem GROUP BY ALL),
+m AS (SELECT l_orderkey, min(l_partkey) AS part FROM lineitem GROUP BY 1), j AS (SELECT o_orderkey AS doc_id, o_orderstatus AS status, part, n, qty FROM orders JOIN m ON o_orderkey = m.l_orderkey JOIN l ON l.l_orderkey = m.l_orderkey AND l.l_partkey = part)"""
+
+
+@query(_TREE + """ SELECT doc_id, unnest(['status', 'lines[name=P' || part || '].qty', 'lines[name=none].qty', 'lines.qty', 'extras.note', 'note', 'lines[name=P' || part || ']']) AS path,
+  unnest([status, CASE WHEN n = 1 THEN qty END, NULL, NULL, NULL, NULL, NULL]) AS value, unnest([true, n = 1, false, false, false, false, false]) AS found,
+  unnest([NULL, CASE WHEN n <> 1 THEN '[name=P' || part || '] matches ' || n END, '[name=none] matches 0', 'the parent of qty is no object', 'no key extras', NULL, 'bad path']) AS error FROM j""")
+def path_values(spark: SparkSession, d: str) -> DataFrame:
+    """Paths into a record of each order and its lines, of which every second is named as a new one."""
+    odd, name = F.col("l_linenumber") % 2 == 1, F.concat(F.lit("P"), F.col("l_partkey"))
+    line = F.struct(F.when(odd, name).alias("name"), F.when(~odd, name).alias("name_new"), F.col("l_quantity").cast("bigint").alias("qty"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"), F.min("l_partkey").cast("string").alias("part"))
+    records = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    record = F.parse_json(F.to_json(F.struct(F.col("o_orderstatus").alias("status"), "lines")))
+    first = F.concat(F.lit("lines[name=P"), F.col("part"), F.lit("]"))
+    paths = F.array(F.lit("status"), F.concat(first, F.lit(".qty")), F.lit("lines[name=none].qty"), F.lit("lines.qty"), F.lit("extras.note"), F.lit("note"), first)
+    rows = records.select(F.col("o_orderkey").alias("doc_id"), record.alias("record"), F.explode(paths).alias("path"))
+    out = rows.withColumn("x", corrections.resolve(F.col("record"), F.col("path")))
+    return out.select("doc_id", "path", F.try_variant_get("x.value", "$", "string").alias("value"), "x.found", "x.error")
+
+
 @query("WITH k AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages) SELECT host, count(*)::BIGINT AS n, count(*) FILTER (title = '')::BIGINT AS keyless, min(page_id) AS first_page FROM k GROUP BY host HAVING count(*) > 1")
 def repeated_key(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))

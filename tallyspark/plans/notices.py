@@ -6,8 +6,6 @@ engine read alike; the SQL of a query states the fields from the key, never from
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from tallyspark.functions import formats
 from tallyspark.operators import extract, gold_rules, records, repair
 from tallyspark.plans.bindings import table
 from tallyspark.plans.registry import Registry
+from tallyspark.shared import new_path
 from tallyspark.sources import readers, writers
 
 REGISTRY = Registry()
@@ -22,7 +21,7 @@ query = REGISTRY.add
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/tallyspark/files-{uuid.uuid4().hex}"
+    return new_path(spark, "files")
 
 
 # --- extraction ---------------------------------------------------------------------
@@ -203,7 +202,7 @@ def cell_files(spark: SparkSession, d: str) -> DataFrame:
     return readers.cell_table(spark, f"{path}/audit", "run_id string, doc_id string, value string")
 
 
-@query("""SELECT s_suppkey, unnest([0, 1])::INTEGER AS position, unnest(['e' || s_suppkey::VARCHAR, NULL]) AS id, unnest(['HR02-' || s_suppkey::VARCHAR, 'HR03-1']) AS publication_number, unnest([s_name || ' & Co "x"', 'Second one']) AS title,
+@query("""SELECT s_suppkey, unnest([1, 2])::INTEGER AS position, unnest(['e' || s_suppkey::VARCHAR, NULL]) AS id, unnest(['HR02-' || s_suppkey::VARCHAR, 'HR03-1']) AS publication_number, unnest([s_name || ' & Co "x"', 'Second one']) AS title,
   unnest(['/n/' || s_suppkey::VARCHAR, '/m']) AS url, unnest(['2026-08-18', NULL]) AS date, unnest(['Amtsblatt', NULL]) AS source, 2 AS total FROM supplier""")
 def listing_rows(spark: SparkSession, d: str) -> DataFrame:
     """The entries of a listing page for each supplier, with the number that the page states."""

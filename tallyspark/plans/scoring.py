@@ -226,6 +226,25 @@ def _per_doc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select("doc_id", hit.alias("a_num"), F.lit(1).alias("a_den"), F.when(t == 1, (hash_bucket("b", i) < 70).cast("int")).otherwise(0).alias("b_num"), (t == 1).cast("int").alias("b_den"))
 
 
+def _report_sql() -> str:
+    def block(mode: str) -> str:
+        o = f"outcome_{mode}"
+        counts = ", ".join(f"'{x}': count(*) FILTER ({o} = '{x}')" for x in (*OUTCOMES, "excluded_uncertain"))
+        return f"'{mode}': {{{counts}, 'accuracy': (count(*) FILTER ({o} IN ('correct', 'correct_null'))::DOUBLE / nullif(count(*) FILTER ({o} IN {_SCORED}), 0))::DECIMAL(9,6)::VARCHAR}}"
+
+    blocks = f"{{{block('exact')}, {block('normalized')}}} AS b"
+    groups = "CASE " + " ".join(f"WHEN field IN ({', '.join(repr(f) for f in fs)}) THEN '{g}'" for g, fs in GROUPS.items()) + " END"
+    return CELLS_SQL + f""", o AS (SELECT run_id, {blocks} FROM cells GROUP BY run_id),
+g AS (SELECT run_id, map_from_entries(list((name, b) ORDER BY name)) AS m FROM (SELECT run_id, {groups} AS name, {blocks} FROM cells GROUP BY ALL) WHERE name IS NOT NULL GROUP BY run_id),
+f AS (SELECT run_id, map_from_entries(list((field, b) ORDER BY field)) AS m FROM (SELECT run_id, field, {blocks} FROM cells GROUP BY ALL) GROUP BY run_id)
+SELECT run_id, to_json({{'overall': o.b, 'groups': g.m, 'fields': f.m}})::VARCHAR AS report FROM o JOIN g USING (run_id) JOIN f USING (run_id)"""
+
+
+@query(_report_sql())
+def nested_report(spark: SparkSession, d: str) -> DataFrame:
+    return report.nested_report(cells(spark, d), GROUPS, OUTCOMES)
+
+
 @query()
 def headline_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Value, counts and interval of every ratio of :func:`headline_metrics`.

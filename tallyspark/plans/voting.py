@@ -27,7 +27,7 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY n_agree DESC, first_run) AS r FROM c WHERE n_agree >= 3 AND g IS DISTINCT FROM p)
 SELECT doc_id, field, g AS gold_value, p AS consensus_value, n_agree::BIGINT AS n_agree FROM r WHERE r = 1""")
 def consensus_candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = vote.consensus_against_gold(votes(spark, d), CELL, F.col("p"), F.col("g"), "run_id")
+    c = vote.consensus_against_gold(votes(spark, d), CELL, F.col("p"), F.col("g"), "run_id", runs=RUNS)
     return c.select("doc_id", "field", F.col("gold_key").alias("gold_value"), F.col("value").alias("consensus_value"), "n_agree")
 
 

@@ -90,13 +90,14 @@ def plain_html(x: Column) -> Column:
 
 
 def listing_entries(pages: DataFrame, html: str = "html", entry: str = r'(?s)<div[^>]*class="[^"]*entry[^"]*"[^>]*>.*?(?=<div[^>]*class="[^"]*entry|$)') -> DataFrame:
-    """One row for each entry of a listing page: position, id, number, title and url of its first link, ISO date and source; null where an entry has none."""
+    """One row for each entry of a listing page: position (from 1), id, number, title and url of its first link, ISO date and source; null where an entry has none."""
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(F.regexp_extract_all(html, F.lit(entry), 0)).alias("position", "entry"))
     part = lambda p: F.nullif(F.regexp_extract("entry", p, 1), F.lit(""))
     labelled = lambda name: plain_html(part(rf'(?s)<[a-z]+[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>(.*?)</'))
     day = F.coalesce(labelled("date"), part(r'datetime="([^"]*)"'))
     return rows.select(
-        *[c for c in rows.columns if c != "entry"],
+        *[c for c in rows.columns if c not in ("entry", "position")],
+        (F.col("position") + 1).alias("position"),
         part(r'\bid="([^"]*)"').alias("id"),
         F.coalesce(part(r'data-number="([^"]*)"'), part(r"(?s)<span[^>]*>\s*([A-Z]{2}[0-9-]+)\s*</span>")).alias("publication_number"),
         plain_html(part(r"(?s)<a\b[^>]*>(.*?)</a>")).alias("title"),

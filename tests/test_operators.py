@@ -322,3 +322,69 @@ def test_numbers_follow_the_order(spark):
     rows = spark.createDataFrame([(f"k{(i * 37) % 101:03d}",) for i in range(101)], "k string").repartition(6)
     assert [r.rn for r in frame.numbered(rows, "k").orderBy("k").collect()] == list(range(1, 102))
     assert frame.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_paths_lead_to_one_value_or_an_error(spark):
+    record = '{"a": {"b": 1, "n": null}, "people": [{"name": "Eva", "age": 3}, {"name_new": "Eva Rot", "age": 4}, {"name": "Max"}, {"name": "Max"}, 7, {"name": 5, "x": 1}], "t": "x.y", "odd": [{"k": "v.w", "z": "q"}]}'
+    cases = {
+        "t": ("x.y", True, None), "a.b": ("1", True, None), "a.n": (None, True, None), "a.none": (None, False, None), "people[name=Eva].age": ("3", True, None), "people[name=Eva Rot].age": ("4", True, None),
+        "people[name=Max].age": (None, False, "[name=Max] matches 2"), "people[name=5].x": (None, False, "[name=5] matches 0"), "people[age=3].name": (None, False, "[age=3] matches 0"), "odd[k=v.w].z": ("q", True, None),
+        "a[name=x].y": (None, False, "a is no list"), "a.b.c": (None, False, "the parent of c is no object"), "x.y": (None, False, "no key x"), "people.name": (None, False, "the parent of name is no object"),
+        "people[name=Eva]": (None, False, "bad path"), "": (None, False, "bad path"), "a..b": (None, False, "bad path"), "a.b\n": (None, False, "bad path"),
+    }
+    df = spark.createDataFrame([(record, p) for p in cases], "r string, p string").repartition(3)
+    got = df.withColumn("x", corrections.resolve(F.parse_json("r"), F.col("p"))).select("p", F.try_variant_get("x.value", "$", "string").alias("v"), "x.found", "x.error").collect()
+    assert {r.p: (r.v, r.found, r.error) for r in got} == cases
+    for path in cases:  # the same paths are good in both readings
+        good = cases[path][2] != "bad path"
+        try:
+            corrections.parse_path(path.removesuffix("\n") + ("!" if path.endswith("\n") else ""))
+            assert good
+        except ValueError:
+            assert not good
+
+
+def test_literals_are_found_by_their_rarest_word_or_gram(spark):
+    rng = random.Random(3)
+    words = ["aa", "ab", "b", "aab", "c\nd", "éa", ""]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(60)] + [(100, None), (101, "aaaa"), (101, "aaaa"), (None, "aa ab b")]
+    items = [(i, rng.choice([" ", "", "a"]).join(rng.choices(words, k=rng.randint(1, 5)))) for i in range(60)] + [(70, None), (71, "a"), (72, " "), (73, "aa"), (73, "aa"), (74, " aa "), (75, "zz")]
+    docs, values = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, value string")
+    want = sorted(str((d, t, i, t.count(v), t.index(v) + 1)) for d, t in texts if t for i, v in items if v and v in t)
+    assert sorted(str(tuple(r)) for r in crosscheck.literal_hits(docs, values).collect()) == want
+    assert crosscheck.literal_hits(docs, values.limit(0)).count() == 0 and crosscheck.literal_hits(docs.limit(0), values).count() == 0
+
+
+def test_ordered_digest(spark):
+    import hashlib
+
+    rows = [(i, f"t{i % 7}") for i in range(40)] + [(3, None)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    level = [h for _, h in sorted((k, sha(f"{k}|{sha(t or '')}")) for k, t in rows)]
+    while True:
+        level = [sha("".join(level[i : i + 3])) for i in range(0, len(level), 3)]
+        if len(level) == 1:
+            break
+    asked = lambda d: tuple(stats.ordered_digest(d, "k", F.col("t"), fan=3).first())
+    assert asked(df) == asked(df.repartition(5)) == (41, level[0])
+    assert asked(df.withColumn("k", 100 - F.col("k")))[1] != level[0] and asked(df.limit(0)) == (0, sha(""))
+
+
+def test_consensus_of_known_runs_equals_that_of_lists(spark):
+    rng = random.Random(5)
+    rows = [(c, run, rng.choice(["a", "b", None]), gold) for c in range(300) for gold in [rng.choice(["a", "b", None])] for run in ("r1", "r2", "r3", "r4", "r5") if rng.random() < 0.9]
+    v = spark.createDataFrame(rows, "cell int, run string, v string, gold string")
+    for least in (1, 2, 3):
+        a, b = (sorted(map(str, vote.consensus_against_gold(v, ["cell"], F.col("v"), F.col("gold"), "run", least, runs).collect())) for runs in (None, ["r1", "r2", "r3", "r4", "r5"]))
+        assert a == b and a
+
+
+def test_nested_report(spark):
+    import json
+
+    rows = [("r1", "f", "correct", "correct"), ("r1", "f", "wrong", "correct"), ("r1", "g", "omission", "omission"), ("r1", "h", "excluded_uncertain", "excluded_uncertain"), ("r2", "h", "excluded_uncertain", "excluded_uncertain")]
+    df = spark.createDataFrame(rows, "run_id string, field string, outcome_exact string, outcome_normalized string")
+    got = {r.run_id: json.loads(r.report) for r in report.nested_report(df, {"both": ["f", "g"]}, cells.OUTCOMES).collect()}
+    assert got["r1"]["overall"]["exact"]["accuracy"] == "0.333333" and got["r1"]["groups"]["both"]["normalized"]["accuracy"] == "0.666667"
+    assert list(got["r1"]["fields"]) == ["f", "g", "h"] and got["r1"]["fields"]["f"]["exact"]["wrong"] == 1 and got["r2"]["overall"]["exact"]["accuracy"] is None and got["r2"]["groups"] == {}

@@ -60,7 +60,7 @@ def test_reports(spark, tmp_path):
 def test_listings(spark):
     html = '<div class="entry" id="e1" data-number="N-1"><a href="/1">First <b>x</b></a></div><p>2 Treffer</p><div class="entry big" id="e2"><span> HR01-22 </span><a href="/2">Second</a><a href="/3">Third</a></div>'
     df = spark.createDataFrame([("zh_2026-08-18.html", html)], "file string, html string")
-    assert [(r.position, r.id, r.publication_number, r.url) for r in readers.listing_entries(df).collect()] == [(0, "e1", "N-1", "/1"), (1, "e2", "HR01-22", "/2")]
+    assert [(r.position, r.id, r.publication_number, r.url) for r in readers.listing_entries(df).collect()] == [(1, "e1", "N-1", "/1"), (2, "e2", "HR01-22", "/2")]
     assert df.select(readers.reported_total(F.col("html"))).first()[0] == 2
     assert tuple(df.select(*readers.listing_name(F.col("file"))).first()) == ("ZH", "2026-08-18")
     with pytest.raises(Exception):  # noqa: B017
