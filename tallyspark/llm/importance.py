@@ -24,7 +24,7 @@ from tallyspark.llm import common
 #: Buckets of each n-gram length (a power of 2), each length's pseudo-count, and the standard errors by which its ratios are drawn to 1.
 BITS = 19
 PSEUDO = {1: 0.3, 2: 1.0}
-SURE = {1: 3.0, 2: 5.0}
+SURE = {1: 3.0, 2: 9.0}
 #: The sample is as large as the number of rows that weigh no less than this share of the target's documents do.
 KEEP = 0.98
 #: Labelled rows that fit the target model, and those that calibrate the sample size: about so many at most, picked by the id's hash.
