@@ -46,6 +46,25 @@ def disagreement(population: DataFrame, exclusions: DataFrame, number: str, titl
     return both.filter(F.col("by_number") != F.col("by_title")).drop("__title")
 
 
+def count_checks(pages: DataFrame, entries: DataFrame, key: str, total: str) -> DataFrame:
+    """``key, total, n, status`` of every page: ``ok`` where it says as many entries as it has, ``incomplete`` where it does not, ``no_counter`` where it says nothing."""
+    n = entries.groupBy(key).agg(F.count("*").alias("n"))
+    status = F.when(F.col(total).isNull(), "no_counter").when(F.col(total) == F.col("n"), "ok").otherwise("incomplete")
+    return pages.select(key, total).join(n, key, "left").fillna(0, ["n"]).select(key, total, "n", status.alias("status"))
+
+
+def require_counts(checks: DataFrame, key: str) -> None:
+    """An error if a page's counter and its entries differ: a frame from an incomplete page is no frame."""
+    if bad := checks.filter("status <> 'ok'").orderBy(key).limit(10).collect():
+        raise ValueError("pages that cannot be trusted: " + ", ".join(f"{r[key]} ({r.status}: {r.n})" for r in bad))
+
+
+def swapped(owners: DataFrame, key: str, owner: str) -> DataFrame:
+    """``owners`` with ``swapped``: two rows whose contents belong to each other, a cycle of two in the relation of key and owner."""
+    pairs = owners.filter(F.col(key) != F.col(owner)).select(F.col(owner).alias(key), F.col(key).alias(owner)).distinct().withColumn("swapped", F.lit(True))
+    return owners.join(pairs, [key, owner], "left").fillna(False, ["swapped"])
+
+
 def numbered_ids(position: Column, start: int, width: int = 4) -> Column:
     """``start`` + a position from 0, padded with zeros; longer numbers are never cut."""
     n = (F.lit(start) + position).cast("string")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,7 +49,10 @@ def first_object(text: str) -> str | None:
 
 
 def repair(text: str | None) -> dict:
-    """Fence, surrounding text and trailing commas removed; of repeated keys the last stays and is reported."""
+    """Fence, surrounding text and trailing commas removed; of repeated keys the last stays and is reported.
+
+    Commas before a closing bracket are always removed and counted, without a look at strings.
+    """
     out = {"status": "failed", "json": None, "fence": False, "extracted": False, "trailing_commas": 0, "duplicate_keys": [], "error": None}
     if text is None or not text.strip():
         return out | {"status": "no_response"}
@@ -62,19 +66,14 @@ def repair(text: str | None) -> dict:
     def pairs(items):
         seen = dict(items)
         if len(seen) < len(items):
-            names = [k for k, _ in items]
-            out["duplicate_keys"] += sorted({k for k in names if names.count(k) > 1})
+            out["duplicate_keys"] += sorted(k for k, n in Counter(k for k, _ in items).items() if n > 1)
         return seen
 
-    for attempt in (body, None):
-        try:
-            if attempt is None:
-                attempt, out["trailing_commas"] = _TRAILING.subn(r"\1", body)
-                out["duplicate_keys"] = []
-            return out | {"status": "ok", "json": json.dumps(json.loads(attempt, object_pairs_hook=pairs), ensure_ascii=False, sort_keys=True)}
-        except ValueError as e:
-            out["error"] = str(e)
-    return out
+    body, out["trailing_commas"] = _TRAILING.subn(r"\1", body)
+    try:
+        return out | {"status": "ok", "json": json.dumps(json.loads(body, object_pairs_hook=pairs), ensure_ascii=False, sort_keys=True)}
+    except ValueError as e:
+        return out | {"error": str(e), "duplicate_keys": []}
 
 
 @F.pandas_udf(REPAIR_SCHEMA)

@@ -129,6 +129,21 @@ def headline_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return h.join(owner, "headline", "left").select("page_id", "owner", status.alias("status"))
 
 
+_SWAP = rf"""WITH h AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
+s AS (SELECT page_id, title, page_id + 1 - 2 * (page_id % 2) AS other FROM h), c AS (SELECT a.page_id, a.title, CASE WHEN {bucket_sql("'swap'", 'least(a.page_id, a.other)')} < 20 THEN b.title ELSE a.title END AS headline FROM s a JOIN s b ON a.other = b.page_id),
+o AS (SELECT title AS headline, max(page_id) AS owner FROM c WHERE title <> '' GROUP BY title), j AS (SELECT page_id, owner FROM c JOIN o USING (headline))"""
+
+
+@query(_SWAP + " SELECT page_id, owner, page_id <> owner AND EXISTS (SELECT 1 FROM j k WHERE k.page_id = j.owner AND k.owner = j.page_id) AS swapped FROM j")
+def swapped_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Headlines that some neighbouring pages have exchanged: who owns each, and which two own each other's."""
+    h = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), (F.col("page_id") + 1 - 2 * (F.col("page_id") % 2)).alias("other"))
+    pair = h.join(h.select(F.col("page_id").alias("other"), F.col("title").alias("theirs")), "other")
+    c = pair.withColumn("headline", F.when(hash_bucket("swap", F.least("page_id", "other")) < 20, F.col("theirs")).otherwise(F.col("title")))
+    owner = c.filter("title <> ''").groupBy(F.col("title").alias("headline")).agg(F.max("page_id").alias("owner"))
+    return frame.swapped(c.join(owner, "headline").select("page_id", "owner"), "page_id", "owner")
+
+
 _PAIRS = rf"""WITH t AS (SELECT doc_id, text AS gold, CASE {bucket_sql("'cut'", 'doc_id')} % 4 WHEN 0 THEN substr(text, 1, 150) || '…' WHEN 1 THEN substr(text, 1, 60) WHEN 2 THEN '  ' || upper(text) ELSE 'x' || text END AS pred FROM documents),
 n AS (SELECT doc_id, regexp_replace(rtrim({normalize_sql('gold')}), '(…|\.\.\.)$', '') AS g0, regexp_replace(rtrim({normalize_sql('pred')}), '(…|\.\.\.)$', '') AS p0, {normalize_sql('gold')} AS gn, {normalize_sql('pred')} AS pn FROM t),
 s AS (SELECT doc_id, rtrim(g0) AS g, rtrim(p0) AS p, gn, pn FROM n)"""

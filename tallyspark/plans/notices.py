@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import formats
-from tallyspark.operators import extract, gold_rules, records, repair
+from tallyspark.operators import extract, frame, gold_rules, records, repair
 from tallyspark.plans.bindings import table
 from tallyspark.plans.registry import Registry
 from tallyspark.shared import new_path
-from tallyspark.sources import readers, writers
+from tallyspark.sources import listings, readers, versions, writers
 
 REGISTRY = Registry()
 query = REGISTRY.add
@@ -208,9 +208,35 @@ def listing_rows(spark: SparkSession, d: str) -> DataFrame:
     """The entries of a listing page for each supplier, with the number that the page states."""
     key = F.col("s_suppkey").cast("string")
     html = F.concat(
-        F.lit('<html><p>2 Treffer</p><div class="list entry" id="e'), key, F.lit('"><span class="nr"> HR02-'), key, F.lit('</span><span class="date">18.08.2026</span> <span class="source">Amtsblatt</span><a class="t" href="/n/'), key, F.lit('"><b>'), F.col("s_name"),
+        F.lit('<html><p>2 Treffer</p><div class="list entry" id="e'), key, F.lit('"><div><div>x</div><br></div><span class="nr"> HR02-'), key, F.lit('</span><span class="date">18.08.2026</span> <span class="source">Amtsblatt</span><a class="t" href="/n/'), key, F.lit('"><b>'), F.col("s_name"),
         F.lit('</b>\n &amp; Co &quot;x&quot;</a></div><div class="entry" data-number="HR03-1"><a href="/m">Second <i>one</i></a></div></html>'),
     )
     pages = table(spark, d, "supplier").select("s_suppkey", html.alias("html"), readers.reported_total(html).alias("total"))
-    rows = readers.listing_entries(pages)
+    rows = listings.listing_entries(pages)
     return rows.select("s_suppkey", "position", "id", "publication_number", "title", "url", "date", "source", "total")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 17 <> 0 THEN 2 + (s_suppkey % 10 = 0)::INTEGER END AS total, 2::BIGINT AS n,
+  CASE WHEN s_suppkey % 17 = 0 THEN 'no_counter' WHEN s_suppkey % 10 = 0 THEN 'incomplete' ELSE 'ok' END AS status FROM supplier""")
+def listing_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Listings of every supplier against their own counters; some say too much, or nothing."""
+    key = F.col("s_suppkey")
+    counter = F.when(key % 17 != 0, F.concat((2 + (key % 10 == 0).cast("int")).cast("string"), F.lit(" Treffer"))).otherwise("")
+    meta = F.concat(F.lit('<div class="list-entry list-entry-tenant"><div class="list-col"><div>18.08.2026 - HR02-1 - '), F.col("s_name"), F.lit('</div></div><a href="/1">A</a></div>'))
+    html = F.concat(F.lit("<p>"), counter, F.lit("</p>"), meta, meta)
+    pages = table(spark, d, "supplier").select("s_suppkey", html.alias("html"), readers.reported_total(html).alias("total"))
+    entries = listings.listing_entries(pages).filter("publication_number = 'HR02-1' AND date = '2026-08-18'")
+    return frame.count_checks(pages, entries, "s_suppkey", "total")
+
+
+@query("""SELECT unnest([1, 2, 3]) AS version, unnest([(SELECT count(*) FROM orders WHERE o_orderstatus = 'O'), (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')]) AS n,
+  unnest([(SELECT sum(o_orderkey) FROM orders WHERE o_orderstatus = 'O'), (SELECT sum(o_orderkey) FROM orders), (SELECT sum(o_orderkey) FROM orders WHERE o_orderstatus = 'F')])::BIGINT AS keys""")
+def versioned_table(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in three versions, the second beside the first and the third instead of both, each read as of its number."""
+    path, orders = new_path(spark, "versions"), table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    parts = [(orders.filter("o_orderstatus = 'O'"), False), (orders.filter("o_orderstatus <> 'O'"), False), (orders.filter("o_orderstatus = 'F'"), True)]
+    out = None
+    for version in [versions.commit(rows, path, replace=replace) for rows, replace in parts]:
+        one = versions.as_of(spark, path, version).agg(F.lit(version).alias("version"), F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+        out = one if out is None else out.unionByName(one)
+    return out

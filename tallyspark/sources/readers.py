@@ -81,32 +81,6 @@ def require_complete(expected: DataFrame, *sides: DataFrame, key: str = "doc_id"
             raise ValueError(f"documents without a row in input {i + 1}: {missing}")
 
 
-def plain_html(x: Column) -> Column:
-    """Text without tags, the common entities as characters, white space collapsed; null where nothing is left."""
-    out = F.regexp_replace(x, r"(?s)<[^>]*>", "")
-    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(c))
-    return F.nullif(F.trim(F.regexp_replace(out, r"(?U)\s+", " ")), F.lit(""))
-
-
-def listing_entries(pages: DataFrame, html: str = "html", entry: str = r'(?s)<div[^>]*class="[^"]*entry[^"]*"[^>]*>.*?(?=<div[^>]*class="[^"]*entry|$)') -> DataFrame:
-    """One row for each entry of a listing page: position (from 1), id, number, title and url of its first link, ISO date and source; null where an entry has none."""
-    rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(F.regexp_extract_all(html, F.lit(entry), 0)).alias("position", "entry"))
-    part = lambda p: F.nullif(F.regexp_extract("entry", p, 1), F.lit(""))
-    labelled = lambda name: plain_html(part(rf'(?s)<[a-z]+[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>(.*?)</'))
-    day = F.coalesce(labelled("date"), part(r'datetime="([^"]*)"'))
-    return rows.select(
-        *[c for c in rows.columns if c not in ("entry", "position")],
-        (F.col("position") + 1).alias("position"),
-        part(r'\bid="([^"]*)"').alias("id"),
-        F.coalesce(part(r'data-number="([^"]*)"'), part(r"(?s)<span[^>]*>\s*([A-Z]{2}[0-9-]+)\s*</span>")).alias("publication_number"),
-        plain_html(part(r"(?s)<a\b[^>]*>(.*?)</a>")).alias("title"),
-        part(r'<a\b[^>]*href="([^"]*)"').alias("url"),
-        F.regexp_replace(day, r"^([0-9]{2})\.([0-9]{2})\.([0-9]{4})$", "$3-$2-$1").alias("date"),
-        labelled("source").alias("source"),
-    )
-
-
 def reported_total(html: Column) -> Column:
     """The number of rows a page says it has, or null."""
     return F.regexp_extract(html, r"(?s)([0-9]+)\s*(?:Treffer|results|Ergebnisse)", 1).try_cast("int")

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import records
-from tallyspark.sources import readers, writers
+from tallyspark.operators import frame, records
+from tallyspark.sources import listings, readers, versions, writers
 
 
 def test_json_records(spark, tmp_path):
@@ -60,13 +60,47 @@ def test_reports(spark, tmp_path):
 def test_listings(spark):
     html = '<div class="entry" id="e1" data-number="N-1"><a href="/1">First <b>x</b></a></div><p>2 Treffer</p><div class="entry big" id="e2"><span> HR01-22 </span><a href="/2">Second</a><a href="/3">Third</a></div>'
     df = spark.createDataFrame([("zh_2026-08-18.html", html)], "file string, html string")
-    assert [(r.position, r.id, r.publication_number, r.url) for r in readers.listing_entries(df).collect()] == [(1, "e1", "N-1", "/1"), (2, "e2", "HR01-22", "/2")]
+    assert [(r.position, r.id, r.publication_number, r.url) for r in listings.listing_entries(df).collect()] == [(1, "e1", "N-1", "/1"), (2, "e2", "HR01-22", "/2")]
     assert df.select(readers.reported_total(F.col("html"))).first()[0] == 2
     assert tuple(df.select(*readers.listing_name(F.col("file"))).first()) == ("ZH", "2026-08-18")
     with pytest.raises(Exception):  # noqa: B017
         spark.createDataFrame([("x.html",)], "file string").select(*readers.listing_name(F.col("file"))).collect()
 
 
+def test_nested_and_broken_listings():
+    parse = lambda html, entry="entry": list(listings.parse_listing(html, entry))
+    nested = '<div class="list-entry x" id="a"><div class="list-col"><div>01.02.2026 - ZH-7 - Blatt &amp; Co</div><br><img src="i"></div><div><a>no link</a><a href="/a"><i>T</i>itle\n two</a></div><div class="entry"><a href="/in">In</a></div><span>AB1</span></div><div class="entrys"></div>'
+    assert parse(nested) == [(1, "a", "ZH-7", "Title two", "/a", "2026-02-01", "Blatt & Co"), (2, None, None, "In", "/in", None, None)]
+    assert parse(None) == parse("") == parse("<p>none</p>") == [] and len(parse('<div class="entry">' * 500)) == 500
+
+
+def test_versions(spark, tmp_path):
+    path, df = f"file://{tmp_path}/t", lambda *x: spark.createDataFrame([(i,) for i in x], "i int")
+    read = lambda v=None: sorted(r.i for r in versions.as_of(spark, path, v).collect())
+    with pytest.raises(ValueError):
+        read()
+    assert [versions.commit(df(1, 2), path), versions.commit(df(3), path)] == [1, 2]
+    assert read(1) == [1, 2] and read(2) == read() == [1, 2, 3]
+    assert versions.commit(df(9), path, replace=True) == 3 and versions.commit(df(8), path) == 4
+    assert read() == [8, 9] and read(3) == [9] and read(2) == [1, 2, 3]
+    (tmp_path / "t" / "_log" / "000000000005.json").write_text('{"folder": "none", "replace": true}')  # another writer's
+    assert versions.commit(df(7), path) == 6
+    with pytest.raises(ValueError):
+        read(7)
+
+
+def test_counters_and_swaps(spark):
+    pages = spark.createDataFrame([(1, 2), (2, 1), (3, None), (4, 0)], "k int, total int")
+    entries = spark.createDataFrame([(1,), (1,), (2,), (2,)], "k int")
+    checks = frame.count_checks(pages, entries, "k", "total")
+    assert {(r.k, r.n, r.status) for r in checks.collect()} == {(1, 2, "ok"), (2, 2, "incomplete"), (3, 0, "no_counter"), (4, 0, "ok")}
+    frame.require_counts(checks.filter("k IN (1, 4)"), "k")
+    with pytest.raises(ValueError, match="2 .incomplete: 2.*3"):
+        frame.require_counts(checks, "k")
+    owners = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 5), (5, 6), (6, 4), (7, None)], "p int, o int")
+    assert {r.p for r in frame.swapped(owners, "p", "o").filter("swapped").collect()} == {1, 2}
+
+
 def one(spark, value, expr):
     return spark.createDataFrame([(value,)], "j string").select(expr.alias("x")).first().x
 
