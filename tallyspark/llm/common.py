@@ -7,7 +7,6 @@ they are visible to every executor and outlive the loss of any of them.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,32 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark import shipping
+from tallyspark.shared import keep, new_path, shared_dir
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
-FALLBACK_DIR = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session (no trailing slash); only a local session may do without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (folder or f"file://{FALLBACK_DIR}").rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and return the table read from there.
-
-    Cuts lineage: whatever is lost later is read again, not computed again.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+__all__ = ["keep", "new_path", "shared_dir"]
 
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`keep` that nothing reads any more."""

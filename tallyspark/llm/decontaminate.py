@@ -30,6 +30,7 @@ PORTION_BYTES = 16 << 20
 
 MATCHES = "array<struct<item_id:bigint,coverage:double,longest:int,n_tiles:int>>"
 
+
 def _windows(tokens: np.ndarray, size: int) -> np.ndarray:
     """Karp-Rabin hashes of all windows of ``size`` tokens, each from the one before by prefix differences."""
     n = len(tokens)
@@ -190,19 +191,15 @@ def _portions(benchmark: DataFrame, item_col: str, item_text_col: str, portion_b
 class _Held:
     """One portion on the workers, until it is let go."""
 
-    now = 0
-
     def __init__(self, portion: DataFrame, seed: int):
         rows = sorted((r.id, r.text) for r in portion.collect())  # about portion_bytes
         self.items = portion.sparkSession.sparkContext.broadcast(Items(rows, seed))
-        _Held.now += 1
 
     def column(self, text: Column, coverage: float) -> Column:
         return _matcher(self.items, coverage)(text.cast("string"))
 
     def let_go(self) -> None:
         self.items.destroy()
-        _Held.now -= 1
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE, portion_bytes: int = PORTION_BYTES, into: str = "matches") -> DataFrame:

@@ -86,17 +86,18 @@ def test_portions_are_held_one_at_a_time(spark, monkeypatch):
     d = spark.createDataFrame(docs, "doc_id bigint, text string, matches string")
     b = spark.createDataFrame([(i // 2, t) for i, t in enumerate(items)], "item_id bigint, text string")
     whole = [sorted(map(tuple, decontaminate.contaminated(d, b).collect())), sorted((r.doc_id, r.m) for r in decontaminate.with_matches(d, b, into="m").collect()), sorted(r.doc_id for r in decontaminate.drop_contaminated(d, b).collect())]
-    held = []
-    plain = decontaminate._Held.__init__
+    held, now = [], []
+    take, let_go = decontaminate._Held.__init__, decontaminate._Held.let_go
 
     def counted(self, *args):
-        held.append(decontaminate._Held.now)
-        plain(self, *args)
+        held.append(len(now))
+        take(self, *args)
+        now.append(self)
 
     monkeypatch.setattr(decontaminate._Held, "__init__", counted)
-    monkeypatch.setattr(decontaminate._Held, "now", 0)
+    monkeypatch.setattr(decontaminate._Held, "let_go", lambda self: now.remove(self) or let_go(self))
     few = [sorted(map(tuple, decontaminate.contaminated(d, b, portion_bytes=300).collect())), sorted((r.doc_id, r.m) for r in decontaminate.with_matches(d, b, into="m", portion_bytes=300).collect()), sorted(r.doc_id for r in decontaminate.drop_contaminated(d, b, portion_bytes=300).collect())]
-    assert few == whole and len(held) >= 9 and set(held) == {0} and decontaminate._Held.now == 0
+    assert few == whole and len(held) >= 9 and set(held) == {0} and not now
 
 
 def test_components_of_hot_nodes(spark, monkeypatch):
