@@ -216,7 +216,7 @@ def listing_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("s_suppkey", "position", "id", "publication_number", "title", "url", "date", "source", "total")
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 17 <> 0 THEN 2 + (s_suppkey % 10 = 0)::INTEGER END AS total, 2::BIGINT AS n,
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 17 <> 0 THEN 2 + (s_suppkey % 10 = 0)::INTEGER ELSE -1 END AS total, 2::BIGINT AS n,
   CASE WHEN s_suppkey % 17 = 0 THEN 'no_counter' WHEN s_suppkey % 10 = 0 THEN 'incomplete' ELSE 'ok' END AS status FROM supplier""")
 def listing_checks(spark: SparkSession, d: str) -> DataFrame:
     """Listings of every supplier against their own counters; some say too much, or nothing."""
@@ -226,7 +226,7 @@ def listing_checks(spark: SparkSession, d: str) -> DataFrame:
     html = F.concat(F.lit("<p>"), counter, F.lit("</p>"), meta, meta)
     pages = table(spark, d, "supplier").select("s_suppkey", html.alias("html"), readers.reported_total(html).alias("total"))
     entries = listings.listing_entries(pages).filter("publication_number = 'HR02-1' AND date = '2026-08-18'")
-    return frame.count_checks(pages, entries, "s_suppkey", "total")
+    return frame.count_checks(pages, entries, "s_suppkey", "total").fillna(-1, ["total"])
 
 
 @query("""SELECT unnest([1, 2, 3]) AS version, unnest([(SELECT count(*) FROM orders WHERE o_orderstatus = 'O'), (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')]) AS n,
