@@ -132,8 +132,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
     once, for the smallest of their vectors.
     Vectors that are null, hold null or non-finite components, or have a null id take no
     part; vectors of another length than the query's are no candidates. Fewer than ``k``
-    candidates are all returned; ties go to the smaller id. A score beyond 64 bits counts as
-    the nearest number of 64 bits. A wave of queries is one set of passes over the rows.
+    candidates are all returned; ties go to the smaller id. A component or a score beyond 64
+    bits counts as the nearest number of 64 bits. A wave of queries is one set of passes over the rows.
     """
     spark = vectors.sparkSession
     common.ship(spark)
