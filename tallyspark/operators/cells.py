@@ -10,10 +10,13 @@ CELL_KEY = ["run_id", "doc_id", "field"]
 
 
 def melt(records: DataFrame, key: str | list[str], fields: dict[str, Column], value: str = "value") -> DataFrame:
-    """One row for each record and field, as text; the fields become (field, value)."""
+    """One row for each record and field, as text; the fields become (field, value).
+
+    The records' partitioning is kept, which ``unpivot`` would forget.
+    """
     keys = [key] if isinstance(key, str) else key
-    wide = records.select(*keys, *[c.cast("string").alias(f) for f, c in fields.items()])
-    return wide.unpivot(keys, list(fields), "field", value)
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), c.cast("string").alias(value)) for f, c in fields.items()])
+    return records.select(*keys, F.explode(pairs).alias("__c")).select(*keys, "__c.field", f"__c.{value}")
 
 
 def melt_list(records: DataFrame, key: list[str], items: Column, pos: str = "pos", item: str = "item") -> DataFrame:

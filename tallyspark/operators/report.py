@@ -70,6 +70,22 @@ def first_failures(failures: DataFrame, field: str, key: str, k: int) -> DataFra
     return top.orderBy(F.desc("n_failures"), field).limit(k)
 
 
+def first_of_groups(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """The row with the lowest ``key`` of each group, for few groups: their lowest keys pass through the driver.
+
+    A minimum of whole rows would sort all of them, for texts are no running totals; keys
+    alone are summed up before the shuffle, and only rows with one of them are compared.
+    Rows without a key come last.
+    """
+    keys = {r[0] for r in rows.groupBy(*by).agg(F.min(key).alias("__least")).select("__least").distinct().collect()}
+    asked = F.col(key).isin(sorted(keys - {None}))
+    if None in keys:
+        asked = asked | F.col(key).isNull()
+    others = [c for c in rows.columns if c not in (*by, key)]
+    least = F.min(F.struct(F.col(key).isNull().alias("__none"), key, *others)).alias("x")
+    return rows.filter(asked).groupBy(*by).agg(least).select(*by, f"x.{key}", *[f"x.{c}" for c in others])
+
+
 def perfect(cells: DataFrame, docs: DataFrame, key: list[str], outcome: str) -> DataFrame:
     """Whether all cells of a document are right; a document without cells is."""
     ok = cells.groupBy(*key).agg(F.bool_and(F.col(outcome).isin("correct", "correct_null", "excluded_uncertain")).alias("perfect"))

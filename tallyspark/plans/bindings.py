@@ -6,7 +6,7 @@ md5 of (run, key, field) decides, so that all outcomes occur and any engine agre
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.values import hash_bucket, normalize
@@ -22,39 +22,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Documents of a portion of :func:`predicted`, at most about.
+PORTION_DOCS = 250_000
+
+
+def _gold(orders: DataFrame, also: list[str]) -> DataFrame:
+    """doc_id, field, gold and further columns of the records."""
+    fields = {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "price": F.col("o_totalprice").cast("decimal(15,2)"), "odate": F.col("o_orderdate").cast("date")}
+    cells = melt(orders.withColumnRenamed("o_orderkey", "doc_id"), ["doc_id", *also], fields, "raw")
+    return cells.select("doc_id", "field", *also, F.when(hash_bucket("gold", F.col("doc_id"), F.col("field")) >= 10, F.col("raw")).alias("gold"))
+
+
 def gold_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, field, gold."""
-    orders = table(spark, sf_dir, "orders")
-    cells = melt(
-        orders.withColumnRenamed("o_orderkey", "doc_id"),
-        "doc_id",
-        {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "price": F.col("o_totalprice").cast("decimal(15,2)"), "odate": F.col("o_orderdate").cast("date")},
-        "raw",
+    return _gold(table(spark, sf_dir, "orders"), [])
+
+
+def predicted(spark: SparkSession, sf_dir: str, runs: list[str] = RUNS) -> DataFrame:
+    """run_id, doc_id, field, gold, g (gold normalised), prediction, no_output, uncertain.
+
+    Records are dealt by doc_id once, before they are multiplied, so what is grouped by
+    documents later needs no shuffle of cells. Buckets are made inside the generators: what
+    filters on outcomes ask for is not pushed below them and computed anew.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate")
+    portions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-orders.count() // PORTION_DOCS))
+    failed = F.array(*[hash_bucket(F.lit(r), F.col("o_orderkey")) < 3 for r in runs])
+    c = _gold(orders.repartition(portions, "o_orderkey").withColumn("failed", failed), ["failed"])
+    c = c.withColumns({"uncertain": hash_bucket("unc", F.col("doc_id"), F.col("field")) < 4, "g": normalize(F.col("gold"))})
+    own = [F.struct(F.lit(r).alias("run_id"), hash_bucket(F.lit(r), F.col("doc_id"), F.col("field")).alias("b"), F.get("failed", F.lit(i)).alias("no_output")) for i, r in enumerate(runs)]
+    c = c.select("doc_id", "field", "gold", "g", "uncertain", F.explode(F.array(*own)).alias("r")).select("doc_id", "field", "gold", "g", "uncertain", "r.*")
+    gold, b = F.col("gold"), F.col("b")
+    invented = F.when(gold.isNull(), F.when(b >= 90, F.lit("invented")))
+    prediction = F.when(F.col("no_output"), None).otherwise(
+        F.when(gold.isNull(), invented).when(b < 10, None).when(b < 18, F.concat(gold, F.lit("x"))).when(b < 24, F.concat(F.lit("  "), F.upper(gold), F.lit(" "))).otherwise(gold)
     )
-    return cells.select("doc_id", "field", F.when(hash_bucket("gold", F.col("doc_id"), F.col("field")) >= 10, F.col("raw")).alias("gold"))
+    return c.select("run_id", "doc_id", "field", "gold", "g", prediction.alias("prediction"), "no_output", "uncertain")
+
+
+def outcomes() -> dict[str, Column]:
+    """outcome_exact and outcome_normalized of :func:`predicted`."""
+    gold, p, flags = F.col("gold"), F.col("prediction"), (F.col("no_output"), F.col("uncertain"))
+    return {"outcome_exact": outcome(gold, p, gold == p, *flags), "outcome_normalized": outcome(gold, p, (gold == p) | (F.col("g") == normalize(p)), *flags)}
 
 
 def cells(spark: SparkSession, sf_dir: str, runs: list[str] = RUNS) -> DataFrame:
     """run_id, doc_id, field, gold, prediction, outcome_exact, outcome_normalized."""
-    c = gold_cells(spark, sf_dir).withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
-    b = hash_bucket(F.col("run_id"), F.col("doc_id"), F.col("field"))
-    c = c.withColumns({"b": b, "no_output": hash_bucket(F.col("run_id"), F.col("doc_id")) < 3, "uncertain": hash_bucket("unc", F.col("doc_id"), F.col("field")) < 4})
-    gold = F.col("gold")
-    invented = F.when(gold.isNull(), F.when(F.col("b") >= 90, F.lit("invented")))
-    prediction = F.when(F.col("no_output"), None).otherwise(
-        F.when(gold.isNull(), invented).when(F.col("b") < 10, None).when(F.col("b") < 18, F.concat(gold, F.lit("x"))).when(F.col("b") < 24, F.concat(F.lit("  "), F.upper(gold), F.lit(" "))).otherwise(gold)
-    )
-    c = c.withColumn("prediction", prediction)
-    p = F.col("prediction")
-    return c.select(
-        "run_id",
-        "doc_id",
-        "field",
-        "gold",
-        "prediction",
-        outcome(gold, p, gold == p, F.col("no_output"), F.col("uncertain")).alias("outcome_exact"),
-        outcome(gold, p, normalize(gold) == normalize(p), F.col("no_output"), F.col("uncertain")).alias("outcome_normalized"),
-    )
+    return predicted(spark, sf_dir, runs).select("run_id", "doc_id", "field", "gold", "prediction", *[c.alias(k) for k, c in outcomes().items()])
 
 
 # --- the same as SQL ----------------------------------------------------------------

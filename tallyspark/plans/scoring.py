@@ -337,10 +337,8 @@ def top_failing(spark: SparkSession, d: str) -> DataFrame:
 
 @query(CELLS_SQL + f", f AS (SELECT *, row_number() OVER (PARTITION BY run_id, field ORDER BY doc_id) AS r FROM cells WHERE {_FAILED}) SELECT run_id, field, doc_id, gold, prediction, outcome_normalized FROM f WHERE r = 1")
 def first_failure(spark: SparkSession, d: str) -> DataFrame:
-    f = cells(spark, d).filter(_FAILED)
-    # a minimum per group is summed up before the shuffle; a window would bring all failures of a field together
-    least = F.min(F.struct("doc_id", "gold", "prediction", "outcome_normalized")).alias("x")
-    return f.groupBy("run_id", "field").agg(least).select("run_id", "field", "x.*")
+    f = cells(spark, d).filter(_FAILED).select("run_id", "field", "doc_id", "gold", "prediction", "outcome_normalized")
+    return report.first_of_groups(f, ["run_id", "field"], "doc_id")
 
 
 @query(CELLS_SQL + " , p AS (SELECT run_id, doc_id, bool_and(outcome_normalized IN ('correct', 'correct_null', 'excluded_uncertain')) AS perfect FROM cells GROUP BY ALL) SELECT run_id, count(*)::BIGINT AS docs, count(*) FILTER (perfect)::BIGINT AS perfect FROM p GROUP BY run_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.values import hash_bucket, normalize
 from tallyspark.operators import corrections, report, resample, stats, vote
 from tallyspark.operators.cells import unusable
-from tallyspark.plans.bindings import CELLS_SQL, GOLD_SQL, RUNS, bucket_sql, cells, gold_cells, normalize_sql, table
+from tallyspark.plans.bindings import CELLS_SQL, GOLD_SQL, RUNS, bucket_sql, cells, gold_cells, normalize_sql, predicted, table
 from tallyspark.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -20,7 +20,9 @@ _VOTES = CELLS_SQL + f""", votes AS (SELECT run_id, doc_id, field, gold, predict
 
 
 def votes(spark: SparkSession, d: str) -> DataFrame:
-    return cells(spark, d).filter("outcome_exact NOT IN ('no_output', 'excluded_uncertain')").select("run_id", "doc_id", "field", "gold", "prediction", normalize(F.col("gold")).alias("g"), normalize(F.col("prediction")).alias("p"))
+    p = F.col("prediction")
+    same = F.when(p == F.col("gold"), F.col("g")).otherwise(normalize(p))  # most need no second normalisation
+    return predicted(spark, d).filter("NOT no_output AND NOT uncertain").select("run_id", "doc_id", "field", "gold", "prediction", "g", same.alias("p"))
 
 
 @query(_VOTES + """, c AS (SELECT doc_id, field, g, p, count(*) AS n_agree, min(run_id) AS first_run FROM votes GROUP BY ALL),

@@ -388,3 +388,12 @@ def test_nested_report(spark):
     got = {r.run_id: json.loads(r.report) for r in report.nested_report(df, {"both": ["f", "g"]}, cells.OUTCOMES).collect()}
     assert got["r1"]["overall"]["exact"]["accuracy"] == "0.333333" and got["r1"]["groups"]["both"]["normalized"]["accuracy"] == "0.666667"
     assert list(got["r1"]["fields"]) == ["f", "g", "h"] and got["r1"]["fields"]["f"]["exact"]["wrong"] == 1 and got["r2"]["overall"]["exact"]["accuracy"] is None and got["r2"]["groups"] == {}
+
+
+def test_first_of_groups(spark):
+    rows = [("a", 3, "x"), ("a", 1, None), ("b", None, "y"), ("b", 9, "z"), (None, 2, "q"), ("c", None, "w"), ("a", 1, "b")]
+    df = spark.createDataFrame(rows, "g string, k int, v string").repartition(3)
+    assert sorted(map(str, report.first_of_groups(df, ["g"], "k").collect())) == sorted(map(str, spark.createDataFrame([("a", 1, None), ("b", 9, "z"), (None, 2, "q"), ("c", None, "w")], df.schema).collect()))
+    assert report.first_of_groups(df.limit(0), ["g"], "k").count() == 0
+    plan = report.first_of_groups(df, ["g"], "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert " IN (" in plan or "INSET" in plan  # only rows with a lowest key are compared whole
