@@ -350,10 +350,15 @@ def perfect_docs(spark: SparkSession, d: str) -> DataFrame:
 @query(CELLS_SQL + f""", answered AS (SELECT doc_id FROM cells WHERE run_id IN ('r1', 'r2') GROUP BY doc_id HAVING count(*) FILTER (outcome_exact = 'no_output') = 0)
 SELECT run_id, count(*) FILTER (outcome_normalized IN ('correct', 'correct_null'))::BIGINT AS correct, count(*) FILTER (outcome_normalized IN {_SCORED})::BIGINT AS scored FROM cells WHERE run_id IN ('r1', 'r2') AND doc_id IN (SELECT doc_id FROM answered) GROUP BY run_id""")
 def subset_rescore(spark: SparkSession, d: str) -> DataFrame:
-    c = cells(spark, d, ["r1", "r2"])
-    answered = c.groupBy("doc_id").agg(F.count_if(F.col("outcome_exact") == "no_output").alias("n")).filter("n = 0").select("doc_id")
-    num, den = metrics.accuracy(F.col("outcome_normalized"))
-    return c.join(answered, "doc_id", "left_semi").groupBy("run_id").agg(num.alias("correct"), den.alias("scored"))
+    runs = ["r1", "r2"]
+    o = F.col("outcome_normalized")
+    own = lambda x, r: F.when(F.col("run_id") == r, x)
+    sums = [c.alias(f"{r}_{k}") for r in runs for k, c in zip(("correct", "scored"), metrics.accuracy(own(o, r)))]
+    # a document's sums and its cells without output come from one aggregate; no cell is joined or sorted
+    docs = cells(spark, d, runs).groupBy("doc_id").agg(F.count_if(F.col("outcome_exact") == "no_output").alias("n"), *[F.count_if(F.col("run_id") == r).alias(f"{r}_cells") for r in runs], *sums).filter("n = 0")
+    each = docs.agg(*[F.sum(f"{r}_{k}").alias(f"{r}_{k}") for r in runs for k in ("cells", "correct", "scored")])
+    rows = F.array(*[F.struct(F.lit(r).alias("run_id"), *[F.col(f"{r}_{k}").alias(k) for k in ("cells", "correct", "scored")]) for r in runs])
+    return each.select(F.explode(rows).alias("r")).select("r.*").filter("cells > 0").drop("cells")
 
 
 @query(f"""WITH {GOLD_SQL}, x AS (SELECT *, CASE field WHEN 'price' THEN TRY_CAST(gold AS DOUBLE) END AS num FROM gold)

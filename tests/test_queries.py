@@ -96,3 +96,11 @@ def test_intervals_rest_on_10_000_draws(spark, duck):
     low, high = np.percentile(a_num / a_den - b_num / b_den, [2.5, 97.5])
     r = catalog.QUERIES["paired_bootstrap"](spark, SF).first()
     assert (r.n_valid, r.ci_low, r.ci_high, r.includes_zero) == (n_draws, pytest.approx(low, abs=1e-8), pytest.approx(high, abs=1e-8), low <= 0 <= high)
+
+
+@pytest.mark.parametrize("name", ["consensus_candidates", "audit_methods", "unanimous_cells", "subset_rescore", "perfect_docs"])
+def test_cells_of_a_document_are_grouped_where_they_are_made(name, spark):
+    """Records are shuffled, their cells are not; nor are cells joined."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(o_orderkey" in plan and "hashpartitioning(doc_id" not in plan
+    assert name == "perfect_docs" or "Join" not in plan
