@@ -68,8 +68,10 @@ def extend_sample(spark: SparkSession, d: str) -> DataFrame:
 @query(_VOTES + """, flagged AS (SELECT doc_id, field, count(*) FILTER (p IS DISTINCT FROM g) AS against FROM votes GROUP BY ALL), f AS (SELECT doc_id, field, against >= 3 AS by_vote, field = 'price' AND """ + bucket_sql("'rule'", "doc_id") + """ < 5 AS by_rule FROM flagged)
 SELECT CASE WHEN GROUPING(by_rule) = 1 THEN 'All' ELSE by_rule::VARCHAR END AS by_rule, CASE WHEN GROUPING(by_vote) = 1 THEN 'All' ELSE by_vote::VARCHAR END AS by_vote, count(*)::BIGINT AS n FROM f WHERE by_vote OR by_rule GROUP BY CUBE (by_rule, by_vote)""")
 def audit_methods(spark: SparkSession, d: str) -> DataFrame:
-    f = votes(spark, d).groupBy(*CELL).agg(F.count_if(~F.col("p").eqNullSafe(F.col("g"))).alias("against"))
-    f = f.select((F.col("against") >= 3).alias("by_vote"), ((F.col("field") == "price") & (hash_bucket("rule", F.col("doc_id")) < 5)).alias("by_rule"))
+    against, rule = ~F.col("p").eqNullSafe(F.col("g")), F.when(F.col("field") == "price", hash_bucket("rule", F.col("doc_id")) < 5).otherwise(False)
+    # votes that neither method asks about are not grouped
+    v = votes(spark, d).select(*CELL, against.alias("against"), rule.alias("by_rule")).filter("against OR by_rule")
+    f = v.groupBy(*CELL, "by_rule").agg(F.count_if("against").alias("against")).select((F.col("against") >= 3).alias("by_vote"), "by_rule")
     return report.crosstab(f.filter("by_vote OR by_rule"), "by_rule", "by_vote")
 
 
