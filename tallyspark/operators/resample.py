@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from tallyspark.operators.order import global_index
+from tallyspark.shared import keep
 
 
 #: Up to so many documents (some tens of bytes each) are broadcast to the draws.
@@ -331,8 +332,16 @@ def checked_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def extend_sample(existing: DataFrame, pool: DataFrame, key: str, total: int, seed: int) -> DataFrame:
-    """``existing`` with as many further rows of ``pool`` as make ``total``."""
+    """``existing`` with as many further rows of ``pool`` as make ``total``.
+
+    Both parts are written once, so neither is drawn again to be counted, left out or
+    returned: the pool is read once for each. A sample is small, so its keys are broadcast.
+    """
+    existing = keep(existing, "sample")
     have = existing.count()
     if total < have:
         raise ValueError(f"the sample already has {have} rows")
-    return existing.unionByName(checked_sample(pool.join(existing.select(key), key, "left_anti"), key, total - have, seed))
+    more = keep(seeded_sample(pool.join(F.broadcast(existing.select(key)), key, "left_anti"), key, total - have, seed), "sample")
+    if (found := more.count()) < total - have:
+        raise ValueError(f"a sample of {total - have} needs as many rows; there are {found}")
+    return existing.unionByName(more)

@@ -10,6 +10,7 @@ from tallyspark.operators import corrections, report, resample, stats, vote
 from tallyspark.operators.cells import unusable
 from tallyspark.plans.bindings import CELLS_SQL, GOLD_SQL, RUNS, bucket_sql, cells, gold_cells, normalize_sql, predicted, table
 from tallyspark.plans.registry import Registry
+from tallyspark.shared import keep
 
 REGISTRY = Registry()
 query = REGISTRY.add
@@ -61,7 +62,7 @@ def audit_sample(spark: SparkSession, d: str) -> DataFrame:
 @query(_UNANIMOUS + """, k AS (SELECT doc_id, field, doc_id || '/' || field AS key FROM u), a AS (SELECT doc_id, field, key FROM """ + _SAMPLED.format(seed=20261013, key="key", pool="k") + """ WHERE r <= 30),
 rest AS (SELECT * FROM k WHERE key NOT IN (SELECT key FROM a)) SELECT * FROM a UNION ALL SELECT doc_id, field, key FROM """ + _SAMPLED.format(seed=20261015, key="key", pool="rest") + " WHERE r <= 20")
 def extend_sample(spark: SparkSession, d: str) -> DataFrame:
-    pool = _unanimous(spark, d).withColumn("key", F.concat_ws("/", "doc_id", "field"))
+    pool = keep(_unanimous(spark, d), "unanimous").withColumn("key", F.concat_ws("/", "doc_id", "field"))
     return resample.extend_sample(resample.seeded_sample(pool, "key", 30, 20261013), pool, "key", 50, 20261015)
 
 

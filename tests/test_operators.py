@@ -399,6 +399,21 @@ def test_first_of_groups(spark):
     assert " IN (" in plan or "INSET" in plan  # only rows with a lowest key are compared whole
 
 
+def test_extended_sample_reads_its_pool_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    pool = spark.range(0, 60, 1, 3).select(counted.asNondeterministic()("id").alias("id"))
+    more = resample.extend_sample(resample.seeded_sample(pool, "id", 10, 7), pool, "id", 25, 8)
+    assert more.count() == more.distinct().count() == 25 and seen.value == 120
+    with pytest.raises(ValueError):
+        resample.extend_sample(resample.seeded_sample(pool, "id", 10, 7), pool, "id", 61, 8)
+
+
 def test_consensus_groups_only_votes_against_gold(spark):
     rows = [(1, r, "g", "g") for r in ("r1", "r2")] + [(1, r, "x", "g") for r in ("r3", "r4", "r5")] + [(2, "r1", None, "g"), (2, "r2", None, "g"), (2, "r3", "y", "g"), (2, "r4", "y", "g")]
     v = spark.createDataFrame(rows, "cell int, run string, v string, gold string")
