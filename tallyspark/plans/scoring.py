@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.values import hash_bucket, normalize, normalize_exact
 from tallyspark.operators import match, metrics, report, resample
 from tallyspark.operators.cells import OUTCOMES, classify, melt_map
-from tallyspark.plans.bindings import CELLS_SQL, FIELDS, GOLD_SQL, RUNS, bucket_sql, cells, gold_cells, normalize_sql, table
+from tallyspark.plans.bindings import CELLS_SQL, FIELDS, GOLD_SQL, RUNS, bucket_sql, cells, gold_cells, normalize_sql, outcomes, predicted, table
 from tallyspark.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -250,21 +250,23 @@ def headline_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Value, counts and interval of every ratio of :func:`headline_metrics`.
 
     Each family's documents are resampled: orders for cells and lines, documents for labels,
-    events for extras. The draws are a generator's, so there is no SQL; tests compare them
-    with plain loops.
+    events for extras, each ratio's by its own pairs of sums. The draws are a generator's, so
+    there is no SQL; tests compare the intervals with plain loops.
     """
     registry = metrics.headline_registry(FIELDS, GROUPS)
     s, known, one = F.col("status"), F.col("name") == "k", F.lit("-").alias("run_id")
     n = lambda x: F.count_if(s == x)
     shared = (s == "shared") & known
     spurious, lacking = (s == "pred_only") | ((s == "shared") & ~known), (s == "gold_only") | ((s == "shared") & ~known)
-    failed = hash_bucket(F.col("run_id"), F.col("doc_id")) < 3
 
     def terms(rows: DataFrame, ratios: dict) -> tuple[DataFrame, list[str]]:
         sums = [c.alias(f"{name}_{k}") for name, pair in ratios.items() for k, c in zip(("num", "den"), pair)]
         return rows.groupBy("doc_id").agg(*sums).withColumn("run_id", one), list(ratios)
 
-    per_run = metrics.document_terms(cells(spark, d), registry | {"parse_failure_rate": (failed & (F.col("field") == FIELDS[0]), F.col("field") == FIELDS[0])}, ["run_id", "doc_id"])
+    facts = {k: [*OUTCOMES, "excluded_uncertain"] for k in outcomes()} | {"gold": ["value"], "no_output": [True]}
+    kinds = metrics.alike(predicted(spark, d).withColumns(outcomes()).withColumn("gold", F.when(F.col("gold").isNotNull(), "value")), "run_id", "doc_id", FIELDS, facts)
+    first = F.col("field") == FIELDS[0]
+    per_run = metrics.document_terms(kinds, registry | {"parse_failure_rate": (first & F.coalesce("no_output", F.lit(False)), first)}, ["run_id", "kind", "documents"])
     out = None
     for per_doc, names in (
         (per_run, [*registry, "parse_failure_rate"]),
@@ -272,7 +274,7 @@ def headline_intervals(spark: SparkSession, d: str) -> DataFrame:
         terms(_label_match(spark, d), {"labels_micro_f1": metrics.f1_terms(n("tp"), n("fp"), n("fn"))}),
         terms(_map(spark, d), {"extras_key_f1": metrics.f1_terms(F.count_if(shared), F.count_if(spurious), F.count_if(lacking)), "extras_value_accuracy": (F.count_if(shared & (F.col("gold") == F.col("pred"))), F.count_if(shared))}),
     ):
-        part = resample.split_bootstrap(per_doc, "doc_id", names, "run_id", iterations=ITERATIONS, seed=SEED)
+        part = resample.class_bootstrap(per_doc, names, "run_id", iterations=ITERATIONS, seed=SEED, weight="documents" if per_doc is per_run else None)
         out = part if out is None else out.unionByName(part)
     whole = [F.col(c).cast("bigint").alias(c) for c in ("num", "den")]
     return out.select("run_id", "metric", *whole, _r(metrics.ratio(F.col("num"), F.col("den")), "value"), "n_valid", _r(F.col("ci_low"), "ci_low"), _r(F.col("ci_high"), "ci_high"))

@@ -420,3 +420,35 @@ def test_consensus_groups_only_votes_against_gold(spark):
     got = vote.consensus_against_gold(v, ["cell"], F.col("v"), F.col("gold"), "run", 2, ["r1", "r2", "r3", "r4", "r5"])
     assert sorted(map(tuple, got.collect())) == [(1, "g", "x", 3), (2, "g", None, 2)]
     assert got._jdf.queryExecution().executedPlan().toString().count("HashAggregate") >= 2  # votes are counted without a sort
+
+
+def test_class_bootstrap_draws_documents(spark):
+    """Against drawing documents one by one, with values, counts and resamples without a denominator."""
+    rng = random.Random(4)
+    docs = [(i, run, rng.randint(0, d), d, int(i == 7), int(i == 7)) for i in range(60) for run in ("r1", "r2") for d in [rng.randint(0, 3)]]
+    df = spark.createDataFrame([*docs, (60, "r1", None, None, 0, 0), (60, "r2", 1, 1, 0, 0)], "doc long, run string, a_num int, a_den int, z_num int, z_den int")
+    ask = lambda d, **k: {(r.run, r.metric): r for r in resample.class_bootstrap(d, ["a", "z"], "run", iterations=4000, seed=3, **k).collect()}
+    got = ask(df.repartition(5))
+    assert got == ask(df.repartition(2)) and len(got) == 4
+    gen = np.random.default_rng(1)
+    for run in ("r1", "r2"):
+        x = np.array([[v or 0 for v in r[2:]] for r in df.filter(F.col("run") == run).collect()], float)
+        sums = np.array([x[gen.integers(0, len(x), len(x))].sum(axis=0) for _ in range(4000)])
+        for m, c in (("a", 0), ("z", 2)):
+            r, ok = got[run, m], sums[:, c + 1] > 0
+            assert (r.num, r.den) == tuple(x[:, c : c + 2].sum(axis=0)) and abs(r.n_valid - ok.sum()) < 150
+            assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.quantile(sums[ok, c] / sums[ok, c + 1], [0.025, 0.975])), abs=0.02)
+    halves = df.groupBy("run", "a_num", "a_den", "z_num", "z_den").agg(F.count("*").alias("n"))
+    assert ask(halves, weight="n") == got
+
+
+def test_alike_documents_keep_all_terms(spark):
+    rng = random.Random(6)
+    rows = [(run, doc, f, rng.choice(cells.OUTCOMES), rng.choice([None, "value"])) for run in ("r1", "r2") for doc in range(40) for f in ("f", "g") if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "run_id string, doc_id int, field string, o string, gold string")
+    ratios = {"m": (F.col("o") == "correct", F.col("gold").isNotNull()), "f": (F.col("gold").isNull(), F.col("field") == "f")}
+    names = [f"{m}_{p}" for m in ratios for p in ("num", "den")]
+    want = metrics.document_terms(df, ratios, ["run_id", "doc_id"]).groupBy("run_id", *names).count()
+    kinds = metrics.alike(df, "run_id", "doc_id", ["f", "g"], {"o": cells.OUTCOMES, "gold": ["value"]})
+    got = metrics.document_terms(kinds, ratios, ["run_id", "kind", "documents"]).groupBy("run_id", *names).agg(F.sum("documents").alias("count"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
