@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -15,8 +17,10 @@ from tallyspark.operators.order import global_index
 from tallyspark.shared import keep
 
 
-#: Up to so many documents (some tens of bytes each) are broadcast to the draws.
-BROADCAST_DOCS = 1_000_000
+#: Bytes of documents, at most, that travel with the draws, and draws in memory at once.
+DRAWN_BYTES, _DRAWS = 256 * 2**20, 16_384
+#: Documents packed together, and draws of a row of :func:`drawn_sums`.
+_PACK, _UNIT = 65_536, 2**20
 
 
 def single_draws(spark: SparkSession, n: Column | int, iterations: int, seed: int) -> DataFrame:
@@ -37,16 +41,122 @@ def draws(spark: SparkSession, n: Column | int, iterations: int, seed: int) -> D
     return single_draws(spark, n, iterations, seed).groupBy("b", "idx").agg(F.count("*").alias("weight"))
 
 
-def drawn(per_doc: DataFrame, key: str, iterations: int, seed: int) -> DataFrame:
-    """The documents of every resample, with ``b`` and ``weight``.
+def md5_heads(prefix: str, start: int, n: int) -> np.ndarray:
+    """The first eight hex digits of md5(prefix + k), as numbers, for the n numbers k from ``start``.
 
-    Few documents are broadcast to the draws, which then need no shuffle before the sums of
-    a resample; of more, weights are summed before anything is joined to them.
+    All k have as many digits. Arrays of messages go through the rounds together, several
+    times faster than one call for each; a message too long for one block is left to hashlib.
     """
-    n, docs = per_doc.count(), indexed(per_doc, key)
-    if n <= BROADCAST_DOCS:
-        return single_draws(per_doc.sparkSession, n, iterations, seed).join(F.broadcast(docs), "idx").withColumn("weight", F.lit(1))
-    return draws(per_doc.sparkSession, n, iterations, seed).join(docs, "idx")
+    digits = len(str(start))
+    head = prefix.encode()
+    if len(head) + digits > 55:
+        return np.array([int(hashlib.md5(head + str(k).encode()).hexdigest()[:8], 16) for k in range(start, start + n)], np.uint32)
+    block = head + b"0" * digits + b"\x80"
+    block = block.ljust(56, b"\0") + (8 * (len(head) + digits)).to_bytes(8, "little")
+    words = list(np.frombuffer(block, "<u4"))
+    k = np.arange(start, start + n, dtype=np.uint32 if digits < 10 else np.uint64)
+    for at in range(len(head) + digits - 1, len(head) - 1, -1):
+        rest = k // 10
+        words[at // 4] = words[at // 4] + ((k - rest * 10).astype(np.uint32) << np.uint32(8 * (at % 4)))
+        k = rest
+    a, b, c, d = (np.full(n, x, np.uint32) for x in _MD5_START)
+    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(61):  # the last three steps do not touch the first word
+        kind, turn = i // 16, np.uint32(_MD5_TURNS[i // 16][i % 4])
+        if kind == 0:
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif kind == 1:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:
+            np.bitwise_not(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        word = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16]
+        np.add(f, a, out=f)
+        if word.ndim:
+            np.add(f, word, out=f)
+            np.add(f, _MD5_SINES[i], out=f)
+        else:
+            np.add(f, np.uint32((int(word) + int(_MD5_SINES[i])) & 0xFFFFFFFF), out=f)
+        np.left_shift(f, turn, out=t)
+        np.right_shift(f, np.uint32(32) - turn, out=f)
+        np.bitwise_or(f, t, out=f)
+        np.add(f, b, out=f)
+        a, d, c, b, f = d, c, b, f, a
+    np.add(b, np.uint32(_MD5_START[0]), out=b)
+    return b.byteswap()
+
+
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_MD5_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_MD5_SINES = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+
+
+def _packed(per_doc: DataFrame, key: str, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The documents in the order of draws: the class of each, and the columns of a class (NaN for null)."""
+    docs = indexed(per_doc, key).select("idx", *[F.col(c).cast("double").alias(c) for c in columns])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        # as bytes, for nulls equal each other
+        values, of = np.unique(np.ascontiguousarray(pdf[columns].to_numpy(float, na_value=np.nan)).view(np.int64), axis=0, return_inverse=True)
+        return pd.DataFrame({"pack": [pdf["idx"].iloc[0] // _PACK], "values": [values.tobytes()], "of": [of.astype("<i4").tobytes()]})
+
+    packs = docs.groupBy(F.floor(F.col("idx") / _PACK)).applyInPandas(pack, "pack bigint, values binary, of binary").collect()
+    values, of, n = [], [], 0
+    for r in sorted(packs, key=lambda r: r.pack):
+        values.append(np.frombuffer(r["values"], np.int64).reshape(-1, len(columns)))
+        of.append(np.frombuffer(r["of"], "<i4") + n)
+        n += len(values[-1])
+    values, merged = np.unique(np.concatenate(values), axis=0, return_inverse=True)
+    return merged.astype(np.min_scalar_type(len(values)))[np.concatenate(of)], values.view(float)
+
+
+def drawn_sums(per_doc: DataFrame, key: str, columns: list[str], iterations: int, seed: int) -> DataFrame:
+    """``b`` and the sums of ``columns`` (as doubles) over the documents of every resample, drawn as :func:`single_draws` does.
+
+    Documents travel with the draws as a class each and the classes' columns; a row is up to
+    ``_UNIT`` draws of one resample, so no task holds more than the documents, and draws never
+    become rows. Documents of more than ``DRAWN_BYTES`` are joined with the weights of draws.
+    """
+    spark, n = per_doc.sparkSession, per_doc.count()
+    if n * 8 * (len(columns) + 1) > DRAWN_BYTES:
+        weighted = draws(spark, n, iterations, seed).join(indexed(per_doc, key), "idx")
+        return weighted.groupBy("b").agg(*[F.sum(F.col("weight") * F.col(c)).cast("double").alias(c) for c in columns])
+    schema = "b bigint, " + ", ".join(f"`{c}` double" for c in columns)
+    if not n:
+        return spark.createDataFrame([], schema)
+    of, values = _packed(per_doc, key, columns)
+    held = spark.sparkContext.broadcast((of, values))
+    units = -(-n // _UNIT)
+
+    def sums(batches):
+        of, values = held.value
+        null = np.isnan(values)
+        table = np.where(null, 0.0, values)
+        for pdf in batches:
+            rows = []
+            for unit, b in zip((pdf["id"] // iterations).tolist(), (pdf["id"] % iterations).tolist()):
+                hits, k, end = [], unit * _UNIT, min(n, (unit + 1) * _UNIT)
+                while k < end:
+                    stop = min(end, k + _DRAWS, 10 ** len(str(k)))  # all with as many digits
+                    hits.append(of[md5_heads(f"{seed}|{b}|", k, stop - k) % np.uint32(n)])
+                    k = stop
+                counts = np.bincount(np.concatenate(hits), minlength=len(values))
+                rows.append([b, *np.where(counts @ ~null > 0, counts @ table, np.nan)])
+            out = pd.DataFrame(rows, columns=["b", *columns])
+            yield out.astype({"b": "int64"}).astype({c: "Float64" for c in columns})
+
+    tasks = min(iterations * units, 4 * spark.sparkContext.defaultParallelism)
+    parts = spark.range(0, iterations * units, 1, tasks).mapInPandas(sums, schema)
+    return parts.groupBy("b").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def indexed(per_doc: DataFrame, key: str) -> DataFrame:
@@ -98,7 +208,7 @@ def bootstrap(per_doc: DataFrame, key: str, metrics: list[str], *, iterations: i
     if by_class:
         sums = class_sums(per_doc, columns, iterations=iterations, seed=seed)
     else:
-        sums = drawn(per_doc, key, iterations, seed).groupBy("b").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns])
+        sums = drawn_sums(per_doc, key, columns, iterations, seed)
     long = sums.select("b", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.try_divide(F.col(f"{m}_num").cast("double"), F.col(f"{m}_den").cast("double")).alias("v")) for m in metrics])).alias("m")).select("b", "m.*")
     return long.groupBy("metric").agg(F.count("v").alias("n_valid"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high")).select("metric", "n_valid", F.when(F.col("n_valid") >= 2, F.col("low")).alias("ci_low"), F.when(F.col("n_valid") >= 2, F.col("high")).alias("ci_high"))
 
@@ -257,9 +367,9 @@ def class_bootstrap(per_doc: DataFrame, metrics: list[str], by: str, *, iteratio
 
 def paired_bootstrap(per_doc: DataFrame, key: str, a: str, b: str, *, iterations: int, seed: int) -> DataFrame:
     """Interval of the difference of two runs' ratios under the same draws; ``per_doc`` has ``<run>_num`` and ``<run>_den``."""
-    s = lambda c: F.sum(F.col("weight") * F.col(c)).cast("double")
-    diff = F.try_divide(s(f"{a}_num"), s(f"{a}_den")) - F.try_divide(s(f"{b}_num"), s(f"{b}_den"))
-    sums = drawn(per_doc, key, iterations, seed).groupBy("b").agg(diff.alias("d")).filter("d IS NOT NULL")
+    columns = [f"{r}_{p}" for r in (a, b) for p in ("num", "den")]
+    diff = F.try_divide(F.col(f"{a}_num"), F.col(f"{a}_den")) - F.try_divide(F.col(f"{b}_num"), F.col(f"{b}_den"))
+    sums = drawn_sums(per_doc, key, columns, iterations, seed).select("b", diff.alias("d")).filter("d IS NOT NULL")
     return sums.agg(F.count("d").alias("n_valid"), F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high")).withColumn("includes_zero", (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))
 
 

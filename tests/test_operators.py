@@ -452,3 +452,24 @@ def test_alike_documents_keep_all_terms(spark):
     kinds = metrics.alike(df, "run_id", "doc_id", ["f", "g"], {"o": cells.OUTCOMES, "gold": ["value"]})
     got = metrics.document_terms(kinds, ratios, ["run_id", "kind", "documents"]).groupBy("run_id", *names).agg(F.sum("documents").alias("count"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_draws_over_arrays_are_those_of_rows(spark, monkeypatch):
+    import hashlib
+
+    for prefix, start, n in (("20261011|9|", 0, 10), ("20261011|9999|", 99_000, 1000), ("a" * 54, 5, 4), ("a" * 53, 10, 40), ("", 1_234_567_890, 20)):
+        assert resample.md5_heads(prefix, start, n).tolist() == [int(hashlib.md5(f"{prefix}{k}".encode()).hexdigest()[:8], 16) for k in range(start, start + n)]
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, 0, 1, 5]), rng.choice([1, 2]), None if i else 3.5) for i in range(1203)]
+    df = spark.createDataFrame(rows, "k int, x int, y int, z double")
+    monkeypatch.setattr(resample, "_UNIT", 500)
+    monkeypatch.setattr(resample, "_PACK", 100)
+    ask = lambda d: sorted(map(tuple, resample.drawn_sums(d, "k", ["x", "y", "z"], 6, 11).collect()))
+    got = ask(df)
+    order = sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0]))
+    for b, *sums in got:
+        drawn = [order[int(hashlib.md5(f"11|{b}|{k}".encode()).hexdigest()[:8], 16) % len(order)] for k in range(len(order))]
+        assert sums == [sum(x) if (x := [r[c] for r in drawn if r[c] is not None]) else None for c in (1, 2, 3)]
+    assert len(got) == 6 and got == ask(df.repartition(3)) and ask(df.limit(0)) == []
+    monkeypatch.setattr(resample, "DRAWN_BYTES", 0)
+    assert ask(df) == got
