@@ -37,8 +37,8 @@ _PART = r"([A-Za-z_][A-Za-z0-9_]*)(?:\[([A-Za-z_][A-Za-z0-9_]*)=([^\]]*)\])?"
 def path_segments(path: Column) -> Column:
     """:func:`parse_path` of a column: an array of ``name, key, value``, null where the path is bad."""
     ok = path.rlike(rf"^{_PART}(?:\.{_PART})*\z") & ~path.endswith("]")
-    part = lambda x, i: F.regexp_extract(x, _PART, i)
-    found = F.transform(F.regexp_extract_all(path, F.lit(_PART), F.lit(0)), lambda x: F.struct(part(x, 1).alias("name"), F.nullif(part(x, 2), F.lit("")).alias("key"), part(x, 3).alias("value")))
+    part = lambda x, i: F.when(F.contains(x, F.lit("[")), F.regexp_extract(x, _PART, i))
+    found = F.transform(F.regexp_extract_all(path, F.lit(_PART), F.lit(0)), lambda x: F.struct(F.substring_index(x, "[", 1).alias("name"), part(x, 2).alias("key"), part(x, 3).alias("value")))
     return F.when(ok, found)
 
 
@@ -48,13 +48,13 @@ def _object(node: Column) -> Column:
 
 
 def _is_text(node: Column, text: Column) -> Column:
-    return F.coalesce((F.schema_of_variant(node) == "STRING") & (F.try_variant_get(node, "$", "string") == text), F.lit(False))
+    return F.coalesce((F.try_variant_get(node, "$", "string") == text) & (F.schema_of_variant(node) == "STRING"), F.lit(False))
 
 
 def _selected(element: Column, key: Column, text: Column) -> Column:
     """Whether a list's element has the text under the key; ``name`` also meets ``name_new`` where there is no ``name``."""
-    fields = _object(element)
-    return F.coalesce(F.when(F.map_contains_key(fields, key), _is_text(F.try_element_at(fields, key), text)).otherwise((key == "name") & _is_text(F.try_element_at(fields, F.lit("name_new")), text)), F.lit(False))
+    is_it = lambda fields: F.coalesce(F.when(F.map_contains_key(fields, key), _is_text(F.try_element_at(fields, key), text)).otherwise((key == "name") & _is_text(F.try_element_at(fields, F.lit("name_new")), text)), F.lit(False))
+    return F.element_at(F.transform(F.array(_object(element)), is_it), 1)
 
 
 def resolve(record: Column, path: Column) -> Column:
@@ -67,34 +67,48 @@ def resolve(record: Column, path: Column) -> Column:
     """
     state = lambda node, error: F.struct(node.alias("node"), error.alias("error"))
     nothing, fine = F.lit(None).cast("variant"), F.lit(None).cast("string")
+    # computed once, however often the body asks for it: bodies of such functions share nothing by themselves
+    bound = lambda x, body: F.element_at(F.transform(F.array(x), body), 1)
 
-    def step(s: Column, seg: Column) -> Column:
-        child = F.try_element_at(_object(s.node), seg["name"])
-        items = F.try_variant_get(child, "$", "array<variant>")
-        hits = F.filter(items, lambda e: _selected(e, seg.key, seg.value))
+    def chosen(hits: Column, seg: Column) -> Column:
         size = F.size(hits)
+        return F.when(size != 1, state(nothing, F.concat(F.lit("["), seg.key, F.lit("="), seg.value, F.lit("] matches "), size.cast("string")))).otherwise(state(F.try_element_at(hits, F.lit(1)), fine))
+
+    def selected(items: Column, seg: Column) -> Column:
+        return F.when(items.isNull(), state(nothing, F.concat(seg["name"], F.lit(" is no list")))).otherwise(bound(F.filter(items, lambda e: _selected(e, seg.key, seg.value)), lambda hits: chosen(hits, seg)))
+
+    def entered(fields: Column, seg: Column) -> Column:
+        child = F.try_element_at(fields, seg["name"])
         return (
-            F.when(s.error.isNotNull(), s)
-            .when(F.coalesce(~F.map_contains_key(_object(s.node), seg["name"]), F.lit(True)), state(nothing, F.concat(F.lit("no key "), seg["name"])))
+            F.when(F.coalesce(~F.map_contains_key(fields, seg["name"]), F.lit(True)), state(nothing, F.concat(F.lit("no key "), seg["name"])))
             .when(seg.key.isNull(), state(child, fine))
-            .when(items.isNull(), state(nothing, F.concat(seg["name"], F.lit(" is no list"))))
-            .when(size != 1, state(nothing, F.concat(F.lit("["), seg.key, F.lit("="), seg.value, F.lit("] matches "), size.cast("string"))))
-            .otherwise(state(F.try_element_at(hits, F.lit(1)), fine))
+            .otherwise(bound(F.try_variant_get(child, "$", "array<variant>"), lambda items: selected(items, seg)))
         )
 
+    def step(s: Column, seg: Column) -> Column:
+        return F.when(s.error.isNotNull(), s).otherwise(bound(_object(s.node), lambda fields: entered(fields, seg)))
+
     def walked(segments: Column) -> Column:
         last = F.element_at(segments, -1)["name"]
         parent = F.aggregate(F.slice(segments, F.lit(1), F.size(segments) - 1), state(record, fine), step)
-        # bound once
-        return F.element_at(F.transform(F.array(parent), lambda p: answer(p, last)), 1)
+        return bound(parent, lambda p: bound(_object(p.node), lambda fields: answer(p, fields, last)))
 
-    def answer(p: Column, last: Column) -> Column:
-        fields = _object(p.node)
+    def answer(p: Column, fields: Column, last: Column) -> Column:
         error = F.when(p.error.isNotNull(), p.error).when(fields.isNull(), F.concat(F.lit("the parent of "), last, F.lit(" is no object")))
         return F.struct(F.when(error.isNull(), F.try_element_at(fields, last)).alias("value"), (error.isNull() & F.coalesce(F.map_contains_key(fields, last), F.lit(False))).alias("found"), error.alias("error"))
 
     bad = F.struct(nothing.alias("value"), F.lit(False).alias("found"), F.lit("bad path").alias("error"))
-    return F.element_at(F.transform(F.array(path_segments(path)), lambda segments: F.when(segments.isNull(), bad).otherwise(walked(segments))), 1)
+    return bound(path_segments(path), lambda segments: F.when(segments.isNull(), bad).otherwise(walked(segments)))
+
+
+def resolve_all(record: Column, paths: Column) -> Column:
+    """An array of ``path, value, found, error`` (:func:`resolve`) for an array of paths into one record, which is computed once."""
+    one = lambda r: F.transform(paths, lambda p: _with_path(p, resolve(r, p)))
+    return F.element_at(F.transform(F.array(record), one), 1)
+
+
+def _with_path(path: Column, x: Column) -> Column:
+    return F.element_at(F.transform(F.array(x), lambda x: F.struct(path.alias("path"), x.value.alias("value"), x.found.alias("found"), x.error.alias("error"))), 1)
 
 
 def correction_status(current: Column, expected_old: Column, new: Column) -> Column:

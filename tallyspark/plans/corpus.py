@@ -108,9 +108,9 @@ def path_values(spark: SparkSession, d: str) -> DataFrame:
     record = F.parse_json(F.to_json(F.struct(F.col("o_orderstatus").alias("status"), "lines")))
     first = F.concat(F.lit("lines[name=P"), F.col("part"), F.lit("]"))
     paths = F.array(F.lit("status"), F.concat(first, F.lit(".qty")), F.lit("lines[name=none].qty"), F.lit("lines.qty"), F.lit("extras.note"), F.lit("note"), first)
-    rows = records.select(F.col("o_orderkey").alias("doc_id"), record.alias("record"), F.explode(paths).alias("path"))
-    out = rows.withColumn("x", corrections.resolve(F.col("record"), F.col("path")))
-    return out.select("doc_id", "path", F.try_variant_get("x.value", "$", "string").alias("value"), "x.found", "x.error")
+    # all paths of a record are resolved where it is parsed, so it is parsed once
+    out = records.select(F.col("o_orderkey").alias("doc_id"), F.explode(corrections.resolve_all(record, paths)).alias("x"))
+    return out.select("doc_id", "x.path", F.try_variant_get("x.value", "$", "string").alias("value"), "x.found", "x.error")
 
 
 @query("WITH k AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages) SELECT host, count(*)::BIGINT AS n, count(*) FILTER (title = '')::BIGINT AS keyless, min(page_id) AS first_page FROM k GROUP BY host HAVING count(*) > 1")

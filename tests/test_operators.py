@@ -473,3 +473,18 @@ def test_draws_over_arrays_are_those_of_rows(spark, monkeypatch):
     assert len(got) == 6 and got == ask(df.repartition(3)) and ask(df.limit(0)) == []
     monkeypatch.setattr(resample, "DRAWN_BYTES", 0)
     assert ask(df) == got
+
+
+def test_paths_of_one_record_parse_it_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(x):
+        parsed.add(1)
+        return f'{{"a": {x}, "l": [{{"k": "v", "z": 1}}]}}'
+
+    paths = ["a", "b", "l[k=v].z", "l[k=w].z", "a..b"]
+    df = spark.range(0, 3, 1, 1).withColumn("r", text("id")).select("id", F.explode(corrections.resolve_all(F.parse_json("r"), F.array(*map(F.lit, paths)))).alias("x"))
+    got = df.select("id", "x.path", F.try_variant_get("x.value", "$", "string").alias("v"), "x.found", "x.error").collect()
+    assert sorted(map(str, got)) == sorted(str(type(got[0])(id=i, path=p, v=v, found=v is not None, error=e)) for i in range(3) for p, v, e in zip(paths, (str(i), None, "1", None, None), (None, None, None, "[k=w] matches 0", "bad path")))
+    assert parsed.value == 3
