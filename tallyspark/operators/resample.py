@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,9 +19,9 @@ from tallyspark.shared import keep
 
 
 #: Bytes of documents, at most, that travel with the draws, and draws in memory at once.
-DRAWN_BYTES, _DRAWS = 256 * 2**20, 16_384
-#: Documents packed together, and draws of a row of :func:`drawn_sums`.
-_PACK, _UNIT = 65_536, 2**20
+DRAWN_BYTES, _DRAWS = 256 * 2**20, 50_000
+#: Documents packed together, and draws of a row of :func:`drawn_sums` (of whole ``_DRAWS``, which share their first digits).
+_PACK, _UNIT = 65_536, 1_000_000
 
 
 def single_draws(spark: SparkSession, n: Column | int, iterations: int, seed: int) -> DataFrame:
@@ -41,27 +42,49 @@ def draws(spark: SparkSession, n: Column | int, iterations: int, seed: int) -> D
     return single_draws(spark, n, iterations, seed).groupBy("b", "idx").agg(F.count("*").alias("weight"))
 
 
+@lru_cache(16)
+def _tails(at: int, digits: int, own: bool, start: int, n: int) -> tuple[list[np.ndarray], np.ndarray | int]:
+    """The last digits of n numbers as words of messages in which they begin at byte ``at``, with the mark of the end, and how many they are.
+
+    Each number has ``digits`` of them, with zeros in front, or as many as it has of its ``own``.
+    """
+    k, rows = np.arange(start, start + n), np.arange(n)
+    counts = sum((k >= 10**j for j in range(1, digits)), np.ones(n, int)) if own else np.full(n, digits)
+    text = np.zeros((n, 4 * (-(-(at + digits + 1) // 4))), np.uint8)
+    for j in range(digits):
+        has = rows[j < counts]
+        text[has, (at + counts - 1 - j)[has]] = 48 + (k // 10**j % 10)[has]
+    text[rows, at + counts] = 0x80
+    return [np.ascontiguousarray(w) for w in text.view("<u4").T], counts.astype(np.uint32) if own else digits
+
+
 def md5_heads(prefix: str, start: int, n: int) -> np.ndarray:
     """The first eight hex digits of md5(prefix + k), as numbers, for the n numbers k from ``start``.
 
-    All k have as many digits. Arrays of messages go through the rounds together, several
-    times faster than one call for each; a message too long for one block is left to hashlib.
+    Arrays of messages go through the rounds together, several times faster than one call for
+    each. First digits that all k share count as the prefix; rounds before the first word that
+    differs are those of one message. A message too long for one block is left to hashlib.
     """
-    digits = len(str(start))
-    head = prefix.encode()
+    end, digits = start + n - 1, 1
+    while start // 10**digits != end // 10**digits:
+        digits += 1
+    shared = start // 10**digits
+    head = f"{prefix}{shared or ''}".encode()
     if len(head) + digits > 55:
-        return np.array([int(hashlib.md5(head + str(k).encode()).hexdigest()[:8], 16) for k in range(start, start + n)], np.uint32)
-    block = head + b"0" * digits + b"\x80"
-    block = block.ljust(56, b"\0") + (8 * (len(head) + digits)).to_bytes(8, "little")
-    words = list(np.frombuffer(block, "<u4"))
-    k = np.arange(start, start + n, dtype=np.uint32 if digits < 10 else np.uint64)
-    for at in range(len(head) + digits - 1, len(head) - 1, -1):
-        rest = k // 10
-        words[at // 4] = words[at // 4] + ((k - rest * 10).astype(np.uint32) << np.uint32(8 * (at % 4)))
-        k = rest
-    a, b, c, d = (np.full(n, x, np.uint32) for x in _MD5_START)
+        return np.array([int(hashlib.md5(f"{prefix}{k}".encode()).hexdigest()[:8], 16) for k in range(start, start + n)], np.uint32)
+    words = np.frombuffer(head.ljust(64, b"\0"), "<u4").tolist()
+    tails, counts = _tails(len(head) % 4, digits, not shared, start % 10**digits, n)
+    first = len(head) // 4
+    for i, tail in enumerate(tails, first):
+        words[i] = tail + np.uint32(words[i])
+    words[14] = (counts + len(head)) * 8
+    a, b, c, d = _MD5_START
+    for i in range(first):
+        f, turn = (((c ^ d) & b) ^ d) + a + words[i] + int(_MD5_SINES[i]) & 0xFFFFFFFF, _MD5_TURNS[0][i % 4]
+        a, d, c, b = d, c, b, b + (f << turn | f >> 32 - turn) & 0xFFFFFFFF
+    a, b, c, d = (np.full(n, x, np.uint32) for x in (a, b, c, d))
     f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
-    for i in range(61):  # the last three steps do not touch the first word
+    for i in range(first, 61):  # the last three steps do not touch the first word
         kind, turn = i // 16, np.uint32(_MD5_TURNS[i // 16][i % 4])
         if kind == 0:
             np.bitwise_xor(c, d, out=f)
@@ -80,11 +103,11 @@ def md5_heads(prefix: str, start: int, n: int) -> np.ndarray:
             np.bitwise_xor(f, c, out=f)
         word = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16]
         np.add(f, a, out=f)
-        if word.ndim:
+        if isinstance(word, np.ndarray):
             np.add(f, word, out=f)
             np.add(f, _MD5_SINES[i], out=f)
         else:
-            np.add(f, np.uint32((int(word) + int(_MD5_SINES[i])) & 0xFFFFFFFF), out=f)
+            np.add(f, np.uint32((word + int(_MD5_SINES[i])) & 0xFFFFFFFF), out=f)
         np.left_shift(f, turn, out=t)
         np.right_shift(f, np.uint32(32) - turn, out=f)
         np.bitwise_or(f, t, out=f)
@@ -124,10 +147,12 @@ def drawn_sums(per_doc: DataFrame, key: str, columns: list[str], iterations: int
 
     Documents travel with the draws as a class each and the classes' columns; a row is up to
     ``_UNIT`` draws of one resample, so no task holds more than the documents, and draws never
-    become rows. Documents of more than ``DRAWN_BYTES`` are joined with the weights of draws.
+    become rows. Documents that take more than ``DRAWN_BYTES`` so (four bytes each and the
+    classes of every pack) are joined with the weights of draws.
     """
-    spark, n = per_doc.sparkSession, per_doc.count()
-    if n * 8 * (len(columns) + 1) > DRAWN_BYTES:
+    spark = per_doc.sparkSession
+    classes, n = per_doc.groupBy(*columns).agg(F.count("*").alias("__n")).agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    if 4 * n + min(n, classes * -(-n // _PACK)) * 8 * len(columns) > DRAWN_BYTES:
         weighted = draws(spark, n, iterations, seed).join(indexed(per_doc, key), "idx")
         return weighted.groupBy("b").agg(*[F.sum(F.col("weight") * F.col(c)).cast("double").alias(c) for c in columns])
     schema = "b bigint, " + ", ".join(f"`{c}` double" for c in columns)
@@ -146,8 +171,10 @@ def drawn_sums(per_doc: DataFrame, key: str, columns: list[str], iterations: int
             for unit, b in zip((pdf["id"] // iterations).tolist(), (pdf["id"] % iterations).tolist()):
                 hits, k, end = [], unit * _UNIT, min(n, (unit + 1) * _UNIT)
                 while k < end:
-                    stop = min(end, k + _DRAWS, 10 ** len(str(k)))  # all with as many digits
-                    hits.append(of[md5_heads(f"{seed}|{b}|", k, stop - k) % np.uint32(n)])
+                    stop = min(end, k - k % _DRAWS + _DRAWS)
+                    drawn = md5_heads(f"{seed}|{b}|", k, stop - k)
+                    drawn -= drawn // np.uint32(n) * np.uint32(n)  # the remainder; % takes ten times as long
+                    hits.append(of.take(drawn))
                     k = stop
                 counts = np.bincount(np.concatenate(hits), minlength=len(values))
                 rows.append([b, *np.where(counts @ ~null > 0, counts @ table, np.nan)])

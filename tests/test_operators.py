@@ -475,6 +475,29 @@ def test_draws_over_arrays_are_those_of_rows(spark, monkeypatch):
     assert ask(df) == got
 
 
+def test_hashes_of_numbers_with_other_digits():
+    import hashlib
+
+    at_all_offsets = [("p" * i, start, n) for i in range(57) for start, n in ((0, 1), (7, 1), (0, 1200), (95, 10), (1_230, 40))]
+    for prefix, start, n in (*at_all_offsets, ("20261011|12|", 0, 50_000), ("20261011|9|", 99_990, 20), ("", 9_999_999_990, 20), ("\u00e9|", 8, 5)):
+        assert resample.md5_heads(prefix, start, n).tolist() == [int(hashlib.md5(f"{prefix}{k}".encode()).hexdigest()[:8], 16) for k in range(start, start + n)]
+
+
+def test_many_documents_of_few_classes_travel_with_the_draws(spark, monkeypatch):
+    """What counts are the bytes that travel: 1,203 documents of 4 columns were 48 kB as doubles and are 6 kB as classes."""
+    df = spark.range(1203).selectExpr("id AS k", "int(id % 3 = 0) AS x", "1 AS y", "IF(id % 5 = 0, NULL, 1) AS z", "2 AS u")
+    monkeypatch.setattr(resample, "_PACK", 400)
+    monkeypatch.setattr(resample, "_DRAWS", 70)
+    want = sorted(map(tuple, resample.drawn_sums(df, "k", ["x", "y", "z", "u"], 5, 11).collect()))
+    joined = resample.draws
+    monkeypatch.setattr(resample, "draws", None)
+    monkeypatch.setattr(resample, "DRAWN_BYTES", 6_000)
+    assert sorted(map(tuple, resample.drawn_sums(df, "k", ["x", "y", "z", "u"], 5, 11).collect())) == want and len(want) == 5
+    monkeypatch.setattr(resample, "draws", joined)
+    monkeypatch.setattr(resample, "DRAWN_BYTES", 5_000)
+    assert sorted(map(tuple, resample.drawn_sums(df, "k", ["x", "y", "z", "u"], 5, 11).collect())) == want
+
+
 def test_paths_of_one_record_parse_it_once(spark):
     parsed = spark.sparkContext.accumulator(0)
 
